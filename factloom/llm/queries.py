@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
-from .common import crc_mod, table
+from . import mixing, packing, quality, simhash, tokens, toxicity
+from .common import crc_mod, table, written
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,30 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: words put in front of its middle, 40 characters cut
+    out of its first third, and a line added at its end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    edit = lambda start, removed, inserted: F.struct(start.cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+    edits = F.array(
+        edit(F.floor(n / 2), 0, F.concat(F.lit(" edited "), F.col("doc_id").cast("string"))),
+        edit(F.floor(n / 3), 40, F.lit("")),
+        edit(n * 2, 0, F.lit("\nThe end.")),
+    )
+    return tokens.edited_counts(docs.withColumn("edits", edits)).withColumnRenamed("id", "doc_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    counted = written(tokens.count_tokens(docs).drop("text"), "mixing-tokens")
+    return mixing.mix(counted, "n_tokens", evenness=0.5, most_passes=2.0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
@@ -32,6 +56,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
 }
 SQL: dict[str, str] = {}
