@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, pii, quality, simhash, tokens, toxicity
+from . import embeddings, mixing, multiset, packing, pii, quality, simhash, tokens, toxicity
 from .common import crc_mod, table, written
 
 
@@ -39,6 +39,27 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    prints = multiset.with_lanes(docs, F.col("text"), "f")
+    pairs = multiset.with_next(prints, "doc_id", ["text", "f"])
+    n = F.length("text").cast("long")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.col("next.text"), half))
+    pairs = pairs.select("doc_id", n.alias("n_chars"), edited.alias("edited"), F.col("f"), F.col("next.f").alias("g"))
+    done = multiset.with_lanes(pairs, F.col("edited"), "e")
+    f, e, g = F.col("f"), F.col("e"), F.col("g")
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        multiset.shown(f).alias("fingerprint"),
+        multiset.shown(e).alias("edited_fingerprint"),
+        multiset.likeness(f, e).alias("near_edited"),
+        multiset.likeness(f, g).alias("near_next"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits a document: words put in front of its middle, 40 characters cut
     out of its first third, and a line added at its end."""
@@ -72,6 +93,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_embeddings": op4_embeddings,
     "op5_pii": op5_pii,
+    "op6_fingerprints": op6_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
