@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, multiset, packing, pii, quality, simhash, tokens, toxicity
+from . import embeddings, mixing, multiset, packing, pii, quality, simhash, tokens, toxicity, urls
 from .common import crc_mod, table, written
 
 
@@ -87,8 +87,35 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    found = urls.filtered(table(spark, sf_dir, "pages"), rules)
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+OP10_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), hits AS (
+  SELECT p.page_id, p.host, p.path, r.rule_host || r.rule_path AS rule, r.rule_verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC) AS place
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM hits WHERE place = 1
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op10_url_filters": op10_url_filters,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_embeddings": op4_embeddings,
@@ -98,4 +125,4 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_url_filters": OP10_SQL}
