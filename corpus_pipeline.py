@@ -1,10 +1,58 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: quality, near-dedup, personal data,
+mixing and packing, each stage written and read again by the next one."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import mixing, packing, pii, quality, simhash, tokens
+from factloom.llm.common import crc_mod, table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return quality.keep_good(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    found = simhash.near_duplicates(docs, shingle=3, limit=3)
+    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.mask(docs, pii.fit(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated, up to a quarter more, towards an even mixture."""
+    counted = written(tokens.count_tokens(docs, out="mixing_tokens"), "pipeline-tokens")
+    return mixing.mix(counted, "mixing_tokens", evenness=0.5, most_passes=1.25).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(docs, capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models have no SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
