@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import queries_effects, queries_evidence, queries_graph, queries_identity, queries_ledgers, queries_scalars, queries_trace
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "queries_effects", "queries_evidence", "queries_graph", "queries_identity", "queries_ledgers", "queries_scalars", "queries_trace"]
