@@ -12,11 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 
+def shared_dir(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of its own only where none is named."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="factloom-checkpoint-")
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
