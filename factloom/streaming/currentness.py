@@ -61,7 +61,7 @@ def as_batches(effects: DataFrame, batches: int = 3) -> DataFrame:
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     most = effects.agg(F.max("seq")).first()[0] or 1
     for i in range(batches):
-        part = effects.where((F.col("seq") > most * i / batches) & (F.col("seq") <= most * (i + 1) / batches))
+        part = effects.where((F.lit(i == 0) | (F.col("seq") > most * i / batches)) & (F.col("seq") <= most * (i + 1) / batches))
         part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(effects.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{base}/in")
     q = verdicts(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
