@@ -268,12 +268,21 @@ TAINT_WALK = """, walk(node, ctx, path, source) AS (SELECT node, CAST(-1 AS BIGI
 """
 
 
-def _taint(spark, sf_dir):
+def taint_tables(spark, sf_dir):
+    """Source rules and sites, edges, sink rules and sites, sanitised pairs."""
     k, z = F.col("p_partkey"), F.col("p_size")
     edges = read(spark, sf_dir, "part").where((k % 20 == 7) | (k % 33 == 5)).select(F.element_at(F.lit(TAINT_KINDS), (k % len(TAINT_KINDS) + 1).cast("int")).alias("kind"), (k % 40).alias("src"), (k % 40 + 1 + z % 4).alias("dst"), F.concat(F.lit("f"), z % 3).alias("field"), (z % 6).cast("long").alias("site")).distinct()
     n = F.col("n_nationkey")
     rules = spark.createDataFrame([("src0", "a0", "call_return"), ("src1", "a1", "call_arg"), ("never", "a0", "entry_param")], "rule string, api string, kind string").withColumn("path", F.lit(None).cast("array<string>"))
     sites = read(spark, sf_dir, "nation").where(n < 4).select(F.concat(F.lit("a"), n % 2).alias("api"), n.cast("long").alias("node"), F.when(n % 2 == 0, "call_return").otherwise("call_arg").alias("kind"))
+    sink_rules = spark.createDataFrame([("any", "x", []), ("field", "y", ["f1"])], "rule string, api string, path array<string>")
+    i = F.col("id")
+    sink_sites = spark.range(40).where(i % 5 < 3).select(i.alias("node"), F.when(i % 2 == 0, "x").otherwise("y").alias("api"))
+    return rules, sites, edges, sink_rules, sink_sites, spark.createDataFrame([("src1", "any")], "source string, rule string")
+
+
+def _taint(spark, sf_dir):
+    rules, sites, edges, *_ = taint_tables(spark, sf_dir)
     return taint.seeds(rules, sites), edges
 
 
@@ -288,16 +297,14 @@ def taint_propagation(spark, sf_dir):
     return found.select("node", F.array_join("ctx", ",").alias("ctx"), F.array_join("path", ".").alias("path"), "source")
 
 
-@query(
-    f"""WITH RECURSIVE {TAINT_SQL}{TAINT_WALK}, rules(rule, api, want) AS (VALUES ('any', 'x', CAST([] AS VARCHAR[])), ('field', 'y', ['f1'])), sites AS (SELECT CAST(i AS BIGINT) AS node, CASE WHEN i % 2 = 0 THEN 'x' ELSE 'y' END AS api FROM range(40) t(i) WHERE i % 5 < 3)
+SQL_SINKS = f"""WITH RECURSIVE {TAINT_SQL}{TAINT_WALK}, rules(rule, api, want) AS (VALUES ('any', 'x', CAST([] AS VARCHAR[])), ('field', 'y', ['f1'])), sites AS (SELECT CAST(i AS BIGINT) AS node, CASE WHEN i % 2 = 0 THEN 'x' ELSE 'y' END AS api FROM range(40) t(i) WHERE i % 5 < 3)
 SELECT DISTINCT t.source, r.rule, t.node, array_to_string(t.path, '.') AS path FROM walk t JOIN sites s ON s.node = t.node JOIN rules r ON r.api = s.api WHERE (len(r.want) = 0 OR t.path[1:len(r.want)] = r.want) AND NOT (t.source = 'src1' AND r.rule = 'any')"""
-)
+
+
+@query(SQL_SINKS)
 def taint_sinks(spark, sf_dir):
     found = taint.propagate(*_taint(spark, sf_dir), k=1)[0]
-    rules = spark.createDataFrame([("any", "x", []), ("field", "y", ["f1"])], "rule string, api string, path array<string>")
-    i = F.col("id")
-    sites = spark.range(40).where(i % 5 < 3).select(i.alias("node"), F.when(i % 2 == 0, "x").otherwise("y").alias("api"))
-    return taint.sinks(found, rules, sites, spark.createDataFrame([("src1", "any")], "source string, rule string"))
+    return taint.sinks(found, *taint_tables(spark, sf_dir)[3:])
 
 
 # ---------------------------------------------------------------- files

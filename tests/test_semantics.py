@@ -175,3 +175,44 @@ def test_no_other_part_imports_llm():
 
     root = pathlib.Path(__file__).parent.parent / "factloom"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"(from|import)\s+\S*\bllm\b", p.read_text())]
+
+
+def test_engine_plugins_are_isolated(spark):
+    from factloom.plans.engine import Engine
+
+    class Adds:
+        def on_propagation(self, facts, edges):
+            return spark.createDataFrame([("copy", 2, 3, None, 0)], edges.schema)
+
+    class Breaks:
+        def on_result(self, flows):
+            raise ValueError("no")
+
+    edges = spark.createDataFrame([("copy", 1, 2, None, 0)], "kind string, src long, dst long, field string, site long")
+    calls = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "caller string, callee string")
+    rules = spark.createDataFrame([("s", "x", "call_return", None)], "rule string, api string, kind string, path array<string>")
+    sites = spark.createDataFrame([("x", 1, "call_return")], "api string, node long, kind string")
+    ends = spark.createDataFrame([("t", "y", [])], "rule string, api string, path array<string>")
+    at = spark.createDataFrame([("y", 3)], "api string, node long")
+    engine = Engine(spark, calls, edges, plugins=[Adds(), Breaks()])
+    assert engine.run(rules, sites, ends, at)["flows"].count() == 1
+    assert ("Breaks", "on_result", "failed: no") in engine.audit
+    dry = Engine(spark, calls, edges, plugins=[Adds()], dry_run=True)
+    assert dry.run(rules, sites, ends, at)["flows"].count() == 0
+    assert {r.node for r in engine.reachable(spark.createDataFrame([("a",)], "node string")).collect()} == {"a", "b", "c"}
+
+
+def test_modelling_session_stops_asking(spark):
+    from factloom.plans.engine import ModellingSession
+
+    asked = []
+
+    def decide(text):
+        asked.append(text)
+        if text.startswith("bad"):
+            raise RuntimeError
+        return "more" if len(text) < 4 else "accept"
+
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "bad1"), (4, "bad2"), (5, "bad3"), (6, "good")], "slice int, text string")
+    got = {r["slice"]: (r.decision, r.rounds) for r in ModellingSession(decide, lambda t: t + "++").run(df).collect()}
+    assert got == {1: ("accept", 2), 2: ("accept", 2), 3: ("failed", 1), 4: ("failed", 1), 5: ("failed", 1), 6: ("undecided", 0)} and asked.count("ab") == 1
