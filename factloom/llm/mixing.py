@@ -94,24 +94,28 @@ def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: st
     totals = {r[0]: r[1] or 0 for r in docs.groupBy(source_col).agg(F.sum(n)).collect()}  # one row for each source
     plan = plan_budgets(totals, evenness, most_passes, budget)
     size = max(block_tokens, math.ceil(sum(totals.values()) / most_blocks))
-    rows = [(s, w, b, max(1, math.ceil(totals[s] / size)), float(totals[s])) for s, (w, b) in plan.items()]
+    rows = [(i, s, w, b, max(1, math.ceil(totals[s] / size)), float(totals[s])) for i, (s, (w, b)) in enumerate(plan.items())]
     kind = docs.schema[source_col].dataType.simpleString()
-    sources = spark.createDataFrame(rows, f"mix_source {kind}, mix_weight double, budget double, blocks int, total double")
+    sources = spark.createDataFrame(rows, f"mix_number int, mix_source {kind}, mix_weight double, budget double, blocks int, total double")
     known = docs.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("mix_source")), "left")  # one row for each source
     known = known.withColumn("mix_block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.coalesce("blocks", F.lit(1))).cast("int"))
-    # tokens of each block, laid out in the order of each pass
-    blocks = known.where(n > 0).groupBy("mix_source", "mix_block", "budget", "total").agg(F.sum(n).alias("size"))
+    # tokens of each block, laid out in the order of each pass: sums of 256 lots of a pass first, then within each
+    blocks = known.where(n > 0).groupBy("mix_number", "mix_block", "budget", "total").agg(F.sum(n).alias("size"))
     passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("budget") / F.col("total")).cast("int") - 1))
-    laid = blocks.withColumn("mix_epoch", passes).withColumn("turn", F.xxhash64("mix_block", "mix_epoch", F.lit(seed)))
-    order = Window.partitionBy("mix_source", "mix_epoch").orderBy("turn", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    laid = laid.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("mix_epoch") * F.col("total"))
+    laid = blocks.withColumn("mix_epoch", passes).withColumn("turn", F.xxhash64("mix_block", "mix_epoch", F.lit(seed))).withColumn("lot", F.shiftright("turn", 56))
+    ahead = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    lots = laid.groupBy("mix_number", "mix_epoch", "lot").agg(F.sum("size").alias("size"))
+    lots = lots.select("mix_number", "mix_epoch", "lot", F.coalesce(F.sum("size").over(ahead("mix_number", "mix_epoch").orderBy("lot")), F.lit(0)).alias("before"))
+    laid = laid.join(lots, ["mix_number", "mix_epoch", "lot"])
+    within = F.coalesce(F.sum("size").over(ahead("mix_number", "mix_epoch", "lot").orderBy("turn", "mix_block")), F.lit(0))
+    laid = laid.withColumn("start", F.col("before") + within + F.col("mix_epoch") * F.col("total"))
     chosen = laid.where(F.col("start") + F.col("size") / 2 <= F.col("budget") + 0.5)
-    chosen = chosen.select(F.col("mix_source").alias("s"), F.col("mix_block").alias("b"), "mix_epoch", F.least(F.col("start") / F.col("budget"), F.lit(1.0)).alias("mix_place"))
+    chosen = chosen.select(F.col("mix_number").alias("s"), F.col("mix_block").alias("b"), "mix_epoch", F.least(F.col("start") / F.col("budget"), F.lit(1.0)).alias("mix_place"))
     if budget is None:  # what one pass holds is never dropped
-        first = laid.where("mix_epoch = 0").select(F.col("mix_source").alias("s"), F.col("mix_block").alias("b"), "mix_epoch", F.least(F.col("start") / F.col("budget"), F.lit(1.0)).alias("mix_place"))
+        first = laid.where("mix_epoch = 0").select(F.col("mix_number").alias("s"), F.col("mix_block").alias("b"), "mix_epoch", F.least(F.col("start") / F.col("budget"), F.lit(1.0)).alias("mix_place"))
         chosen = chosen.where("mix_epoch > 0").union(first)
     picked = chosen.groupBy("s", "b").agg(F.sort_array(F.collect_list(F.struct("mix_epoch", "mix_place"))).alias("mix_turns"))  # one entry for each pass
-    full = known.where(n > 0).join(picked, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")))
+    full = known.where(n > 0).join(picked, (F.col("mix_number") == F.col("s")) & (F.col("mix_block") == F.col("b")))
     full = full.select(*docs.columns, "mix_block", "mix_weight", F.explode("mix_turns").alias("mix_turn"))
     full = full.select(*docs.columns, "mix_block", "mix_weight", "mix_turn.mix_epoch", "mix_turn.mix_place")
     bare = known.where(n == 0).select(*docs.columns, "mix_block", F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"), F.lit(0).alias("mix_epoch"), F.lit(0.0).alias("mix_place"))
