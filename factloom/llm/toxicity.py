@@ -9,8 +9,8 @@ Misspellings that were never seen share n-gram vectors with the words they bend.
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +20,29 @@ from pyspark.sql import functions as F
 from .quality import sample_labels
 
 BUCKETS = 1 << 16
+LAST = BUCKETS - 1
 WINDOW, STRIDE = 2, 1
 STRIP = ".,;:!?'\"()[]{}|*%$&#<>"
-WORDS_HELD = 400_000
+WORDS_HELD = 1_000_000
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams (3 to 5) of a word with its ends marked, and of the word itself."""
-    w = f"<{word[:40]}>"  # no word is longer; the rest of a long token follows as words of its own
-    grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
-    grams.add(w)
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams})
+    """Buckets of the bag of n-grams (3 to 5 characters) of a word with its ends marked, and of the word itself."""
+    w = f"<{word[:40]}>".encode("utf-16-le", "replace")  # two bytes a character; pieces of longer tokens are words of their own
+    size = len(w)
+    ids = [crc32(w[i : i + n]) & LAST for n in (6, 8, 10) for i in range(0, size - n + 1, 2)]
+    ids.append(crc32(w) & LAST)
+    return ids
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without marks at their ends; tokens over 40 characters are cut into pieces of 40."""
+    """Lower-cased words; tokens over 40 characters are cut into pieces of 40."""
     if not text:
         return []
-    found = []
-    for w in text.lower().split():
-        if len(w) > 40:
-            w = w.strip(STRIP)
-            found.extend(w[i : i + 40] for i in range(0, len(w), 40))
-        else:
-            found.append(w)
-    return found
+    words = text.lower().split()
+    if words and max(map(len, words)) > 40:
+        words = [w[i : i + 40] for w in words for i in range(0, len(w), 40)]
+    return words
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,32 +53,43 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.minimum(starts + WINDOW, n)
 
 
+class Margins(dict):
+    """A word's share of the toxic class's margin, worked out when first asked for."""
+
+    def __init__(self, gram: list):
+        super().__init__()
+        self.gram = gram
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > WORDS_HELD:  # memory only; a word is worth the same again
+            self.clear()
+        ids = subwords(w.strip(STRIP))
+        known = self[w] = sum(map(self.gram.__getitem__, ids)) / len(ids)
+        return known
+
+    def __reduce__(self):
+        return Margins, (self.gram,)
+
+
 @dataclass
 class ToxicModel:
-    gram: list  # per bucket: its share of the toxic class's margin
+    words: Margins
     bias: float
     slope: float
     shift: float
-    held: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {**self.__dict__, "held": {}}
 
     def word(self, w: str) -> float:
-        known = self.held.get(w)
-        if known is None:
-            if len(self.held) > WORDS_HELD:  # memory only; a word is worth the same again
-                self.held.clear()
-            ids = subwords(w.strip(STRIP))
-            known = self.held[w] = sum(map(self.gram.__getitem__, ids)) / len(ids)
-        return known
+        return self.words[w]
 
     def margin(self, text: str | None) -> float:
         """Largest margin of a window (the bias alone for a text without words)."""
         words = words_of(text)
         if not words:
             return self.bias
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.word, words), np.float64, len(words)))])
+        each = np.array(list(map(self.words.__getitem__, words)))
+        if WINDOW == 2 and STRIDE == 1:
+            return float((each[1:] + each[:-1]).max() / 2 if len(each) > 1 else each[0]) + self.bias
+        sums = np.concatenate([[0.0], np.cumsum(each)])
         a, b = windows(len(words))
         return float(((sums[b] - sums[a]) / np.maximum(b - a, WINDOW // 2)).max()) + self.bias
 
@@ -153,18 +162,19 @@ def train(texts: list[str | None], labels: np.ndarray, dim: int = 8, rounds: int
         for x, s, h in zip((grams, soft, bias), steps, past):
             h += s * s
             x -= rate * s / np.sqrt(h)
-    model = ToxicModel((grams @ (soft[:, 1] - soft[:, 0])).tolist(), float(bias[1] - bias[0]), 1.0, 0.0)
-    return model
+    return ToxicModel(Margins((grams @ (soft[:, 1] - soft[:, 0])).tolist()), float(bias[1] - bias[0]), 1.0, 0.0)
 
 
 def calibrate(model: ToxicModel, margins: np.ndarray, labels: np.ndarray) -> ToxicModel:
-    """Fits slope and shift of the last logistic by Newton steps with a small ridge."""
+    """Fits slope and shift of the last logistic by Newton steps with a small ridge;
+    both classes weigh the same, so the rarer one is not given away at the border."""
     x = np.stack([margins, np.ones_like(margins)], 1)
+    weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1)) * min(labels.sum(), (1 - labels).sum())
     theta = np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (p - labels) + 1e-2 * (theta - [1.0, 0.0])
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), grad)
+        grad = x.T @ ((p - labels) * weight) + 1e-2 * (theta - [1.0, 0.0])
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p) * weight)[:, None]) + 1e-2 * np.eye(2), grad)
         theta = theta - np.clip(step, -1, 1)
     if theta[0] > 0:
         model.slope, model.shift = float(theta[0]), float(theta[1])
@@ -179,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
     rows = rows.dropDuplicates(["id"]).toPandas().sort_values("id", ignore_index=True)
     if not len(rows):
         return None
-    aside = np.array([zlib.crc32(b"aside%d" % i) % 4 == 0 for i in rows["id"]])
+    aside = np.array([crc32(b"aside%d" % i) % 4 == 0 for i in rows["id"]])
     texts, y = rows["text"].tolist(), rows["label"].to_numpy(float)
     model = train([t for t, a in zip(texts, aside) if not a], y[~aside])
     if model is None:
