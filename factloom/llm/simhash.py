@@ -260,5 +260,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.union(prints.where("id is null").select("id", "fp", F.lit(None).cast("long").alias("component")))
 
 
+# ---------------------------------------------------------------- near copies of whole texts
+
+SKETCH = 256
+PASSAGE = 15  # a passage ends where a shingle's hash has these bits clear: every 16 shingles, on average
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the 3-word shingles in order (fewer words: of the whole sequence; none: empty)."""
+    words = text.encode("utf-8").lower().split() if text else []
+    n = len(words)
+    joined = b" ".join(words)
+    if n <= 3:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
+    size = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(size + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip((ends - size)[: n - 2].tolist(), ends[2:].tolist())], np.uint64)
+
+
+def passages(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the passages: sums of their shingles' hashes, cut where the content says so."""
+    if not len(hashes):
+        return hashes
+    ends = np.flatnonzero((hashes[:-1] & np.uint64(PASSAGE)) == 0) + 1
+    return np.unique(np.add.reduceat(hashes, np.r_[0, ends]))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hashes of the 5-word shingles, at most SKETCH, ascending.
+
+    Two 3-word shingles two words apart make a 5-word one; fewer words make one
+    of the whole sequence."""
+    if len(hashes) > 2:
+        five = (hashes[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ ((hashes[2:] << np.uint64(31)) | (hashes[2:] >> np.uint64(33)))
+    else:
+        five = hashes[:1] * np.uint64(0x9E3779B97F4A7C15) if len(hashes) < 2 else (hashes[:1] ^ (hashes[1:] << np.uint64(1)))
+    five = (five * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+    return np.unique(five)[:SKETCH].astype(np.uint32)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common 5-word shingles: exact if both texts have at most SKETCH of
+    them, else over the smallest SKETCH of the union."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.union1d(a, b)[:SKETCH] if len(a) == SKETCH or len(b) == SKETCH else np.union1d(a, b)
+    shared = np.intersect1d(a, b, assume_unique=True)
+    return float(np.isin(both, shared, assume_unique=True).mean())
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, limit: int = 3, largest: int = 1 << 16, part: float = 0.1) -> DataFrame:
+    """One row per input row with an id: (id, component) over verified links.
+
+    Candidates are the links of the Gray-order index over whole texts, and each
+    document with the first one (by id) that holds the same passage, where the two
+    meet in ``part`` of its passages at least.  A candidate is a link if the texts
+    share ``similarity`` of their 5-word shingles, judged by sketches.  Groups of any
+    size only ever give one candidate a document and passage.  Texts without words
+    are copies of each other; repeated rows come out as often as they went in; rows
+    of null id are left out."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py())
+                out.append((_majority(h) if len(h) else 0, passages(h).view(np.int64), sketch(h).tobytes()))
+            fps = np.array([o[0] for o in out], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.binary())], names=["id", "fp", "passages", "sketch"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(rows.mapInArrow(run, "id long, fp long, passages array<long>, sketch binary"), "near-copies").withColumn("same", F.xxhash64("fp", "passages", "sketch"))
+    distinct = written(rows.groupBy("fp", "same").agg(F.min("id").alias("rep"), F.first("passages").alias("passages"), F.first("sketch").alias("sketch")), "near-copies-distinct")
+    by_bits = fingerprint_links(distinct.groupBy("fp").agg(F.min("rep").alias("rep")), limit, largest)
+    one_fp = distinct.select("fp", "rep").join(distinct.groupBy("fp").agg(F.min("rep").alias("first")), "fp").where("rep <> first").select(F.col("rep").alias("src"), F.col("first").alias("dst"))
+    held = distinct.select("rep", F.size("passages").alias("n"), F.explode("passages").alias("key"))
+    first = held.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("docs")).where("docs > 1").select("key", "first")
+    met = held.join(first, "key").where("rep <> first").groupBy("rep", "first").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    pairs = met.where(F.col("shared") >= F.col("n") * part).select(F.col("rep").alias("src"), F.col("first").alias("dst")).union(by_bits).union(one_fp).distinct()
+    of = lambda name: distinct.select(F.col("rep").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    shown = pairs.join(of("src"), "src").join(of("dst"), "dst")
+
+    def judged(batches):
+        for batch in batches:
+            a, b = batch.column(1), batch.column(3)
+            ok = [likeness(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(2).filter(pa.array(ok, pa.bool_()))], names=["src", "dst"])
+
+    links = written(shown.select("src", "sketch_src", "dst", "sketch_dst").mapInArrow(judged, "src long, dst long"), "near-copies-links")
+    found = connected_components(links)
+    classes = distinct.select("fp", "same", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", "same", F.coalesce("component", "rep").alias("component"))
+    return rows.select("id", "fp", "same").join(classes, ["fp", "same"]).select("id", "component")
+
+
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
