@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_effects, queries_evidence, queries_graph, queries_identity, queries_ledgers, queries_modules, queries_scalars, queries_trace
+from . import queries_effects, queries_evidence, queries_graph, queries_identity, queries_ledgers, queries_links, queries_modules, queries_scalars, queries_trace
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "queries_effects", "queries_evidence", "queries_graph", "queries_identity", "queries_ledgers", "queries_modules", "queries_scalars", "queries_trace"]
+__all__ = ["QUERIES", "SQL", "queries_effects", "queries_evidence", "queries_graph", "queries_identity", "queries_ledgers", "queries_links", "queries_modules", "queries_scalars", "queries_trace"]
