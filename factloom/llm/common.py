@@ -48,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def thinned(df: DataFrame, key: str, most: int, seed: int = 3) -> DataFrame:
+    """About ``most`` rows, picked by a hash of ``key``; all where there are no more.
+
+    Bounds what a later limit has to gather from each partition."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * (most / n)))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's text form, modulo ``modulus`` (null stays null)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
