@@ -219,28 +219,40 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3, largest: int = 1 << 1
     """(src, dst) links between representatives (``rep``) of distinct fingerprints
     (``fp``), enough to join all that are within ``limit`` bits of one another.
 
-    A group that shares a block and has over ``largest`` members is dealt out
-    once more by blocks of the remaining bits, again and again."""
-    spark = distinct.sparkSession
+    A group that shares a block and has over ``largest`` members is dealt out once
+    more by blocks of the bits in which its members differ, again and again; with
+    at most ``limit`` such bits it has few members and needs no more dealing."""
     full = (1 << 64) - 1
-
-    def dealt(df, masks_of):
-        return df.withColumn("must", F.explode(masks_of)).withColumn("part", F.col("fp").bitwiseAND(F.col("must")))
-
-    todo = dealt(distinct, F.array(*[F.lit(_signed(m)) for m in _blocks(full, limit + 1)]))
+    masks = F.array(*[F.lit(_signed(m)) for m in _blocks(full, limit + 1)])
+    todo = distinct.select("fp", "rep", F.explode(masks).alias("must")).withColumn("part", F.col("fp").bitwiseAND(F.col("must")))
     links = None
     while True:
-        hot = todo.groupBy("must", "part").count().where(F.col("count") > largest).select("must", "part", F.lit(True).alias("hot"))
-        hot = written(hot, "hot-blocks")
-        masks = [r[0] for r in hot.select("must").distinct().collect()]  # at most (limit + 1) ^ depth
-        cool = todo if not masks else todo.join(hot, ["must", "part"], "left_anti")
+        groups = todo.groupBy("must", "part").agg(F.count("*").alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("loose"))
+        hot = groups.where((F.col("n") > largest) & (F.bit_count("loose") > limit)).select("must", "part", "loose")
+        hot = written(hot.mapInPandas(_deeper(limit), "must long, part long, next array<long>"), "hot-blocks")
+        done = hot.isEmpty()
+        cool = todo if done else todo.join(hot, ["must", "part"], "left_anti")
         got = cool.repartition("must", "part").select("must", "fp", "rep").mapInPandas(_local(limit), "src long, dst long")
         links = got if links is None else links.union(got)
-        if not masks:
+        if done:
             return links
-        deeper = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(_signed((m & full) | b)) for b in _blocks(full & ~(m & full), limit + 1)]))])
-        again = todo.join(hot.select("must", "part"), ["must", "part"]).select("fp", "rep", F.col("must").alias("upper"))
-        todo = written(dealt(again, deeper[F.col("upper")]).select("fp", "rep", "must", "part").distinct(), "dealt-again")
+        again = todo.join(hot, ["must", "part"]).select("fp", "rep", F.explode("next").alias("must")).distinct()
+        todo = written(again.withColumn("part", F.col("fp").bitwiseAND(F.col("must"))), "dealt-again")
+
+
+def _deeper(limit: int):
+    """Per hot group the masks that it is dealt out by next."""
+
+    def run(frames):
+        for f in frames:
+            nexts = []
+            for must, loose in zip(f["must"].tolist(), f["loose"].tolist()):
+                loose &= (1 << 64) - 1
+                shared = (must | ~loose) & ((1 << 64) - 1)  # bits in which all members agree
+                nexts.append([_signed(shared | b) for b in _blocks(loose, limit + 1)])
+            yield pd.DataFrame({"must": f["must"], "part": f["part"], "next": nexts})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3, largest: int = 1 << 16) -> DataFrame:
