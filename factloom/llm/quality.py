@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned, written
+
 NAMES = ("log_words", "word_len", "word_len_sd", "distinct_words", "repeated_next", "distinct_pairs", "upper", "lower", "digit", "space", "newline", "bang", "pipe", "mark", "symbol", "beyond_ascii", "entropy", "line_len", "distinct_lines", "short_words")
 DIM = len(NAMES)
 
@@ -123,7 +125,7 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, allowed, most:
     Rows of one id are merged (the largest label); null ids and labels are left out."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & allowed)
     one = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    return one.orderBy(F.xxhash64("id"), "id").limit(most)
+    return thinned(one, "id", most + most // 4 + 100).orderBy(F.xxhash64("id"), "id").limit(most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, features: int = 256, width: float = 0.25, ridge: float = 1e-3, parts: int = 8, seed: int = 7) -> QualityModel | None:
@@ -134,8 +136,6 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", tex
     picked = docs.select(F.col(id_col).cast("long").alias("id"), text_col).join(F.broadcast(ids), "id")  # at most ``most`` ids
     rows = with_statistics(picked, ["id", "label"], text_col).dropDuplicates(["id"])
     rows = rows.withColumn("aside", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(4)) == 0).repartition(parts, "id")
-    from .common import written
-
     rows = written(rows, "quality-sample")
     head = rows.where("not aside").agg(
         *[F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(DIM)], *[F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(DIM)], F.min("label").alias("lo"), F.max("label").alias("hi")
