@@ -101,20 +101,21 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(upper == 0, 0).otherwise((upper - 1) * step + F.size(F.filter(inner, lambda b: b <= key)))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], rows: int = 4_000, most: int = 4_096) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], rows: int = 4_000, most: int = 32_768) -> DataFrame:
     """``docs`` with ``next``: struct of ``columns`` of the row that follows by ``key``
     (after the last: the first).  Rows of equal keys follow one another by their
-    hash; rows whose key is null are left out.
+    hash; rows whose key is null have none and are followed by nothing (null).
 
     Keys are cut into at most ``most`` ranges; each is one window, and the first
     row of the following range is copied behind its end."""
     spark = docs.sparkSession
     able = docs.where(F.col(key).isNotNull())
+    lost = docs.where(F.col(key).isNull()).withColumn("next", F.when(F.lit(False), F.struct(*columns)))
     count = able.select(key).count()
     if not count:
-        return able.withColumn("next", F.struct(*[F.col(c) for c in columns]))
+        return lost
     parts = min(most, -(-count // rows))
-    cuts = able.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] if parts > 1 else []
+    cuts = able.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], min(100 * parts, 1_000_000))).first()[0] if parts > 1 else []
     bounds = sorted(set(cuts))
     placed = able.withColumn("__b", _bucket(F.col(key), bounds))
     heads = sorted((r[1], r[0]) for r in placed.groupBy("__b").agg(F.min(key)).collect())  # one row for each range
@@ -124,4 +125,4 @@ def with_next(docs: DataFrame, key: str, columns: list[str], rows: int = 4_000,
     both = body.union(copies.select(*docs.columns, "__b", "__wrap", F.lit(True).alias("__copy")))
     both = both.withColumn("__tie", F.xxhash64(*columns))
     order = Window.partitionBy("__b").orderBy("__wrap", key, "__tie", "__copy")
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(~F.col("__copy")).select(*docs.columns, "next")
+    return both.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(~F.col("__copy")).select(*docs.columns, "next").union(lost)

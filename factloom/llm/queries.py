@@ -19,7 +19,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     scored = quality.score(docs, model).withColumnRenamed("id", "doc_id")
-    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of null id has no next document: only its first half is left of its edited text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     prints = multiset.with_lanes(docs, F.col("text"), "f")
     pairs = multiset.with_next(prints, "doc_id", ["text", "f"])
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.col("next.text"), half))
+    edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.coalesce(F.col("next.text"), F.lit("")), half))
     pairs = pairs.select("doc_id", n.alias("n_chars"), edited.alias("edited"), F.col("f"), F.col("next.f").alias("g"))
     done = multiset.with_lanes(pairs, F.col("edited"), "e")
     f, e, g = F.col("f"), F.col("e"), F.col("g")
@@ -56,7 +57,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         multiset.shown(f).alias("fingerprint"),
         multiset.shown(e).alias("edited_fingerprint"),
         multiset.likeness(f, e).alias("near_edited"),
-        multiset.likeness(f, g).alias("near_next"),
+        F.coalesce(multiset.likeness(f, g), F.lit(0.0)).alias("near_next"),
     )
 
 
@@ -84,7 +85,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
-    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]

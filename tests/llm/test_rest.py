@@ -154,11 +154,19 @@ def test_op6_against_plain_texts(spark, sf):
     assert np.mean(apart) > 0.95
 
 
+def test_op6_keeps_every_row(spark, tmp_path, odd, none):
+    for i, df in enumerate((odd, none)):
+        df.write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        out = queries.op6_fingerprints(spark, f"{tmp_path}/{i}").collect()
+        assert len(out) == df.count() and all(r.fingerprint is not None and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
+
+
 def test_next_row_over_many_ranges(spark, odd, none):
     keys = [(random.Random(i).randrange(10**6) * 3, f"t{i}") for i in range(500)] + [(9, "a"), (9, "b"), (None, "x")]
     df = spark.createDataFrame(keys, "k long, t string")
     got = multiset.with_next(df, "k", ["k", "t"], rows=20).collect()
-    assert len(got) == 502
+    assert len(got) == 503 and [r.next for r in got if r.k is None] == [None]
+    got = [r for r in got if r.k is not None]
     order = sorted(k for k, _ in keys if k is not None)
     after = {}
     for r in got:
@@ -167,7 +175,7 @@ def test_next_row_over_many_ranges(spark, odd, none):
         assert order[i + 1] in after[k]
     assert after[order[-1]] == [order[0]]
     assert multiset.with_next(none, "doc_id", ["text"]).count() == 0
-    assert multiset.with_next(odd, "doc_id", ["text"]).count() == odd.count() - 1
+    assert multiset.with_next(odd, "doc_id", ["text"]).count() == odd.count()
 
 
 # ---------------------------------------------------------------- url filters
