@@ -47,6 +47,8 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key:
         found = step(delta.select(*names), n).select(*names).dropDuplicates(key)
         delta = cut(found.join(total.select(*key), key, "left_anti").select(*names).withColumn("round", F.lit(n)))
         total = total.union(delta)
+        if n % 8 == 0:  # else the union's parts, and with them tasks, grow with the rounds
+            total = cut(total.repartition(*key))
 
 
 def closure(edges: DataFrame, seed: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 128) -> tuple[DataFrame, bool]:
