@@ -24,6 +24,7 @@ LAST = BUCKETS - 1
 WINDOW, STRIDE = 2, 1
 STRIP = ".,;:!?'\"()[]{}|*%$&#<>"
 WORDS_HELD = 1_000_000
+BORDER, NEARER = 0.3, 0.25
 
 
 def subwords(word: str) -> list[int]:
@@ -167,7 +168,10 @@ def train(texts: list[str | None], labels: np.ndarray, dim: int = 8, rounds: int
 
 def calibrate(model: ToxicModel, margins: np.ndarray, labels: np.ndarray) -> ToxicModel:
     """Fits slope and shift of the last logistic by Newton steps with a small ridge;
-    both classes weigh the same, so the rarer one is not given away at the border."""
+    both classes weigh the same, so the rarer one is not given away at the border.
+
+    Where the classes lie apart, a score of BORDER falls a share NEARER of the gap
+    above the clean ones: bent words make margins in between."""
     x = np.stack([margins, np.ones_like(margins)], 1)
     weight = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1)) * min(labels.sum(), (1 - labels).sum())
     theta = np.array([1.0, 0.0])
@@ -178,6 +182,9 @@ def calibrate(model: ToxicModel, margins: np.ndarray, labels: np.ndarray) -> Tox
         theta = theta - np.clip(step, -1, 1)
     if theta[0] > 0:
         model.slope, model.shift = float(theta[0]), float(theta[1])
+        clean, toxic = np.quantile(margins[labels == 0], 0.999), np.quantile(margins[labels == 1], 0.01)
+        if toxic > clean:
+            model.shift = float(np.log(BORDER / (1 - BORDER)) - model.slope * (clean + NEARER * (toxic - clean)))
     return model
 
 
