@@ -48,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in slices of at most ``rows``, so that what Python holds of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def thinned(df: DataFrame, key: str, most: int, seed: int = 3) -> DataFrame:
     """About ``most`` rows, picked by a hash of ``key``; all where there are no more.
 

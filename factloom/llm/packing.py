@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .tokens import default_files, encoder
 
 
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, grid: int
 
     def run(batches):
         encode, part, seen = encoder(*files), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in sliced(batches):
             out, ids_out = [], []
             for key, text in zip(batch.column(0), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import thinned, written
+from .common import sliced, thinned, written
 
 NAMES = ("log_words", "word_len", "word_len_sd", "distinct_words", "repeated_next", "distinct_pairs", "upper", "lower", "digit", "space", "newline", "bang", "pipe", "mark", "symbol", "beyond_ascii", "entropy", "line_len", "distinct_lines", "short_words")
 DIM = len(NAMES)
@@ -110,7 +110,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str) -> DataFram
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             stats = np.array([statistics(t.as_py()) for t in batch.column(len(names))]).reshape(-1, DIM)
             flat = pa.array(stats.reshape(-1), pa.float64())
             offsets = pa.array(np.arange(0, stats.size + 1, DIM), pa.int32())
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
     scored by their (zero) statistics; repeated rows come out as often as they went in."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             stats = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, DIM)
             p = model.score(stats) if model is not None and len(stats) else np.full(len(stats), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["id", "score"])
@@ -193,7 +193,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text
     at = schema.fieldNames().index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             if model is None:
                 yield batch
                 continue

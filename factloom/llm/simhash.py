@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .components import connected_components
 
 FAN = 8
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) per row; fp holds the unsigned value's 64 bits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
@@ -334,7 +334,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of null id are left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py())
@@ -355,7 +355,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shown = pairs.join(of("src"), "src").join(of("dst"), "dst")
 
     def judged(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = batch.column(1), batch.column(3)
             ok = [likeness(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(2).filter(pa.array(ok, pa.bool_()))], names=["src", "dst"])

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import sliced
+
 END = "<|endoftext|>"
 #: A stretch without white space beyond this length goes to the slower library, whose merge is not quadratic.
 LONG_RUN = 4000
@@ -40,11 +42,15 @@ def encoder(json_file: str, ranks_file: str | None):
 
     With ``ranks_file``, which holds the same vocabulary, the faster of two
     equal encoders is used, but for very long stretches without white space."""
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_file)
+    @lru_cache(maxsize=1)
+    def slow():  # held only where it is needed
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_file)
+
     if ranks_file is None:
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return lambda text: slow().encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
@@ -54,7 +60,7 @@ def encoder(json_file: str, ranks_file: str | None):
 
     def encode(text: str) -> list[int]:
         if len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN:
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
         if END in text:
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)
@@ -71,7 +77,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", out: str = "n_tokens",
 
     def run(batches):
         encode = encoder(*files)
-        for batch in batches:
+        for batch in sliced(batches):
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*schema.fieldNames(), out])
 
@@ -182,7 +188,7 @@ def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         encode = encoder(*files)
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, edits in zip(batch.column(1), batch.column(2)):
                 text = text.as_py() or ""
