@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import sliced, thinned, written
 from .components import connected_components
 
 FAN = 8
@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- near copies of whole texts
 
 SKETCH = 256
-PASSAGE = 15  # a passage ends where a shingle's hash has these bits clear: every 16 shingles, on average
+CENTRES = 8  # members of each posting list that all its others are compared with first
+COMMON = 50_000  # shingles at most that a sample names as common; they only move to the end of the order
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -291,14 +292,6 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip((ends - size)[: n - 2].tolist(), ends[2:].tolist())], np.uint64)
 
 
-def passages(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the passages: sums of their shingles' hashes, cut where the content says so."""
-    if not len(hashes):
-        return hashes
-    ends = np.flatnonzero((hashes[:-1] & np.uint64(PASSAGE)) == 0) + 1
-    return np.unique(np.add.reduceat(hashes, np.r_[0, ends]))
-
-
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The smallest hashes of the 5-word shingles, at most SKETCH, ascending.
 
@@ -322,48 +315,140 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, shared, assume_unique=True).mean())
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, limit: int = 3, largest: int = 1 << 16, part: float = 0.1) -> DataFrame:
-    """One row per input row with an id: (id, component) over verified links.
+def leading(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sketch, as many as any sketch alike must share one of.
+
+    Two sketches of likeness ``similarity`` share that part of the larger one at
+    least, so each has one of the shared ones among its first n - part + 1, whatever
+    order all sketches are put in.  ``common`` (ascending) holds the shingles that
+    come last in the order and their rank; all others go by value."""
+    n = len(held)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if not n or not len(common):
+        return held[:most]
+    at = np.minimum(np.searchsorted(common["key"], held), len(common) - 1)
+    late = common["key"][at] == held
+    return np.r_[held[~late], held[late][np.argsort(common["rank"][at[late]], kind="stable")]][:most]
 
-    Candidates are the links of the Gray-order index over whole texts, and each
-    document with the first one (by id) that holds the same passage, where the two
-    meet in ``part`` of its passages at least.  A candidate is a link if the texts
-    share ``similarity`` of their 5-word shingles, judged by sketches.  Groups of any
-    size only ever give one candidate a document and passage.  Texts without words
-    are copies of each other; repeated rows come out as often as they went in; rows
-    of null id are left out."""
+
+def _common(distinct: DataFrame, most: int = COMMON, most_docs: int = 20_000) -> np.ndarray:
+    """(key, rank) of shingles that several of about ``most_docs`` sketches hold, the commonest with the highest rank.
+
+    Only the order of the shingles depends on it, never which pairs are found."""
 
     def run(batches):
         for batch in sliced(batches):
-            out = []
-            for t in batch.column(1):
-                h = shingle_hashes(t.as_py())
-                out.append((_majority(h) if len(h) else 0, passages(h).view(np.int64), sketch(h).tobytes()))
-            fps = np.array([o[0] for o in out], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.binary())], names=["id", "fp", "passages", "sketch"])
+            held = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(0)]
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
+    found = thinned(distinct, "rep", most_docs).select("sketch").mapInArrow(run, "key long, n long")
+    top = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toPandas()
+    out = np.zeros(len(top), [("key", np.uint32), ("rank", np.int64)])
+    out["key"], out["rank"] = top["key"].to_numpy(np.int64), np.arange(len(top), 0, -1)
+    return np.sort(out, order="key")
+
+
+def _judged(pairs: DataFrame, distinct: DataFrame, similarity: float, tag: str) -> DataFrame:
+    """The pairs (src, dst) whose sketches are alike."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            a, b = batch.column(1), batch.column(3)
+            ok = pa.array([likeness(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(2).filter(ok)], names=["src", "dst"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(rows.mapInArrow(run, "id long, fp long, passages array<long>, sketch binary"), "near-copies").withColumn("same", F.xxhash64("fp", "passages", "sketch"))
-    distinct = written(rows.groupBy("fp", "same").agg(F.min("id").alias("rep"), F.first("passages").alias("passages"), F.first("sketch").alias("sketch")), "near-copies-distinct")
-    by_bits = fingerprint_links(distinct.groupBy("fp").agg(F.min("rep").alias("rep")), limit, largest)
-    one_fp = distinct.select("fp", "rep").join(distinct.groupBy("fp").agg(F.min("rep").alias("first")), "fp").where("rep <> first").select(F.col("rep").alias("src"), F.col("first").alias("dst"))
-    held = distinct.select("rep", F.size("passages").alias("n"), F.explode("passages").alias("key"))
-    first = held.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("docs")).where("docs > 1").select("key", "first")
-    met = held.join(first, "key").where("rep <> first").groupBy("rep", "first").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    pairs = met.where(F.col("shared") >= F.col("n") * part).select(F.col("rep").alias("src"), F.col("first").alias("dst")).union(by_bits).union(one_fp).distinct()
     of = lambda name: distinct.select(F.col("rep").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     shown = pairs.join(of("src"), "src").join(of("dst"), "dst")
+    return written(shown.select("src", "sketch_src", "dst", "sketch_dst").mapInArrow(run, "src long, dst long"), tag)
+
+
+def _tile(similarity: float):
+    """Links of one tile of a posting list, (src, dst), enough to join all pairs of
+    different components that are alike.  A tile off the diagonal compares its two
+    chunks only.  Pairs are counted by matrix products and never become rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(x, np.uint32) for x in pdf["sketch"]]
+        reps, chunk = pdf["rep"].to_numpy(np.int64), pdf["chunk"].to_numpy(np.int64)
+        lab = np.unique(pdf["component"].to_numpy(np.int64), return_inverse=True)[1]
+        size = np.array([len(x) for x in held], np.float32)
+        owner = np.repeat(np.arange(len(held)), size.astype(np.int64))
+        column, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)[1:]
+        several = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
+        by = np.argsort(several, kind="stable")
+        owner, several = owner[by], several[by]
+        shared = np.zeros((len(held), len(held)), np.float32)
+        for at in range(0, int(several[-1]) + 1, 4096):
+            lo, hi = np.searchsorted(several, [at, at + 4096])
+            x = np.zeros((len(held), 4096), np.float32)
+            x[owner[lo:hi], several[lo:hi] - at] = 1
+            shared += x @ x.T
+        off = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        out = []
+        for i in range(len(held)):
+            fit = shared[i, :i] >= np.maximum(size[i], size[:i]) * similarity - 1e-3
+            if off:
+                fit &= chunk[:i] != chunk[i]
+            for j in np.flatnonzero(fit & (lab[:i] != lab[i])).tolist():
+                if lab[i] != lab[j] and likeness(held[i], held[j]) >= similarity:
+                    out.append((reps[i], reps[j]))
+                    lab[lab == lab[i]] = lab[j]
+        return pd.DataFrame(out, columns=["src", "dst"], dtype=np.int64)
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
+    """One row per input row with an id: (id, component) over verified links.
 
-    def judged(batches):
+    Two texts are linked if they share ``similarity`` of their 5-word shingles, judged
+    by sketches; component is the smallest id reachable.  No such link is missed:
+    posting lists of the sketches' leading shingles name every pair that can be alike.
+    A list's members are judged against its first few (by hash), which joins large
+    groups of copies at a linear cost; then every pair of a list that is not in one
+    component yet is judged too, in tiles of ``chunk`` by ``chunk`` members.  Texts without words are copies of each other;
+    repeated rows come out as often as they went in; rows of null id are left out."""
+
+    def run(batches):
         for batch in sliced(batches):
-            a, b = batch.column(1), batch.column(3)
-            ok = [likeness(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(2).filter(pa.array(ok, pa.bool_()))], names=["src", "dst"])
+            held = [sketch(shingle_hashes(t.as_py())).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["id", "sketch"])
 
-    links = written(shown.select("src", "sketch_src", "dst", "sketch_dst").mapInArrow(judged, "src long, dst long"), "near-copies-links")
+    keys = [F.xxhash64("sketch").alias("same"), F.xxhash64(F.lit(1), "sketch").alias("other")]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = written(rows.mapInArrow(run, "id long, sketch binary"), "near-copies").select("id", "sketch", *keys)
+    distinct = written(rows.groupBy("sketch").agg(F.min("id").alias("rep")).select("rep", "sketch", *keys), "near-copies-distinct")
+    common = _common(distinct)
+
+    def posted(batches):
+        for batch in sliced(batches):
+            held = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(1)]
+            first = [leading(x, common, similarity).view(np.int32) for x in held]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array(first, pa.list_(pa.int32()))], names=["rep", "n", "keys"])
+
+    held = written(distinct.select("rep", "sketch").mapInArrow(posted, "rep long, n int, keys array<int>"), "near-copies-leading").select("rep", "n", F.explode("keys").alias("key"))
+    shared = held.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1")
+    lists = written(held.join(shared, "key"), "near-copies-lists")
+    by = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
+    centres = written(lists.select("key", "rep", "n", F.row_number().over(by).alias("place")).where(F.col("place") <= CENTRES).drop("place"), "near-copies-centres")
+
+    n, m = F.col("a.n"), F.col("b.n")
+    met = lists.alias("a").join(centres.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.rep") != F.col("b.rep")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9))
+    pairs = met.select(F.greatest("a.rep", "b.rep").alias("src"), F.least("a.rep", "b.rep").alias("dst")).distinct()
+    links = _judged(pairs, distinct, similarity, "near-copies-links")
     found = connected_components(links)
-    classes = distinct.select("fp", "same", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", "same", F.coalesce("component", "rep").alias("component"))
-    return rows.select("id", "fp", "same").join(classes, ["fp", "same"]).select("id", "component")
+    # lists of at most CENTRES + 1 members have had all their pairs judged
+    named = lists.where(F.col("docs") > CENTRES + 1).join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "docs", F.coalesce("component", "rep").alias("component"))
+    open_ = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other_one")).where("one <> other_one").select("key")
+    chunks = F.ceil(F.col("docs") / chunk)
+    dealt = named.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "rep"), chunks)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    tiles = dealt.select("key", "rep", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(distinct.select("rep", "sketch"), "rep")
+    rest = written(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(similarity), "src long, dst long").distinct(), "near-copies-rest")
+    if not rest.isEmpty():
+        found = connected_components(links.union(rest))
+    classes = distinct.select("same", "other", "rep").join(found, F.col("rep") == F.col("node"), "left").select("same", "other", F.coalesce("component", "rep").alias("component"))
+    return rows.select("id", "same", "other").join(classes, ["same", "other"]).select("id", "component")
 
 
 def hex_digits(fp: str = "fp"):

@@ -98,3 +98,52 @@ def test_near_copies_odd_rows(odd, none):
     got = simhash.near_copies(odd).collect()
     assert len(got) == odd.where(F.col("doc_id").isNotNull()).count() and {r.component for r in got if r.id in (1, 2, 3)} == {1}
     assert simhash.near_copies(none).count() == 0
+
+
+def plain_components(texts, similarity=0.8):
+    held = [simhash.sketch(simhash.shingle_hashes(t)) for t in texts]
+    lab = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if lab[i] != lab[j] and simhash.likeness(held[i], held[j]) >= similarity:
+                lab = [min(lab[i], lab[j]) if x in (lab[i], lab[j]) else x for x in lab]
+    return lab
+
+
+def copies_of(spark, texts, **more):
+    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **more).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_near_copies_quoting_and_short(spark):
+    """All that two copies share is quoted from unrelated earlier texts; and copies of 15 to 60 words."""
+    rng = np.random.default_rng(31)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = []
+    for _ in range(6):
+        quotes = [words(60) for _ in range(6)]
+        texts += [" ".join(words(400) + q + words(400)) for q in quotes]
+        body = sum(quotes, [])
+        texts += [" ".join(body), " ".join(body[:-1] + ["other"]), " ".join(["first"] + body)]
+    for n in range(15, 60):
+        body = words(n)
+        texts += [" ".join(body), " ".join(body[:-1] + ["last"]), " ".join(["first"] + body[1:])]
+    want = plain_components(texts)
+    assert len(set(want)) < len(texts) - 80
+    assert copies_of(spark, texts) == want
+
+
+def test_near_copies_chains_of_edits(spark):
+    """Dense groups in which most pairs are not alike and only neighbours in the chain are."""
+    rng = np.random.default_rng(32)
+    texts = []
+    for _ in range(4):
+        body = [f"w{x}" for x in rng.integers(0, 50_000, 120)]
+        for step in range(40):
+            texts.append(" ".join(body))
+            for at in rng.integers(0, 120, 1 + step % 3):
+                body = body[:at] + [f"n{rng.integers(0, 50_000)}"] + body[at + 1 :]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    want = plain_components(texts)
+    assert copies_of(spark, texts) == want
+    assert copies_of(spark, texts, chunk=7) == want
