@@ -17,10 +17,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One row of each group of near copies stays, that of the smallest id, then of the
+    smallest digest of the text.
+
+    Rows are told apart by id and text: two texts of one id are judged apart, and of
+    rows equal in both one stays.  Rows of null id stay."""
     found = simhash.near_copies(docs, similarity=0.8)
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(found.groupBy("group", "id", "digest").agg(F.count("*").alias("n")), "pipeline-near-copies")
+    first = rows.groupBy("group").agg(F.min(F.struct("id", "digest")).alias("first"))
+    key = [F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")]
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_digest"))
+    gone = rows.join(first, "group").where((F.col("id") != F.col("first.id")) | (F.col("digest") != F.col("first.digest"))).select(*key)
+    kept = docs.join(gone, same, "left_anti")
+    again = rows.where("n > 1").select(*key)
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, same, "left_semi").withColumn("__digest", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__digest"])
+    return kept.join(again, same, "left_anti").union(one.select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

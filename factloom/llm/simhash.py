@@ -400,7 +400,9 @@ def _tile(similarity: float):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
-    """One row per input row with an id: (id, component) over verified links.
+    """One row per input row with an id: (id, digest, component, group) over verified links,
+    digest being the xxhash64 of its text and group a number of the component's own
+    (where an id has several texts, two components may have the same smallest id).
 
     Two texts are linked if they share ``similarity`` of their 5-word shingles, judged
     by sketches; component is the smallest id reachable.  No such link is missed:
@@ -413,12 +415,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for batch in sliced(batches):
             held = [sketch(shingle_hashes(t.as_py())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.binary())], names=["id", "digest", "sketch"])
 
     keys = [F.xxhash64("sketch").alias("same"), F.xxhash64(F.lit(1), "sketch").alias("other")]
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(rows.mapInArrow(run, "id long, sketch binary"), "near-copies").select("id", "sketch", *keys)
-    distinct = written(rows.groupBy("sketch").agg(F.min("id").alias("rep")).select("rep", "sketch", *keys), "near-copies-distinct")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+    rows = written(rows.mapInArrow(run, "id long, digest long, sketch binary"), "near-copies").select("id", "digest", "sketch", *keys)
+    # an id may come with several texts, so sketches get numbers of their own
+    distinct = written(rows.groupBy("sketch").agg(F.min("id").alias("id")).select(F.monotonically_increasing_id().alias("rep"), "id", "sketch", *keys), "near-copies-distinct")
     common = _common(distinct)
 
     def posted(batches):
@@ -447,8 +450,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = written(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(similarity), "src long, dst long").distinct(), "near-copies-rest")
     if not rest.isEmpty():
         found = connected_components(links.union(rest))
-    classes = distinct.select("same", "other", "rep").join(found, F.col("rep") == F.col("node"), "left").select("same", "other", F.coalesce("component", "rep").alias("component"))
-    return rows.select("id", "same", "other").join(classes, ["same", "other"]).select("id", "component")
+    grouped = distinct.select("same", "other", "rep", "id").join(found, F.col("rep") == F.col("node"), "left").select("same", "other", "id", F.coalesce("component", "rep").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("id").alias("component"))
+    classes = grouped.drop("id").join(least, "group").select("same", "other", "component", "group")
+    return rows.select("id", "digest", "same", "other").join(classes, ["same", "other"]).select("id", "digest", "component", "group")
 
 
 def hex_digits(fp: str = "fp"):

@@ -147,3 +147,14 @@ def test_near_copies_chains_of_edits(spark):
     want = plain_components(texts)
     assert copies_of(spark, texts) == want
     assert copies_of(spark, texts, chunk=7) == want
+
+
+def test_near_dedup_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(33)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 80)) for _ in range(4)]
+    rows = [(1, text[0]), (2, text[0] + " more"), (2, text[1]), (3, text[2]), (3, text[2]), (4, text[2]), (5, text[3]), (None, text[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (5, text[3]), (None, text[3])], key=repr)
