@@ -98,6 +98,18 @@ def test_network_finds_spans_alone_and_adds_new_forms(spark, tagger):
     assert (3, 14, 28) in pii.added_spans([text], [[]], tagger)[0]
 
 
+def test_pii_at_without_digits(tagger):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    found = 0
+    for _ in range(50):
+        head = "the people who want to know more about it should please write to " * int(rng.integers(1, 4))
+        span = f"{word(int(rng.integers(3, 9)))} (at) {word(int(rng.integers(3, 9)))}.com"
+        text = head + span + " and then wait for an answer"
+        found += any(k == 0 and a <= len(head) + 1 and b >= len(head) + len(span) - 1 for k, a, b in pii.added_spans([text], [[]], tagger)[0])
+    assert found >= 30  # 38 when written, none where the text around an "(at)" was not read
+
+
 def test_pii_odd_rows_and_mask(spark, odd, none, tagger):
     assert pii.find(odd, tagger).count() == odd.count() and pii.find(none, tagger).count() == 0 and pii.fit(none) is not None
     rows = spark.createDataFrame([(1, "mail a.b@c.de or +1 (555) 555-1234 now", 5), (2, None, 7), (3, "clean", 5)], "doc_id long, text string, n_chars long")
