@@ -28,11 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int = 128) -> tuple[DataFrame, bool]:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = 128) -> tuple[DataFrame, bool]:
     """All rows reachable from ``seed`` by ``step(delta, round)``, distinct by ``key``.
 
     Returns the rows, with the ``round`` that first found them (0: seed), and
-    whether the round budget ran out before the end."""
+    whether the round budget ran out before the end (None: no budget)."""
     from pyspark.sql import functions as F
 
     names = seed.columns
@@ -41,7 +41,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key:
     while True:
         if delta.isEmpty():
             return total, False
-        if n >= max_rounds:
+        if max_rounds is not None and n >= max_rounds:
             return total, True
         n += 1
         found = step(delta.select(*names), n).select(*names).dropDuplicates(key)
@@ -51,6 +51,22 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key:
             total = cut(total.repartition(*key))
 
 
+def rounds(most: int | None):
+    """Numbers of rounds for a loop that ends itself; raises where ``most`` are not enough."""
+    n = 0
+    while most is None or n < most:
+        yield n
+        n += 1
+    raise RuntimeError(f"not settled in {most} rounds")
+
+
+def whole(found: tuple[DataFrame, bool]) -> DataFrame:
+    """The rows of a fixpoint that must not be cut short."""
+    if found[1]:
+        raise RuntimeError("the round budget ran out before the fixpoint")
+    return found[0]
+
+
 def closure(edges: DataFrame, seed: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 128) -> tuple[DataFrame, bool]:
     """Nodes reachable from ``seed`` (column ``node``) over ``edges``, with their hop distance as ``round``."""
     from pyspark.sql import functions as F

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import cut, fixpoint
+from .fixpoint import cut, fixpoint, rounds, whole
 
 
 def reach_pairs(edges: DataFrame, max_rounds: int = 128) -> DataFrame:
@@ -86,7 +86,7 @@ def class_targets(calls: DataFrame, below: DataFrame, methods: DataFrame) -> Dat
     return virtual.select("site", "target", "name").union(direct.select("site", "target", "name")).distinct()
 
 
-def rapid_targets(calls: DataFrame, below: DataFrame, methods: DataFrame, created: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
+def rapid_targets(calls: DataFrame, below: DataFrame, methods: DataFrame, created: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Rapid-type resolution: methods (class.name) reached from ``roots`` (node), where a
     virtual call's target class must have been created by a reached method.
 
@@ -97,7 +97,7 @@ def rapid_targets(calls: DataFrame, below: DataFrame, methods: DataFrame, create
     targets = cut(targets)
     reached = cut(roots.select("node").distinct())
     n = reached.count()
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         live = created.join(reached, F.col("method") == F.col("node"), "left_semi").select(F.col("class").alias("live")).distinct()
         open_ = targets.join(reached, F.col("caller") == F.col("node"), "left_semi")
         found = open_.where("kind <> 'virtual'").select("callee").union(open_.where("kind = 'virtual'").join(live, F.col("target") == F.col("live"), "left_semi").select("callee"))
@@ -112,7 +112,7 @@ def rapid_targets(calls: DataFrame, below: DataFrame, methods: DataFrame, create
 # ---------------------------------------------------------------- points-to
 
 
-def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: DataFrame, max_rounds: int = 64) -> DataFrame:
+def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Inclusion-based points-to (var, obj) with fields.
 
     address: (var, obj); copies: (src, dst); loads: (base, field, dst); stores:
@@ -121,7 +121,7 @@ def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: D
     total = cut(address.select("var", "obj").distinct())
     delta, ways = total, cut(copies.select("src", "dst").distinct())
     fresh_ways = ways
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         cell = F.concat_ws(".", F.col("obj"), F.col("field"))
         seen = delta.withColumnRenamed("var", "base")
         more = seen.join(loads, "base").select(cell.alias("src"), "dst").union(seen.join(stores, "base").select("src", cell.alias("dst"))).distinct()
@@ -133,7 +133,6 @@ def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: D
         if delta.isEmpty() and fresh_ways.isEmpty():
             return total
         total = cut(total.union(delta))
-    return total
 
 
 def may_alias(pts: DataFrame) -> DataFrame:
@@ -144,7 +143,7 @@ def may_alias(pts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- control flow
 
 
-def reaching_definitions(blocks: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reaching_definitions(blocks: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(method, block, var, def): definitions that reach a block's start.
 
     blocks: (method, block, var): the variable that a block defines, if any."""
@@ -157,7 +156,7 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame, max_rounds: int =
         through = delta.withColumnRenamed("block", "at").join(own, ["method", "at"]).where("killed is null or killed <> var")
         return through.join(ways, ["method", "at"]).select("method", F.col("to").alias("block"), "var", "def")
 
-    return fixpoint(seed, step, ["method", "block", "var", "def"], max_rounds)[0].drop("round")
+    return whole(fixpoint(seed, step, ["method", "block", "var", "def"], max_rounds)).drop("round")
 
 
 def def_use(reaching: DataFrame, uses: DataFrame) -> DataFrame:
@@ -203,7 +202,7 @@ def dominator_tree(idoms: DataFrame) -> DataFrame:
     up = idoms.where("idom is not null").select(F.col("method").alias("m"), F.col("idom").alias("at"), F.col("block").alias("child"))
     seed = idoms.where("idom is null").select("method", "block")
     step = lambda d, _: d.join(up, (F.col("method") == F.col("m")) & (F.col("block") == F.col("at"))).select("method", F.col("child").alias("block"))
-    return fixpoint(seed, step, ["method", "block"])[0].withColumnRenamed("round", "depth")
+    return fixpoint(seed, step, ["method", "block"], None)[0].withColumnRenamed("round", "depth")
 
 
 def phi_places(blocks: DataFrame, idoms: DataFrame) -> DataFrame:
@@ -211,10 +210,10 @@ def phi_places(blocks: DataFrame, idoms: DataFrame) -> DataFrame:
     front = idoms.select(F.col("method").alias("m"), F.col("block").alias("at"), F.explode("frontier").alias("to"))
     step = lambda d, _: d.join(front, (F.col("method") == F.col("m")) & (F.col("block") == F.col("at"))).select("method", F.col("to").alias("block"), "var")
     seed = step(blocks.where("var is not null"), 0)
-    return fixpoint(seed, step, ["method", "block", "var"])[0].drop("round")
+    return fixpoint(seed, step, ["method", "block", "var"], None)[0].drop("round")
 
 
-def tabulate(flows: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
+def tabulate(flows: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """IFDS tabulation: path edges (d1, n, d2) from a procedure's entry fact.
 
     flows: (n, d, to, e): inside a procedure; calls: (n, d, site, entry, e); returns:
@@ -222,7 +221,7 @@ def tabulate(flows: DataFrame, calls: DataFrame, returns: DataFrame, seeds: Data
     the entry facts they opened; every round keeps only new edges."""
     path = cut(seeds.select(F.concat_ws("/", "n", "d").alias("d1"), "n", F.col("d").alias("d2")).distinct())
     n = path.count()
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         at = path.alias("p")
         inner = at.join(flows, (F.col("p.n") == flows["n"]) & (F.col("p.d2") == flows["d"])).select("p.d1", F.col("to").alias("n"), F.col("e").alias("d2"))
         opened = at.join(calls, (F.col("p.n") == calls["n"]) & (F.col("p.d2") == calls["d"])).select("p.d1", "site", "entry", "e")

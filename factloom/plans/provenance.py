@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import cut, fixpoint
+from .fixpoint import cut, fixpoint, whole
 
 
-def backward_dag(derivations: DataFrame, sinks: DataFrame, max_facts: int | None = None, max_rounds: int = 128) -> DataFrame:
+def backward_dag(derivations: DataFrame, sinks: DataFrame, max_facts: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """(sink, fact, round): facts from which each sink (fact) derives, with their
     distance; derivations: (from_fact, to_fact).  ``max_facts`` keeps the nearest per sink."""
     seed = sinks.select(F.col("fact").alias("sink"), "fact")
     back = derivations.select(F.col("to_fact").alias("at"), F.col("from_fact").alias("source"))
-    found, _ = fixpoint(seed, lambda d, _: d.join(back, F.col("fact") == F.col("at")).select("sink", F.col("source").alias("fact")), ["sink", "fact"], max_rounds)
+    found = whole(fixpoint(seed, lambda d, _: d.join(back, F.col("fact") == F.col("at")).select("sink", F.col("source").alias("fact")), ["sink", "fact"], max_rounds))
     if max_facts is not None:
         w = Window.partitionBy("sink").orderBy("round", "fact")
         found = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max_facts).drop("__n")

@@ -216,3 +216,22 @@ def test_modelling_session_stops_asking(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "bad1"), (4, "bad2"), (5, "bad3"), (6, "good")], "slice int, text string")
     got = {r["slice"]: (r.decision, r.rounds) for r in ModellingSession(decide, lambda t: t + "++").run(df).collect()}
     assert got == {1: ("accept", 2), 2: ("accept", 2), 3: ("failed", 1), 4: ("failed", 1), 5: ("failed", 1), 6: ("undecided", 0)} and asked.count("ab") == 1
+
+
+def test_fixpoints_are_whole_or_raise(spark):
+    """A result that a round budget cut short was returned as if whole."""
+    copies = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(5)], "src string, dst string")
+    no = spark.createDataFrame([], "base string, field string, dst string, src string")
+    of = lambda **more: graph.points_to(spark.createDataFrame([("v0", "o")], "var string, obj string"), copies, no.select("base", "field", "dst"), no.select("base", "field", "src"), **more)
+    assert of().count() == 6
+    blocks = spark.createDataFrame([("m", i, "x" if i == 0 else None) for i in range(6)], "method string, block long, var string")
+    edges = spark.createDataFrame([("m", i, i + 1) for i in range(5)], "method string, src long, dst long")
+    assert graph.reaching_definitions(blocks, edges).count() == 5
+    derivations, sinks = spark.createDataFrame([(i, i + 1) for i in range(5)], "from_fact long, to_fact long"), spark.createDataFrame([(5,)], "fact long")
+    assert provenance.backward_dag(derivations, sinks).count() == 6
+    for short in (lambda: of(max_rounds=2), lambda: graph.reaching_definitions(blocks, edges, 2), lambda: provenance.backward_dag(derivations, sinks, max_rounds=2)):
+        try:
+            short()
+        except RuntimeError:
+            continue
+        raise AssertionError("cut short without a sign")
