@@ -1,9 +1,10 @@
 """Currentness as a stateful stream: live producers are kept per cell.
 
 Effects must arrive in order of ``seq`` within a cell (a source partitioned by
-cell).  State is the stores since the cell's last strong invalidation, bounded by
-``keep``; where that bound dropped a producer, later loads say so with an
-``unknown`` verdict rather than ``dead``."""
+cell).  State is all stores of the cell, dead ones too, since each later load has a
+verdict for each of them.  Only a caller's ``keep`` bounds it; where that bound
+dropped a producer, later loads say so with an ``unknown`` verdict rather than
+``dead``."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ OUT = "cell long, producer long, consumer long, verdict string"
 STATE = "producers array<struct<id:long,sure:boolean,exact:boolean,dead:boolean,hit:boolean>>, dropped long"
 
 
-def _run(keep: int):
+def _run(keep: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, dropped = ([list(p) for p in state.get[0]], state.get[1]) if state.exists else ([], 0)
         out = []
@@ -27,7 +28,7 @@ def _run(keep: int):
             exact, sure = r.precision == "exact", r.confidence != "unknown"
             if r.kind == "store":
                 held.append([r.id, sure, exact, False, False])
-                if len(held) > keep:
+                if keep is not None and len(held) > keep:
                     held, dropped = held[1:], dropped + 1
             elif r.kind in ("kill", "store-clean"):
                 strong = exact and sure and r.strength != "weak"
@@ -46,7 +47,7 @@ def _run(keep: int):
     return run
 
 
-def verdicts(effects: DataFrame, keep: int = 10_000) -> DataFrame:
+def verdicts(effects: DataFrame, keep: int | None = None) -> DataFrame:
     """Streaming verdicts of a stream of effects (id, cell, seq, kind, precision, confidence, strength)."""
     return effects.groupBy("cell").applyInPandasWithState(_run(keep), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 

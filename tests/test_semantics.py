@@ -235,3 +235,17 @@ def test_fixpoints_are_whole_or_raise(spark):
         except RuntimeError:
             continue
         raise AssertionError("cut short without a sign")
+
+
+def test_stream_keeps_every_store_of_a_hot_cell():
+    import inspect
+    import types
+
+    import pandas as pd
+
+    n = 10_001
+    rows = pd.DataFrame({"id": range(n + 1), "seq": range(n + 1), "kind": ["store"] * n + ["load"], "precision": "exact", "confidence": "sure", "strength": "strong"})
+    keep = inspect.signature(currentness.verdicts).parameters["keep"].default
+    state = types.SimpleNamespace(exists=False, update=lambda held: None)
+    out = pd.concat(currentness._run(keep)((7,), iter([rows]), state))
+    assert out["producer"].tolist() == list(range(n)) and set(out["verdict"]) == {"live"}
