@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) a local folder is made.
+    Only where that is unset, and all runs on this machine (``local``), a local folder
+    is made; on a cluster an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
@@ -25,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="factloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -48,6 +54,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_BYTES = 2 << 20
+
+
+def _bound(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(name, None) or "").rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, by batches of about BATCH_BYTES (the session's own bound, if lower),
+    so that neither side holds many long texts at once; memory is given back at a task's end."""
+    _bound(df.sparkSession)
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def told(df: DataFrame, column: str, f, kind: str) -> Column:
+    """What ``f`` (Arrow strings in, an Arrow array as long out) tells of a column, in
+    batches as bounded as those of ``arrow``; the rows themselves stay on the JVM's side."""
+    _bound(df.sparkSession)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                parts = [f(batch.slice(at, 512)) for at in range(0, len(batch), 512)]
+                yield pa.concat_arrays(parts) if parts else f(batch)
+        finally:
+            give_back()
+
+    return F.arrow_udf(run, kind)(F.col(column).cast("string"))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on, and run other operators next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batches, rows: int = 512):
     """Arrow batches in slices of at most ``rows``, so that what Python holds of one stays small."""
     for batch in batches:

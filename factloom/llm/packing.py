@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import arrow, sliced, written
 from .tokens import default_files, encoder
 
 
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, grid: int
             yield pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
+    return arrow(rows, run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, grid: int = 8, end_id: int = 1, files=None, with_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, thinned, written
+from .common import arrow, sliced, thinned, told, written
 
 NAMES = ("log_words", "word_len", "word_len_sd", "distinct_words", "repeated_next", "distinct_pairs", "upper", "lower", "digit", "space", "newline", "bang", "pipe", "mark", "symbol", "beyond_ascii", "entropy", "line_len", "distinct_lines", "short_words")
 DIM = len(NAMES)
@@ -116,7 +116,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str) -> DataFram
             offsets = pa.array(np.arange(0, stats.size + 1, DIM), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.ListArray.from_arrays(offsets, flat)], names=[*names, "stats"])
 
-    return docs.select(*names, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{fields}, stats array<double>")
+    return arrow(docs.select(*names, F.col(text_col).cast("string").alias("__text")), run, f"{fields}, stats array<double>")
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, allowed, most: int) -> DataFrame:
@@ -180,25 +180,17 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
 
     def run(batches):
         for batch in sliced(batches):
-            stats = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, DIM)
-            p = model.score(stats) if model is not None and len(stats) else np.full(len(stats), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores(model, batch.column(1))], names=["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
+    return arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, score double")
 
 
-def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, all columns kept."""
-    schema = docs.schema
-    at = schema.fieldNames().index(text_col)
+def scores(model: QualityModel | None, texts: pa.Array) -> pa.Array:
+    stats = np.array([statistics(t.as_py()) for t in texts]).reshape(-1, DIM)
+    return pa.array(model.score(stats) if model is not None and len(stats) else np.full(len(stats), 0.5), pa.float64())
 
-    def run(batches):
-        for batch in sliced(batches):
-            if model is None:
-                yield batch
-                continue
-            stats = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, DIM)
-            if len(stats):
-                yield batch.filter(pa.array(model.score(stats) >= threshold))
-
-    return docs.mapInArrow(run, schema)
+
+def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, all columns kept; only
+    the texts go to Python, only the scores come back."""
+    return docs.where(told(docs, text_col, lambda texts: scores(model, texts), "double") >= threshold)

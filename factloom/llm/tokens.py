@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import sliced
+from .common import arrow, sliced, told
 
 END = "<|endoftext|>"
 #: A stretch without white space beyond this length goes to the slower library, whose merge is not quadratic.
@@ -69,19 +68,13 @@ def encoder(json_file: str, ranks_file: str | None):
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", out: str = "n_tokens", files: tuple[str, str | None] | None = None) -> DataFrame:
-    """``docs`` with a column of token counts (null and empty texts: 0)."""
+    """``docs`` with a column of token counts (null and empty texts: 0); only the texts go
+    to Python, only the counts come back.  A column named ``out`` must not be there yet."""
+    if out in docs.columns:
+        raise ValueError(f"column {out} would clash")
     files = files or default_files()
-    schema = docs.schema
-    at = schema.fieldNames().index(text_col)
-    fields = StructType([*schema.fields]).add(out, "long")
-
-    def run(batches):
-        encode = encoder(*files)
-        for batch in sliced(batches):
-            n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*schema.fieldNames(), out])
-
-    return docs.mapInArrow(run, fields)
+    count = lambda texts: pa.array([len(encoder(*files)(t.as_py())) if t.is_valid else 0 for t in texts], pa.int64())
+    return docs.withColumn(out, told(docs, text_col, count, "long"))
 
 
 class TokenTree:
@@ -201,7 +194,7 @@ def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast("array<struct<start:long,removed:long,inserted:string>>").alias("edits"))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return arrow(rows, run, ", ".join(f"{n} long" for n in names))
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
