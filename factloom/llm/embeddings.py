@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow, written
 from .components import connected_components
 from .simhash import _find, _join
 
@@ -82,7 +82,7 @@ def _count_links(limit: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", limit: float = 0.93, sample: int = 20_000, cell: int = 4_096, block: int = 4_096, most_cells: int = 1_024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", limit: float = 0.93, sample: int = 20_000, cell: int = 4_096, block: int = 4_096) -> DataFrame:
     """One row per input row: (id, n_links, component, kept).
 
     Vectors are compared if their labels are equal and not null (``label_col``
@@ -90,7 +90,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     components, and those of null id or label, link with nothing and are their
     own component.  Vectors of different lengths link with nothing.  Repeated
     rows count as vectors of their own and come out as often as they went in.
-    k-means is fitted on at most ``sample`` vectors; every vector is assigned."""
+    k-means is fitted on at most ``sample`` vectors; every vector is assigned.  There is a
+    cell for each ``cell`` vectors of the largest label, up to a quarter of ``sample``."""
 
     def directions(batches):
         for batch in batches:
@@ -100,7 +101,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = written(rows.mapInArrow(directions, "id long, label string, dir array<double>, digest binary"), "embedding-rows")
+    rows = written(arrow(rows, directions, "id long, label string, dir array<double>, digest binary"), "embedding-rows")
     able = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("dir").isNotNull()
     grouped = rows.where(able).withColumn("label", F.concat_ws("|", F.size("dir").cast("string"), "label"))
     distinct = written(grouped.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("dir").alias("dir")), "embedding-distinct")
@@ -109,7 +110,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for d in picked:
         sizes.setdefault(len(d), []).append(np.asarray(d))
     largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    cells = min(most_cells, -(-largest // cell))
+    cells = min(-(-largest // cell), max(sample // 4, 1))
     means = {d: spherical_kmeans(np.stack(m), cells) for d, m in sizes.items()}
     reach = float(np.sqrt(1 - limit * limit)) + 1e-9 if limit > 0 else 2.0
 

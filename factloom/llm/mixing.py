@@ -76,7 +76,7 @@ def plan_budgets(totals: dict, evenness: float = 0.5, most_passes: float = 2.0,
     return {s: (float(a), total * float(a)) for s, a in zip(named, w)}
 
 
-def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: str = "doc_id", evenness: float = 0.5, most_passes: float = 2.0, budget: int | None = None, block_tokens: int = 16_384, most_blocks: int = 1 << 20, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: str = "doc_id", evenness: float = 0.5, most_passes: float = 2.0, budget: int | None = None, block_tokens: int = 16_384, seed: int = 5) -> DataFrame:
     """``docs`` with each row repeated as its source's budget asks, and columns
     ``mix_epoch`` (pass, from 0), ``mix_block``, ``mix_weight`` and ``mix_place``
     (0 to 1; ascending order interleaves the sources by their weights).
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: st
     A block is in a pass whole or not; the last one is in if half of it fits the
     budget.  A null source is a source of its own.  Rows without tokens (empty
     texts) come once.  Rows of one id share their block, so repeated rows are
-    treated alike.  An empty table gives an empty result.  ``docs`` is read
+    treated alike.  A ``budget`` far beyond the tokens there are is met by as many passes.  An
+    empty table gives an empty result.  ``docs`` is read
     twice: give a written table where making it is costly."""
     spark = docs.sparkSession
     reserved = [c for c in docs.columns if c.startswith("mix_")]
@@ -93,8 +94,7 @@ def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: st
     n = F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)), F.lit(0)).cast("long")
     totals = {r[0]: r[1] or 0 for r in docs.groupBy(source_col).agg(F.sum(n)).collect()}  # one row for each source
     plan = plan_budgets(totals, evenness, most_passes, budget)
-    size = max(block_tokens, math.ceil(sum(totals.values()) / most_blocks))
-    rows = [(i, s, w, b, max(1, math.ceil(totals[s] / size)), float(totals[s])) for i, (s, (w, b)) in enumerate(plan.items())]
+    rows = [(i, s, w, b, max(1, math.ceil(totals[s] / block_tokens)), float(totals[s])) for i, (s, (w, b)) in enumerate(plan.items())]
     kind = docs.schema[source_col].dataType.simpleString()
     sources = spark.createDataFrame(rows, f"mix_number int, mix_source {kind}, mix_weight double, budget double, blocks int, total double")
     known = docs.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("mix_source")), "left")  # one row for each source
