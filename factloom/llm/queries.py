@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import embeddings, mixing, multiset, packing, pii, quality, simhash, tokens, toxicity, urls
@@ -36,24 +36,32 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of null id has no next document: only its first half is left of its edited text."""
+    """A row of null id has no next document: only its first half is left of its edited text.
+
+    Texts are shuffled once, by ranges of ids; both texts' fingerprints, and the next
+    document's, are worked out where the text then lies."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    prints = multiset.with_lanes(docs, F.col("text"), "f")
-    pairs = multiset.with_next(prints, "doc_id", ["text", "f"])
+    placed = multiset.ranged(docs, "doc_id", ["text"]).withColumn("next", multiset.following("text"))
     n = F.length("text").cast("long")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.coalesce(F.col("next.text"), F.lit("")), half))
-    pairs = pairs.select("doc_id", n.alias("n_chars"), edited.alias("edited"), F.col("f"), F.col("next.f").alias("g"))
-    done = multiset.with_lanes(pairs, F.col("edited"), "e")
+    edited = F.concat(F.left("text", (n - half).cast("int")), F.left(F.coalesce("next", F.lit("")), half))
+    texts = placed.select("range", "place", "copy", "doc_id", n.alias("n_chars"), "text", F.when(~F.col("copy"), edited).alias("edited"))
+    texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
+    own = F.struct(F.lit(0).alias("which"), F.col("text"))
+    both = F.when(F.col("copy"), F.array(own)).otherwise(F.array(own, F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))))
+    keys = ["range", "place", "copy", "doc_id", "n_chars", "edited_sha256", "which"]
+    texts = texts.select(*keys[:-1], F.inline(both))
+    prints = multiset.fingerprints(texts, keys, "text")
+    prints = prints.withColumns({"e": F.lead("f").over(Window.partitionBy("range").orderBy("place", "which")), "g": multiset.following("f", 2, "which")})
     f, e, g = F.col("f"), F.col("e"), F.col("g")
-    return done.select(
+    return prints.where("which = 0 and not copy").select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        "edited_sha256",
         multiset.shown(f).alias("fingerprint"),
         multiset.shown(e).alias("edited_fingerprint"),
         multiset.likeness(f, e).alias("near_edited"),
@@ -114,6 +122,53 @@ WITH cut AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM hits WHERE place = 1
 """
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), able AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM able a JOIN able b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), walk(node, top) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT w.node, l.dst FROM walk w JOIN links l ON w.top = l.src
+), least_ AS (SELECT node, min(top) AS component_id FROM walk GROUP BY node),
+counted AS (SELECT src, count(*) AS n FROM links GROUP BY src)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least_ ON node = vec_id LEFT JOIN counted ON src = vec_id
+"""
+
+
+def _op6_sql() -> str:
+    """Sums of the lanes in SQL: paragraphs by SHA-256, phrases by MD5."""
+    word = lambda digest, i, digits: f"CAST('0x' || substr({digest}, {i * digits + 1}, {digits}) AS UBIGINT)"
+    wide = ", ".join(f"CAST(sum({word('sha256(p)', i, 8)}) % 4294967296 AS BIGINT)" for i in range(multiset.WIDE))
+    places = [(h, j + up) for up in (0, 32) for h in range(2) for j in range(32)]
+    bits = ", ".join(f"CAST(sum((b{h} >> {j}) & 1) AS BIGINT)" for h, j in places)
+    none = lambda n: f"list_transform(range({n}), lambda x: CAST(0 AS BIGINT))"
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}.bits, {b}.bits), lambda z: CAST(z[1] * 2 - {a}.n AS DOUBLE) * CAST(z[2] * 2 - {b}.n AS DOUBLE)))"
+    like = lambda a, b: f"CASE WHEN {a}.wide = {b}.wide AND {a}.bits = {b}.bits THEN 1.0 WHEN sqrt({dot(a, a)}) * sqrt({dot(b, b)}) > 0 THEN least(greatest({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})), 0.0), 1.0) ELSE 0.0 END"
+    hex_ = lambda f: f"array_to_string(list_transform(list_concat({f}.wide, {f}.bits), lambda x: lower(to_hex(x))), '.')"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS total FROM documents
+), t AS (
+  SELECT d.doc_id, d.k, length(d.text) AS n_chars, d.text, left(d.text, length(d.text) - length(d.text) // 2) || left(x.text, length(d.text) // 2) AS edited, x.k AS after
+  FROM d JOIN d x ON x.k = d.k % d.total + 1
+), texts AS (
+  SELECT k, 0 AS which, text AS t FROM t UNION ALL SELECT k, 1, edited FROM t
+), paragraphs AS (
+  SELECT k, which, unnest(string_split(t, chr(10))) AS p FROM texts WHERE t <> ''
+), phrases AS (
+  SELECT k, which, unnest(string_split(regexp_replace(p, '([.!?;:,dgmrty])[ \\t]+', '\\1' || chr(1), 'g'), chr(1))) AS u FROM paragraphs
+), words AS (
+  SELECT k, which, {word("md5(u)", 0, 16)} AS b0, {word("md5(u)", 1, 16)} AS b1 FROM phrases
+), w AS (SELECT k, which, [{wide}] AS wide FROM paragraphs GROUP BY k, which),
+b AS (SELECT k, which, count(*) AS n, [{bits}] AS bits FROM words GROUP BY k, which),
+f AS (SELECT x.k, x.which, coalesce(n, 0) AS n, coalesce(wide, {none(multiset.WIDE)}) AS wide, coalesce(bits, {none(multiset.BITS)}) AS bits FROM texts x LEFT JOIN w USING (k, which) LEFT JOIN b USING (k, which))
+SELECT t.doc_id, t.n_chars, sha256(t.edited) AS edited_sha256, {hex_("f")} AS fingerprint, {hex_("e")} AS edited_fingerprint, {like("f", "e")} AS near_edited, {like("f", "g")} AS near_next
+FROM t JOIN f ON f.k = t.k AND f.which = 0 JOIN f e ON e.k = t.k AND e.which = 1 JOIN f g ON g.k = t.after AND g.which = 0
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op10_url_filters": op10_url_filters,
@@ -126,4 +181,4 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
 }
-SQL: dict[str, str] = {"op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op4_embeddings": OP4_SQL, "op6_fingerprints": _op6_sql(), "op10_url_filters": OP10_SQL}

@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, thinned, written
+from .common import arrow, sliced, thinned, written
 from .components import connected_components
 
 FAN = 8
@@ -29,27 +30,27 @@ SEED = 42
 LANES = np.uint64(0x0101010101010101)
 
 
+def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
+    """64-bit hashes of the shingles of ``size`` words in order (fewer words: of the whole sequence; none: empty)."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    n = len(words)
+    joined = b" ".join(words)
+    if n <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(length + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip((ends - length)[: n - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of the whole text (unsigned).
 
     A-Z lower-cased, words cut at ASCII white space, shingles of ``shingle``
     words with repeats; fewer words make one shingle; no words (or null) give 0.
     """
-    if not text:
-        return 0
-    words = text.encode("utf-8").lower().split()
-    n = len(words)
-    if n == 0:
-        return 0
-    joined = b" ".join(words)
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    size = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
-    return _majority(hashes)
+    hashes = shingle_hashes(text, shingle)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return arrow(rows, run, "id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -274,99 +275,159 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---------------------------------------------------------------- near copies of whole texts
 
-SKETCH = 256
+SKETCH = 1024  # shingles that a sketch holds; texts with no more are judged by all of theirs
+POSTED = 128  # of these, the ones that posting lists are made from
+DEVIATIONS = 5  # standard deviations of a sampled likeness; one in a few millions lies further off
 CENTRES = 8  # members of each posting list that all its others are compared with first
 COMMON = 50_000  # shingles at most that a sample names as common; they only move to the end of the order
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the 3-word shingles in order (fewer words: of the whole sequence; none: empty)."""
-    words = text.encode("utf-8").lower().split() if text else []
-    n = len(words)
-    joined = b" ".join(words)
-    if n <= 3:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
-    size = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(size + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip((ends - size)[: n - 2].tolist(), ends[2:].tolist())], np.uint64)
+def five_words(hashes: np.ndarray) -> np.ndarray:
+    """The set of 5-word shingles, as ascending 64-bit hashes, from those of the 3-word ones.
 
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hashes of the 5-word shingles, at most SKETCH, ascending.
-
-    Two 3-word shingles two words apart make a 5-word one; fewer words make one
-    of the whole sequence."""
+    Two 3-word shingles two words apart make a 5-word one; fewer words make one of the
+    whole sequence."""
     if len(hashes) > 2:
         five = (hashes[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ ((hashes[2:] << np.uint64(31)) | (hashes[2:] >> np.uint64(33)))
     else:
         five = hashes[:1] * np.uint64(0x9E3779B97F4A7C15) if len(hashes) < 2 else (hashes[:1] ^ (hashes[1:] << np.uint64(1)))
-    five = (five * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
-    return np.unique(five)[:SKETCH].astype(np.uint32)
+    return np.unique(five * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def sketch(five: np.ndarray) -> np.ndarray:
+    """The upper halves of the smallest hashes, at most SKETCH, ascending."""
+    return np.unique((five[: 2 * SKETCH] >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common 5-word shingles: exact if both texts have at most SKETCH of
-    them, else over the smallest SKETCH of the union."""
+    """Share of common shingles of two whole sets (ascending); two empty ones are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:SKETCH] if len(a) == SKETCH or len(b) == SKETCH else np.union1d(a, b)
-    shared = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, shared, assume_unique=True).mean())
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
-def leading(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a sketch, as many as any sketch alike must share one of.
+def judged(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
+    """Whether two texts are alike, by their sketches: 1 yes, 0 no, -1 not settled.
 
-    Two sketches of likeness ``similarity`` share that part of the larger one at
-    least, so each has one of the shared ones among its first n - part + 1, whatever
-    order all sketches are put in.  ``common`` (ascending) holds the shingles that
-    come last in the order and their rank; all others go by value."""
-    n = len(held)
-    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    if not n or not len(common):
+    Sketches below SKETCH are whole sets and settle all but ties (two of 32-bit hashes
+    may meet); others settle what lies DEVIATIONS standard deviations off ``similarity``."""
+    if not len(a) or not len(b):
+        return int(len(a) == len(b))
+    sampled = len(a) >= SKETCH or len(b) >= SKETCH
+    both = np.union1d(a, b)
+    shared = np.intersect1d(a, b, assume_unique=True)
+    if sampled:
+        both = both[:SKETCH]
+        shared = shared[shared <= both[-1]]
+    n = len(both)
+    doubt = DEVIATIONS * np.sqrt(similarity * (1 - similarity) * n) if sampled else 2.0
+    off = len(shared) - similarity * n
+    return -1 if abs(off) <= doubt and len(shared) < n else int(off > 0)
+
+
+def leading(held: np.ndarray, n: int, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sketch, as many as any text alike must share one of.
+
+    ``held``: the POSTED smallest of a text's ``n`` shingles.  Texts alike share that part
+    of the larger set at least; where sets are sampled, all but a few millionths of the
+    pairs share what lies DEVIATIONS below it.  Sets that share m have a shared one among
+    their first size - m + 1, whatever order all sets are put in.  ``common`` (ascending)
+    holds the shingles that come last in the order and their rank; others go by value."""
+    size = len(held)
+    if not size:
+        return held
+    least = int(np.ceil(similarity * size - 1e-9))
+    if n > POSTED * similarity:  # may meet a set that is sampled
+        spread = DEVIATIONS * np.sqrt(similarity * (1 - similarity) / POSTED)
+        least = max(1, min(least, int(POSTED * (similarity - spread))))
+    most = size - least + 1
+    if not len(common):
         return held[:most]
     at = np.minimum(np.searchsorted(common["key"], held), len(common) - 1)
     late = common["key"][at] == held
     return np.r_[held[~late], held[late][np.argsort(common["rank"][at[late]], kind="stable")]][:most]
 
 
-def _common(distinct: DataFrame, most: int = COMMON, most_docs: int = 20_000) -> np.ndarray:
+def _common(rows: DataFrame, most: int = COMMON, most_docs: int = 20_000) -> np.ndarray:
     """(key, rank) of shingles that several of about ``most_docs`` sketches hold, the commonest with the highest rank.
 
     Only the order of the shingles depends on it, never which pairs are found."""
 
     def run(batches):
         for batch in sliced(batches):
-            held = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(0)]
+            held = [np.frombuffer(x.as_py(), np.uint32)[:POSTED] for x in batch.column(0)]
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
-    found = thinned(distinct, "rep", most_docs).select("sketch").mapInArrow(run, "key long, n long")
+    found = arrow(thinned(rows, "row", most_docs).select("sketch"), run, "key long, n long")
     top = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toPandas()
     out = np.zeros(len(top), [("key", np.uint32), ("rank", np.int64)])
     out["key"], out["rank"] = top["key"].to_numpy(np.int64), np.arange(len(top), 0, -1)
     return np.sort(out, order="key")
 
 
-def _judged(pairs: DataFrame, distinct: DataFrame, similarity: float, tag: str) -> DataFrame:
-    """The pairs (src, dst) whose sketches are alike."""
+def _whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, five): whole shingle sets of the texts that ``needed`` (rep) names, from the texts themselves."""
 
     def run(batches):
+        for batch in sliced(batches):
+            held = [five_words(shingle_hashes(t.as_py())).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["rep", "five"])
+
+    # a table of its own, so that its size decides how it is joined
+    asked = written(rows.join(needed, F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), F.col("id").alias("asked_id"), F.col("digest").alias("asked_digest")), "near-copies-asked")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    texts = texts.join(asked, (F.col("id") == F.col("asked_id")) & (F.col("digest") == F.col("asked_digest"))).select("rep", "text")
+    return arrow(texts, run, "rep long, five binary").dropDuplicates(["rep"])
+
+
+def _settled(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, tag: str) -> DataFrame:
+    """The pairs (src, dst) that are alike: by their sketches, and where these do not
+    settle it by their texts' whole shingle sets."""
+
+    def by_sketch(batches):
         for batch in sliced(batches):
             a, b = batch.column(1), batch.column(3)
-            ok = pa.array([likeness(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= similarity for x, y in zip(a, b)], pa.bool_())
+            v = np.array([judged(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), similarity) for x, y in zip(a, b)], np.int32)
+            ok = pa.array(v != 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(2).filter(ok), pa.array(v[v != 0])], names=["src", "dst", "settled"])
+
+    pairs = written(pairs, f"{tag}-pairs")
+    ends = lambda p: p.select(F.explode(F.array("src", "dst")).alias("rep")).distinct()
+    needed = written(ends(pairs), f"{tag}-ends")
+    held = rows.join(needed, F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sketch")
+    of = lambda part, name, what: part.select(F.col("rep").alias(name), F.col(what).alias(f"{what}_{name}"))
+    shown = pairs.join(of(held, "src", "sketch"), "src").join(of(held, "dst", "sketch"), "dst")
+    told = written(arrow(shown.select("src", "sketch_src", "dst", "sketch_dst"), by_sketch, "src long, dst long, settled int"), f"{tag}-told")
+    links = told.where("settled = 1").select("src", "dst")
+    return links.union(_exact(told.where("settled < 0").select("src", "dst"), rows, docs, similarity, id_col, text_col, tag))
+
+
+def _exact(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float, id_col: str, text_col: str, tag: str) -> DataFrame:
+    """The pairs (src, dst) that are alike by their texts' whole shingle sets."""
+
+    def by_text(batches):
+        for batch in sliced(batches, 64):
+            a, b = batch.column(1), batch.column(3)
+            ok = pa.array([likeness(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity - 1e-12 for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(2).filter(ok)], names=["src", "dst"])
 
-    of = lambda name: distinct.select(F.col("rep").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    if pairs.isEmpty():
+        return pairs
+    needed = written(pairs.select(F.explode(F.array("src", "dst")).alias("rep")).distinct(), f"{tag}-asked")
+    sets = written(_whole_sets(docs, rows, needed, id_col, text_col), f"{tag}-sets")
+    of = lambda name: sets.select(F.col("rep").alias(name), F.col("five").alias(f"five_{name}"))
     shown = pairs.join(of("src"), "src").join(of("dst"), "dst")
-    return written(shown.select("src", "sketch_src", "dst", "sketch_dst").mapInArrow(run, "src long, dst long"), tag)
+    return written(arrow(shown.select("src", "five_src", "dst", "five_dst"), by_text, "src long, dst long"), f"{tag}-links")
 
 
 def _tile(similarity: float):
-    """Links of one tile of a posting list, (src, dst), enough to join all pairs of
-    different components that are alike.  A tile off the diagonal compares its two
-    chunks only.  Pairs are counted by matrix products and never become rows."""
+    """Links of one tile of a posting list, (src, dst, settled), enough to join all pairs
+    of different components that are alike, and the pairs that sketches do not settle.
+    A tile off the diagonal compares its two chunks only.  Pairs are counted by matrix
+    products and never become rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(x, np.uint32) for x in pdf["sketch"]]
@@ -379,81 +440,120 @@ def _tile(similarity: float):
         by = np.argsort(several, kind="stable")
         owner, several = owner[by], several[by]
         shared = np.zeros((len(held), len(held)), np.float32)
-        for at in range(0, int(several[-1]) + 1, 4096):
-            lo, hi = np.searchsorted(several, [at, at + 4096])
-            x = np.zeros((len(held), 4096), np.float32)
+        for at in range(0, int(several[-1]) + 1, 2048):
+            lo, hi = np.searchsorted(several, [at, at + 2048])
+            x = np.zeros((len(held), 2048), np.float32)
             x[owner[lo:hi], several[lo:hi] - at] = 1
             shared += x @ x.T
         off = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        # what the parts of the sketches that both hold can miss, with DEVIATIONS to spare
+        slack = similarity - DEVIATIONS * float(np.sqrt(similarity * (1 - similarity) / SKETCH)) * 2
         out = []
         for i in range(len(held)):
-            fit = shared[i, :i] >= np.maximum(size[i], size[:i]) * similarity - 1e-3
+            fit = shared[i, :i] >= np.maximum(size[i], size[:i]) * slack
             if off:
                 fit &= chunk[:i] != chunk[i]
             for j in np.flatnonzero(fit & (lab[:i] != lab[i])).tolist():
-                if lab[i] != lab[j] and likeness(held[i], held[j]) >= similarity:
-                    out.append((reps[i], reps[j]))
-                    lab[lab == lab[i]] = lab[j]
-        return pd.DataFrame(out, columns=["src", "dst"], dtype=np.int64)
+                if lab[i] != lab[j] and (told := judged(held[i], held[j], similarity)):
+                    out.append((reps[i], reps[j], told))
+                    if told > 0:
+                        lab[lab == lab[i]] = lab[j]
+        return pd.DataFrame(out, columns=["src", "dst", "settled"], dtype=np.int64)
 
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
-    """One row per input row with an id: (id, digest, component, group) over verified links,
-    digest being the xxhash64 of its text and group a number of the component's own
-    (where an id has several texts, two components may have the same smallest id).
-
-    Two texts are linked if they share ``similarity`` of their 5-word shingles, judged
-    by sketches; component is the smallest id reachable.  No such link is missed:
-    posting lists of the sketches' leading shingles name every pair that can be alike.
-    A list's members are judged against its first few (by hash), which joins large
-    groups of copies at a linear cost; then every pair of a list that is not in one
-    component yet is judged too, in tiles of ``chunk`` by ``chunk`` members.  Texts without words are copies of each other;
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, limit: int = 3, chunk: int = 512) -> DataFrame:
+    """One row per input row with an id: (id, digest, component, group), digest being the
+    xxhash64 of its text and group a number of the component's own (where an id has
+    several texts, two components may have the same smallest id).
+
+    Two texts are linked if they share ``similarity`` of their 5-word shingles;
+    component is the smallest id reachable over links.  Texts whose SimHash fingerprints
+    lie within ``limit`` bits come from the Gray-order index and are judged first, which
+    joins most copies.  What such fingerprints miss comes from posting lists of the
+    texts' leading shingles, which name every pair that can be alike (of texts with over
+    POSTED shingles, all but a few in a million).  Only lists that are not one component
+    yet are looked into: their members are judged against the first few (by hash), which
+    joins large groups at a linear cost, and then, if still apart, against each other in
+    tiles of ``chunk`` by ``chunk`` members.  A pair is judged by whole shingle sets, or by
+    sketches where these leave no doubt.  Texts without words are copies of each other;
     repeated rows come out as often as they went in; rows of null id are left out."""
 
     def run(batches):
+        part, row = TaskContext.get().partitionId() << 40, 0
         for batch in sliced(batches):
-            held = [sketch(shingle_hashes(t.as_py())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.binary())], names=["id", "digest", "sketch"])
-
-    keys = [F.xxhash64("sketch").alias("same"), F.xxhash64(F.lit(1), "sketch").alias("other")]
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
-    rows = written(rows.mapInArrow(run, "id long, digest long, sketch binary"), "near-copies").select("id", "digest", "sketch", *keys)
-    # an id may come with several texts, so sketches get numbers of their own
-    distinct = written(rows.groupBy("sketch").agg(F.min("id").alias("id")).select(F.monotonically_increasing_id().alias("rep"), "id", "sketch", *keys), "near-copies-distinct")
-    common = _common(distinct)
+            out = []
+            for t in batch.column(1):
+                three = shingle_hashes(t.as_py())
+                five = five_words(three)
+                fp = _majority(three) if len(three) else 0
+                out.append((part + row, xxhash.xxh3_128_digest(five.tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(five), sketch(five).tobytes()))
+                row += 1
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
+
+    names = ["id", "digest", "row", "same", "fp", "n", "sketch"]
+    text = F.col(text_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    rows = written(arrow(rows, run, "id long, digest long, row long, same binary, fp long, n long, sketch binary"), "near-copies")
+    common = _common(rows)
 
     def posted(batches):
         for batch in sliced(batches):
-            held = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(1)]
-            first = [leading(x, common, similarity).view(np.int32) for x in held]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array(first, pa.list_(pa.int32()))], names=["rep", "n", "keys"])
+            first = [leading(np.frombuffer(x.as_py(), np.uint32)[:POSTED], n, common, similarity).view(np.int32) for x, n in zip(batch.column(5), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first, pa.list_(pa.int32()))], names=["row", "id", "same", "fp", "n", "keys"])
+
+    # texts of equal shingle sets are one from here on; an id may come with several texts
+    keyed = arrow(rows.select("row", "id", "same", "fp", "n", "sketch"), posted, "row long, id long, same binary, fp long, n long, keys array<int>")
+    distinct = written(keyed.groupBy("same").agg(F.min("row").alias("rep"), F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys")), "near-copies-distinct")
+    settled = lambda pairs, tag: _settled(pairs, rows, docs, similarity, id_col, text_col, f"near-copies-{tag}")
+
+    # the fingerprints' index: every text against the first of its group
+    prints = written(distinct.groupBy("fp").agg(F.min("rep").alias("rep")), "near-copies-prints")
+    equal = distinct.select("fp", "rep").join(prints.select("fp", F.col("rep").alias("first")), "fp").where("rep <> first").select(F.col("rep").alias("src"), F.col("first").alias("dst"))
+    alike = fingerprint_links(prints, limit).union(equal).distinct()
+    links = written(settled(alike, "prints"), "near-copies-links")
+    found = connected_components(links)
 
-    held = written(distinct.select("rep", "sketch").mapInArrow(posted, "rep long, n int, keys array<int>"), "near-copies-leading").select("rep", "n", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1")
+    # posting lists; of lists with the same members one is enough
+    held = distinct.select("rep", "n", F.explode("keys").alias("key"))
+    shared = held.groupBy("key").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("other"))
+    shared = shared.where("docs > 1").groupBy("docs", "mark", "other").agg(F.min("key").alias("key")).select("key", "docs")
     lists = written(held.join(shared, "key"), "near-copies-lists")
-    by = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-    centres = written(lists.select("key", "rep", "n", F.row_number().over(by).alias("place")).where(F.col("place") <= CENTRES).drop("place"), "near-copies-centres")
 
+    def open_lists(lists, found):
+        """Members (key, rep, n, docs, component) of the lists that are not in one component."""
+        named = lists.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "docs", F.coalesce("component", "rep").alias("component"))
+        apart = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other_one")).where("one <> other_one").select("key")
+        return named.join(apart, "key")
+
+    lists = written(open_lists(lists, found), "near-copies-open")
+    by = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
+    centres = written(lists.select("key", "rep", "n", "component", F.row_number().over(by).alias("place")).where(F.col("place") <= CENTRES).drop("place"), "near-copies-centres")
     n, m = F.col("a.n"), F.col("b.n")
-    met = lists.alias("a").join(centres.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.rep") != F.col("b.rep")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9))
+    met = lists.alias("a").join(centres.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.component") != F.col("b.component")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9))
     pairs = met.select(F.greatest("a.rep", "b.rep").alias("src"), F.least("a.rep", "b.rep").alias("dst")).distinct()
-    links = _judged(pairs, distinct, similarity, "near-copies-links")
+    links = written(links.union(settled(pairs, "centres")), "near-copies-links")
     found = connected_components(links)
+
     # lists of at most CENTRES + 1 members have had all their pairs judged
-    named = lists.where(F.col("docs") > CENTRES + 1).join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "docs", F.coalesce("component", "rep").alias("component"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other_one")).where("one <> other_one").select("key")
+    still = open_lists(lists.where(F.col("docs") > CENTRES + 1).drop("component"), found)
     chunks = F.ceil(F.col("docs") / chunk)
-    dealt = named.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "rep"), chunks)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    tiles = dealt.select("key", "rep", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(distinct.select("rep", "sketch"), "rep")
-    rest = written(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(similarity), "src long, dst long").distinct(), "near-copies-rest")
-    if not rest.isEmpty():
-        found = connected_components(links.union(rest))
-    grouped = distinct.select("same", "other", "rep", "id").join(found, F.col("rep") == F.col("node"), "left").select("same", "other", "id", F.coalesce("component", "rep").alias("group"))
+    dealt = written(still.withColumn("chunk", F.pmod(F.xxhash64(F.lit(2), "rep"), chunks)), "near-copies-still")
+    if not dealt.isEmpty():
+        needed = written(dealt.select("rep").distinct(), "near-copies-needed")
+        sketches = rows.join(needed, F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sketch")
+        tiles = dealt.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        tiles = tiles.select("key", "rep", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(sketches, "rep")
+        told = written(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(similarity), "src long, dst long, settled long").distinct(), "near-copies-tiles")
+        doubt = told.where("settled < 0").select("src", "dst")
+        links = links.union(told.where("settled > 0").select("src", "dst")).union(_exact(doubt, rows, docs, similarity, id_col, text_col, "near-copies-tiles"))
+        found = connected_components(links)
+    grouped = distinct.select("same", "rep", "id").join(found, F.col("rep") == F.col("node"), "left").select("same", "id", F.coalesce("component", "rep").alias("group"))
     least = grouped.groupBy("group").agg(F.min("id").alias("component"))
-    classes = grouped.drop("id").join(least, "group").select("same", "other", "component", "group")
-    return rows.select("id", "digest", "same", "other").join(classes, ["same", "other"]).select("id", "digest", "component", "group")
+    classes = grouped.drop("id").join(least, "group")
+    return rows.select("id", "digest", "same").join(classes, "same").select("id", "digest", "component", "group")
 
 
 def hex_digits(fp: str = "fp"):

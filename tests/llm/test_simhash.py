@@ -101,13 +101,28 @@ def test_near_copies_odd_rows(odd, none):
 
 
 def plain_components(texts, similarity=0.8):
-    held = [simhash.sketch(simhash.shingle_hashes(t)) for t in texts]
-    lab = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if lab[i] != lab[j] and simhash.likeness(held[i], held[j]) >= similarity:
-                lab = [min(lab[i], lab[j]) if x in (lab[i], lab[j]) else x for x in lab]
-    return lab
+    """Over whole sets of 5-word shingles, by an index of them."""
+    sets = [shingles(t or "") if (t or "").split() else set() for t in texts]
+    lab, seen, empty = list(range(len(texts))), {}, None
+
+    def top(x):
+        while lab[x] != x:
+            x = lab[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in seen.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            seen[x].append(i)
+        near = [j for j, n in shared.items() if n >= similarity * (len(s) + len(sets[j]) - n) - 1e-9]
+        if not s:
+            near, empty = ([] if empty is None else [empty]), (i if empty is None else empty)
+        for j in near:
+            a, b = top(i), top(j)
+            lab[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
 
 
 def copies_of(spark, texts, **more):
@@ -133,6 +148,51 @@ def test_near_copies_quoting_and_short(spark):
     assert copies_of(spark, texts) == want
 
 
+def test_near_copies_that_share_a_quoted_article(spark):
+    """B and C share only what an earlier, unlike A quotes too."""
+    rng = np.random.default_rng(41)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5_000, n)]
+    texts = []
+    for _ in range(40):
+        quote = words(200)
+        texts += [" ".join(quote + words(2000)), " ".join(quote + words(12)), " ".join(quote + words(12))]
+    got = copies_of(spark, texts)
+    assert all(got[3 * k + 1] == got[3 * k + 2] for k in range(40)) and got == plain_components(texts)
+
+
+def test_near_copies_of_long_texts_at_the_border(spark):
+    """Pairs that sketches leave open are judged by whole sets."""
+    rng = np.random.default_rng(42)
+    texts = []
+    for _ in range(40):
+        body = [f"w{x}" for x in rng.integers(0, 5_000, 3000)]
+        other = list(body)
+        for i in rng.choice(3000, int(rng.integers(55, 80)), replace=False):
+            other[i] = f"w{rng.integers(0, 5_000)}"
+        texts += [" ".join(body), " ".join(other)]
+    want = plain_components(texts)
+    assert 45 < len(set(want)) < 75 and copies_of(spark, texts) == want
+
+
+def test_near_copies_over_a_whole_table(spark):
+    """Every group, against the whole sets of all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    want = plain_components([r.text for r in docs])
+    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(docs)).collect()}
+    assert [got[r.doc_id] for r in docs] == [docs[i].doc_id for i in want]
+
+
+def test_judged_leaves_open_what_it_cannot_tell():
+    rng = np.random.default_rng(43)
+    whole = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    for share in (0.5, 0.7, 0.79, 0.81, 0.9, 0.99, 1.0):
+        n = 10_000
+        shared = int(round(2 * n * share / (1 + share)))
+        a, b = np.unique(whole[:n]), np.unique(np.r_[whole[:shared], whole[n : 2 * n - shared]])
+        told = simhash.judged(simhash.sketch(a), simhash.sketch(b), 0.8)
+        assert told in ((0, -1) if simhash.likeness(a, b) < 0.8 else (1, -1)) and (told >= 0) == (abs(share - 0.8) > 0.07)
+
+
 def test_near_copies_chains_of_edits(spark):
     """Dense groups in which most pairs are not alike and only neighbours in the chain are."""
     rng = np.random.default_rng(32)
