@@ -69,10 +69,12 @@ def registry_lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
     """(request, status, api): the best kind of key that hits decides; equivalent ids
     (same ``equiv``) are one; index: (rank, key, api, equiv), requests: (request, keys array<struct<rank, key>>)."""
     asked = requests.select("request", F.explode("keys").alias("k")).select("request", "k.rank", "k.key")
-    hits = asked.join(index, ["rank", "key"])
+    # of each key only what decides: whether its ids are equivalent, and the first of them
+    known = index.groupBy("rank", "key").agg(F.min("equiv").alias("lo"), F.max("equiv").alias("hi"), F.min("api").alias("api"))
+    hits = asked.join(known, ["rank", "key"])
     w = Window.partitionBy("request")
     best = hits.withColumn("best", F.min("rank").over(w)).where("rank = best")
-    g = best.groupBy("request").agg(F.countDistinct("equiv").alias("n"), F.min("api").alias("first"))
+    g = best.groupBy("request").agg(F.when(F.min("lo") == F.max("hi"), 1).otherwise(2).alias("n"), F.min("api").alias("first"))
     out = requests.select("request").join(g, "request", "left")
     return out.select("request", F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("first")).alias("api"))
 

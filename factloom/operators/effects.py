@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut
+
 SLICE_LIMIT = 128
 
 
@@ -65,15 +67,18 @@ def latest_store(effects: DataFrame) -> DataFrame:
 
 
 def effect_slices(effects: DataFrame, limit: int = SLICE_LIMIT) -> DataFrame:
-    """Per (store, load): the effects strictly between, at most ``limit`` of them, and whether more were there."""
-    s = effects.where("kind = 'store'").select("cell", F.col("id").alias("producer"), F.col("seq").alias("lo"))
-    d = effects.where("kind = 'load'").select("cell", F.col("id").alias("consumer"), F.col("seq").alias("hi"))
-    mid = effects.where("kind in ('kill', 'store-clean')").select("cell", F.col("id").alias("mid"), "seq")
-    pairs = s.join(d, "cell").where("lo < hi")
-    inside = pairs.join(mid, "cell").where("seq > lo and seq < hi")
-    w = Window.partitionBy("producer", "consumer").orderBy("seq")
-    ranked = inside.withColumn("place", F.row_number().over(w))
-    return ranked.groupBy("producer", "consumer").agg(F.count_if(F.col("place") <= limit).alias("held"), (F.max("place") > limit).alias("truncated"), F.min("mid").alias("least_mid"))
+    """(producer, consumer, held, truncated, first_mid): per store and load of a cell with
+    an invalidator strictly between, how many a slice of ``limit`` holds, whether there
+    are more, and the first one.  Counts are differences of running ones, the first is
+    the next one behind the store; no interval is joined."""
+    hit = F.col("kind").isin("kill", "store-clean")
+    w = Window.partitionBy("cell")
+    ran = effects.withColumns({"n": F.count_if(hit).over(w.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)), "next": F.last(F.when(hit, F.col("id")), ignorenulls=True).over(w.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))})
+    s = ran.where("kind = 'store'").select("cell", F.col("id").alias("producer"), F.col("seq").alias("lo"), F.col("n").alias("before"), F.col("next").alias("first_mid"))
+    d = ran.where("kind = 'load'").select("cell", F.col("id").alias("consumer"), F.col("seq").alias("hi"), "n")
+    between = (F.col("n") - F.col("before")).cast("long")
+    pairs = s.join(d, "cell").where("lo < hi and n > before")
+    return pairs.select("producer", "consumer", F.least(between, F.lit(limit).cast("long")).alias("held"), (between > limit).alias("truncated"), "first_mid")
 
 
 # ---------------------------------------------------------------- handoff
@@ -95,6 +100,7 @@ def handoff_pairs(puts: DataFrame, gets: DataFrame, links: DataFrame | None = No
 def kills_between(pairs: DataFrame, kills: DataFrame) -> DataFrame:
     """Number of kills of the put's key between put and get, where orders compare
     (equal scope): a range count by running sums, not a range join."""
+    pairs = cut(pairs)
     marks = kills.select(F.col("key").alias("k"), F.col("scope").alias("sc"), F.col("seq").alias("at"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("put_id"), F.lit(None).cast("long").alias("get_id"), F.lit(0).alias("side"))
     same = pairs.where("put_scope <=> get_scope")
     ends = lambda col, side: same.select(F.col("put_key").alias("k"), F.col("put_scope").alias("sc"), F.col(col).alias("at"), F.lit(0).alias("one"), "put_id", "get_id", F.lit(side).alias("side"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut
+
 # fixed values
 STATUSES = ("covered-exact-role", "covered-partial", "covered-surface-but-role-missing", "not-covered", "covered-conflict", "identity-unresolved", "ignored-by-policy", "need-more-evidence")
 TERMINAL = ("covered-exact-role", "ignored-by-policy")
@@ -78,3 +80,15 @@ def completed(sites: DataFrame, projected: DataFrame) -> DataFrame:
     """Projected endpoint rows (site, status, reason), and a row for every site without one."""
     rest = sites.select("site").join(projected, "site", "left_anti").select("site", F.lit("no_runtime_endpoint").alias("status"), F.lit("mandatory_endpoint_projection_missing").alias("reason"))
     return projected.select("site", "status", "reason").union(rest)
+
+
+def placed(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``rows`` with ``place``, their number in the whole order, from 1: rows are dealt out
+    by ranges, numbered within each, and moved up by what the ranges before hold."""
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    held = cut(ranged.withColumn("__part", F.spark_partition_id()))
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ahead = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return held.join(F.broadcast(ahead), "__part").select(*rows.columns, (within + F.col("__ahead")).alias("place"))  # one row for each range

@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import taint
-from .fixpoint import closure
+from .fixpoint import closure, whole
 
 
 @dataclass
@@ -23,7 +24,7 @@ class Engine:
     calls: DataFrame  # (caller, callee)
     edges: DataFrame  # (kind, src, dst, field, site)
     k: int = 1
-    max_rounds: int = 64
+    max_rounds: int | None = None
     plugins: list[Any] = field(default_factory=list)
     dry_run: bool = False
     audit: list[tuple[str, str, str]] = field(default_factory=list)
@@ -53,7 +54,7 @@ class Engine:
 
     def reachable(self, roots: DataFrame) -> DataFrame:
         """Methods (node) reached from ``roots`` (node) by calls."""
-        found = closure(self.calls, roots, src="caller", dst="callee", max_rounds=self.max_rounds)[0].select("node")
+        found = whole(closure(self.calls, roots, src="caller", dst="callee", max_rounds=self.max_rounds)).select("node")
         for more in self._hook("on_entry", found):
             found = more
         return found
@@ -79,8 +80,8 @@ class ModellingSession:
     for more evidence, which the expander adds.  Answers are kept by slice text, and
     after ``most_failures`` failures in a row the session stops asking.
 
-    The decider is a driver-side callable (it may ask a person or a service); slices
-    are a bounded work list, at most ``most_items``."""
+    The decider is a driver-side callable (it may ask a person or a service); it is asked
+    about ``most_items`` slices at most, and all others come out as not asked."""
 
     decide: Any
     expand: Any = None
@@ -106,4 +107,5 @@ class ModellingSession:
                     break
                 text = self.expand(text)
             out.append((row["slice"], decision, n))
-        return spark.createDataFrame(out, f"slice {slices.schema['slice'].dataType.simpleString()}, decision string, rounds int")
+        told = spark.createDataFrame(out, f"slice {slices.schema['slice'].dataType.simpleString()}, decision string, rounds int")
+        return slices.select("slice").join(told, "slice", "left").select("slice", F.coalesce("decision", F.lit("not asked")).alias("decision"), F.coalesce("rounds", F.lit(0)).alias("rounds"))

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of its own only where none is named."""
+    """The folder of ``spark.checkpoint.dir``; one of its own only where none is named and all runs on this machine."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="factloom-checkpoint-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -28,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = 128) -> tuple[DataFrame, bool]:
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = None) -> tuple[DataFrame, bool]:
     """All rows reachable from ``seed`` by ``step(delta, round)``, distinct by ``key``.
 
     Returns the rows, with the ``round`` that first found them (0: seed), and
@@ -67,9 +69,13 @@ def whole(found: tuple[DataFrame, bool]) -> DataFrame:
     return found[0]
 
 
-def closure(edges: DataFrame, seed: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 128) -> tuple[DataFrame, bool]:
-    """Nodes reachable from ``seed`` (column ``node``) over ``edges``, with their hop distance as ``round``."""
+def closure(edges: DataFrame, seed: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """Nodes reachable from ``seed`` (column ``node``) over ``edges``, with their hop distance
+    as ``round``, and whether a budget of rounds ran out before the end.
+
+    The edges are written once, dealt out by their source, so that a round reads them
+    as they lie and works none of them out again."""
     from pyspark.sql import functions as F
 
-    ways = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d"))
+    ways = cut(edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).repartition("__s"))
     return fixpoint(seed.select(node), lambda d, _: d.join(ways, F.col(node) == F.col("__s")).select(F.col("__d").alias(node)), [node], max_rounds)

@@ -6,31 +6,66 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import cut, fixpoint, rounds, whole
+from .fixpoint import closure, cut, fixpoint, whole
 
 
-def reach_pairs(edges: DataFrame, max_rounds: int = 128) -> DataFrame:
-    """(src, dst) of all paths of at least one edge, by doubling: logarithmically many rounds."""
+def reach_pairs(edges: DataFrame) -> DataFrame:
+    """(src, dst) of all paths of at least one edge, by doubling: logarithmically many
+    rounds.  Its result is all pairs; where only some sources are asked for, use ``reached_from``."""
     total = cut(edges.select("src", "dst").distinct())
     n = total.count()
-    for _ in range(max_rounds):
+    while True:
         longer = total.alias("a").join(total.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         total = cut(total.union(longer).distinct())
         now = total.count()
         if now == n:
             return total
         n = now
-    return total
+
+
+def reached_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): what each start (column ``start``) reaches, itself included."""
+    ways = cut(edges.select("src", "dst").distinct().repartition("src"))
+    seed = starts.select("start", F.col("start").alias("node"))
+    step = lambda d, _: d.join(ways, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+    return whole(fixpoint(seed, step, ["start", "node"])).drop("round")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components: (node, component), component the smallest member.
 
-    Nodes that reach each other; for graphs whose closure fits the cluster."""
-    pairs = reach_pairs(edges)
-    mutual = pairs.alias("a").join(pairs.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return nodes.join(mutual, "node", "left").groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"))
+    Colouring: every node takes the smallest node that reaches it, and those that the
+    namesake is reached from over nodes of its colour are its component; what is left is
+    coloured anew.  Rounds grow with the depth of the graph, rows with its edges; no
+    table of pairs is made."""
+    ways = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    done = None
+    while True:
+        # nodes without a way in or out are components of one, and need no colour
+        ends = ways.select(F.col("src").alias("node")).distinct().join(ways.select(F.col("dst").alias("node")).distinct(), "node")
+        marked = cut(left.join(ends.withColumn("open", F.lit(True)), "node", "left"))
+        lone = marked.where("open is null").select("node", F.col("node").alias("component"))
+        done = lone if done is None else done.union(lone)
+        left = marked.where("open").select("node")
+        if left.isEmpty():
+            return cut(done)
+        colour = left.select("node", F.col("node").alias("colour"))
+        while True:
+            told = colour.join(ways, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "colour", F.lit(False).alias("own"))
+            both = colour.select("node", "colour", F.lit(True).alias("own")).union(told)
+            new = both.groupBy("node").agg(F.min("colour").alias("colour"), F.min(F.when(F.col("own"), F.col("colour"))).alias("before"))
+            new = cut(new.where("before is not null"))
+            colour = new.select("node", "colour")
+            if new.where("colour < before").isEmpty():
+                break
+        of = lambda end, name: colour.select(F.col("node").alias(end), F.col("colour").alias(name))
+        inside = ways.join(of("src", "c"), "src").join(of("dst", "d"), "dst").where("c = d").select("src", "dst")
+        found = closure(inside, colour.where("node = colour").select("node"), src="dst", dst="src")[0].select("node")
+        done = cut(done.union(found.join(colour, "node").select("node", F.col("colour").alias("component"))))
+        left = colour.select("node").join(found, "node", "left_anti")
+        kept = colour.join(found, "node", "left_anti").select("node")
+        ways = cut(ways.join(kept, F.col("src") == F.col("node"), "left_semi").join(kept, F.col("dst") == F.col("node"), "left_semi"))
 
 
 def push(context, site, k):
@@ -43,9 +78,10 @@ def pop(context):
     return F.slice(context, 2, F.greatest(F.size(context), F.lit(1)))
 
 
-def contexts(calls: DataFrame, roots: DataFrame, k: int, max_rounds: int = 16) -> tuple[DataFrame, bool]:
+def contexts(calls: DataFrame, roots: DataFrame, k: int, max_rounds: int | None = None) -> tuple[DataFrame, bool]:
     """Reachable (node, ctx) under ``k``-limited call strings; calls: (caller, callee, site)."""
     seed = roots.select("node", F.array().cast("array<bigint>").alias("ctx"))
+    calls = cut(calls.select("caller", "callee", "site").repartition("caller"))
 
     def step(delta, _):
         found = delta.join(calls, F.col("node") == F.col("caller"))
@@ -70,49 +106,59 @@ def adaptive_k(calls: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- call resolution
 
 
-def subtypes(hierarchy: DataFrame) -> DataFrame:
-    """(ancestor, descendant), each class below itself; cycles in the input do no harm."""
-    own = hierarchy.select(F.col("child").alias("c")).union(hierarchy.select("parent")).distinct()
-    pairs = reach_pairs(hierarchy.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
-    return pairs.select(F.col("dst").alias("ancestor"), F.col("src").alias("descendant")).union(own.select("c", "c")).distinct()
+def subtypes(hierarchy: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor, descendant), each class below itself; cycles in the input do no harm.
+
+    ``of`` (class): only these ancestors, so that no more pairs are made than are asked for."""
+    ways = hierarchy.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    own = hierarchy.select(F.col("child").alias("start")).union(hierarchy.select("parent")).distinct()
+    starts = own if of is None else own.join(of.select(F.col("class").alias("start")).distinct(), "start", "left_semi")
+    return reached_from(ways, starts).select(F.col("start").alias("ancestor"), F.col("node").alias("descendant"))
 
 
 def class_targets(calls: DataFrame, below: DataFrame, methods: DataFrame) -> DataFrame:
     """Class-hierarchy resolution: calls (site, class, name, kind) to concrete methods
     (class, name, abstract); static and special calls to their declared one only."""
+    return call_shapes(calls, below, methods).join(calls.select("site", "class", "name", "kind"), ["class", "name", "kind"]).select("site", "target", "name").distinct()
+
+
+def call_shapes(calls: DataFrame, below: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class, name, kind, target): targets of each different (class, name, kind) of calls,
+    worked out once however many sites share it."""
     m = methods.where("not abstract").select(F.col("class").alias("target"), F.col("name").alias("m_name"))
-    virtual = calls.where("kind = 'virtual'").join(below, F.col("class") == F.col("ancestor")).join(m, (F.col("descendant") == F.col("target")) & (F.col("name") == F.col("m_name")))
-    direct = calls.where("kind <> 'virtual'").join(m, (F.col("class") == F.col("target")) & (F.col("name") == F.col("m_name")))
-    return virtual.select("site", "target", "name").union(direct.select("site", "target", "name")).distinct()
+    shapes = calls.select("class", "name", "kind").distinct()
+    virtual = shapes.where("kind = 'virtual'").join(below, F.col("class") == F.col("ancestor")).join(m, (F.col("descendant") == F.col("target")) & (F.col("name") == F.col("m_name")))
+    direct = shapes.where("kind <> 'virtual'").join(m, (F.col("class") == F.col("target")) & (F.col("name") == F.col("m_name")))
+    return virtual.select("class", "name", "kind", "target").union(direct.select("class", "name", "kind", "target")).distinct()
 
 
-def rapid_targets(calls: DataFrame, below: DataFrame, methods: DataFrame, created: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def rapid_targets(calls: DataFrame, below: DataFrame, methods: DataFrame, created: DataFrame, roots: DataFrame) -> DataFrame:
     """Rapid-type resolution: methods (class.name) reached from ``roots`` (node), where a
     virtual call's target class must have been created by a reached method.
 
-    calls: (site, caller, class, name, kind); created: (method, class).  A call that
-    waits for its class is replayed when the class appears, because each round joins
-    all reached calls with all created classes and keeps what is new."""
-    targets = calls.join(class_targets(calls, below, methods).select("site", "target"), "site").select("caller", "kind", "target", F.concat_ws(".", "target", "name").alias("callee")).distinct()
-    targets = cut(targets)
-    reached = cut(roots.select("node").distinct())
-    n = reached.count()
-    for _ in rounds(max_rounds):
-        live = created.join(reached, F.col("method") == F.col("node"), "left_semi").select(F.col("class").alias("live")).distinct()
-        open_ = targets.join(reached, F.col("caller") == F.col("node"), "left_semi")
-        found = open_.where("kind <> 'virtual'").select("callee").union(open_.where("kind = 'virtual'").join(live, F.col("target") == F.col("live"), "left_semi").select("callee"))
-        reached = cut(reached.union(found.select(F.col("callee").alias("node"))).distinct())
-        now = reached.count()
-        if now == n:
-            break
-        n = now
+    calls: (site, caller, class, name, kind); created: (method, class).  Each round
+    joins only what is new: the calls of new methods with all live classes, and the
+    calls that waited for a class with the new ones."""
+    targets = call_shapes(calls, below, methods).join(calls.select("caller", "class", "name", "kind"), ["class", "name", "kind"])
+    targets = cut(targets.select("caller", "kind", "target", F.concat_ws(".", "target", "name").alias("callee")).distinct().repartition("caller"))
+    reached = fresh = cut(roots.select("node").distinct())
+    live = fresh.limit(0).select(F.col("node").alias("live"))
+    while not fresh.isEmpty():
+        born = created.join(fresh, F.col("method") == F.col("node"), "left_semi").select(F.col("class").alias("live")).distinct()
+        born = cut(born.join(live, "live", "left_anti"))
+        live = cut(live.union(born))
+        opened = targets.join(fresh, F.col("caller") == F.col("node"), "left_semi")
+        waited = targets.where("kind = 'virtual'").join(born, F.col("target") == F.col("live"), "left_semi").join(reached, F.col("caller") == F.col("node"), "left_semi")
+        found = opened.where("kind <> 'virtual'").union(opened.where("kind = 'virtual'").join(live, F.col("target") == F.col("live"), "left_semi")).union(waited)
+        fresh = cut(found.select(F.col("callee").alias("node")).distinct().join(reached, "node", "left_anti"))
+        reached = cut(reached.union(fresh))
     return reached
 
 
 # ---------------------------------------------------------------- points-to
 
 
-def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: DataFrame) -> DataFrame:
     """Inclusion-based points-to (var, obj) with fields.
 
     address: (var, obj); copies: (src, dst); loads: (base, field, dst); stores:
@@ -121,7 +167,7 @@ def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: D
     total = cut(address.select("var", "obj").distinct())
     delta, ways = total, cut(copies.select("src", "dst").distinct())
     fresh_ways = ways
-    for _ in rounds(max_rounds):
+    while True:
         cell = F.concat_ws(".", F.col("obj"), F.col("field"))
         seen = delta.withColumnRenamed("var", "base")
         more = seen.join(loads, "base").select(cell.alias("src"), "dst").union(seen.join(stores, "base").select("src", cell.alias("dst"))).distinct()
@@ -143,7 +189,7 @@ def may_alias(pts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- control flow
 
 
-def reaching_definitions(blocks: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(method, block, var, def): definitions that reach a block's start.
 
     blocks: (method, block, var): the variable that a block defines, if any."""
@@ -156,7 +202,7 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame, max_rounds: int |
         through = delta.withColumnRenamed("block", "at").join(own, ["method", "at"]).where("killed is null or killed <> var")
         return through.join(ways, ["method", "at"]).select("method", F.col("to").alias("block"), "var", "def")
 
-    return whole(fixpoint(seed, step, ["method", "block", "var", "def"], max_rounds)).drop("round")
+    return whole(fixpoint(seed, step, ["method", "block", "var", "def"])).drop("round")
 
 
 def def_use(reaching: DataFrame, uses: DataFrame) -> DataFrame:
@@ -202,7 +248,7 @@ def dominator_tree(idoms: DataFrame) -> DataFrame:
     up = idoms.where("idom is not null").select(F.col("method").alias("m"), F.col("idom").alias("at"), F.col("block").alias("child"))
     seed = idoms.where("idom is null").select("method", "block")
     step = lambda d, _: d.join(up, (F.col("method") == F.col("m")) & (F.col("block") == F.col("at"))).select("method", F.col("child").alias("block"))
-    return fixpoint(seed, step, ["method", "block"], None)[0].withColumnRenamed("round", "depth")
+    return whole(fixpoint(seed, step, ["method", "block"])).withColumnRenamed("round", "depth")
 
 
 def phi_places(blocks: DataFrame, idoms: DataFrame) -> DataFrame:
@@ -210,28 +256,30 @@ def phi_places(blocks: DataFrame, idoms: DataFrame) -> DataFrame:
     front = idoms.select(F.col("method").alias("m"), F.col("block").alias("at"), F.explode("frontier").alias("to"))
     step = lambda d, _: d.join(front, (F.col("method") == F.col("m")) & (F.col("block") == F.col("at"))).select("method", F.col("to").alias("block"), "var")
     seed = step(blocks.where("var is not null"), 0)
-    return fixpoint(seed, step, ["method", "block", "var"], None)[0].drop("round")
+    return whole(fixpoint(seed, step, ["method", "block", "var"])).drop("round")
 
 
-def tabulate(flows: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def tabulate(flows: DataFrame, calls: DataFrame, returns: DataFrame, seeds: DataFrame) -> DataFrame:
     """IFDS tabulation: path edges (d1, n, d2) from a procedure's entry fact.
 
     flows: (n, d, to, e): inside a procedure; calls: (n, d, site, entry, e); returns:
-    (exit, d, site, to, e); seeds: (n, d).  Summaries join callers with the exits of
-    the entry facts they opened; every round keeps only new edges."""
-    path = cut(seeds.select(F.concat_ws("/", "n", "d").alias("d1"), "n", F.col("d").alias("d2")).distinct())
-    n = path.count()
-    for _ in rounds(max_rounds):
-        at = path.alias("p")
+    (exit, d, site, to, e); seeds: (n, d).  A round joins only new path edges: inside
+    their procedure, into the ones they call, new callers with all known exits, and
+    new exits with all known callers."""
+    path = fresh = cut(seeds.select(F.concat_ws("/", "n", "d").alias("d1"), "n", F.col("d").alias("d2")).distinct())
+    opened = None
+    while not fresh.isEmpty():
+        at = fresh.alias("p")
         inner = at.join(flows, (F.col("p.n") == flows["n"]) & (F.col("p.d2") == flows["d"])).select("p.d1", F.col("to").alias("n"), F.col("e").alias("d2"))
-        opened = at.join(calls, (F.col("p.n") == calls["n"]) & (F.col("p.d2") == calls["d"])).select("p.d1", "site", "entry", "e")
-        inside = opened.select(F.concat_ws("/", "entry", "e").alias("d1"), F.col("entry").alias("n"), F.col("e").alias("d2"))
-        summary = opened.withColumn("own", F.concat_ws("/", "entry", "e")).drop("e").join(path.select(F.col("d1").alias("own"), F.col("n").alias("exit"), F.col("d2").alias("d")), "own")
+        call = cut(at.join(calls, (F.col("p.n") == calls["n"]) & (F.col("p.d2") == calls["d"])).select("p.d1", "site", "entry", "e").distinct())
+        inside = call.select(F.concat_ws("/", "entry", "e").alias("d1"), F.col("entry").alias("n"), F.col("e").alias("d2"))
+        exits = lambda p: p.select(F.col("d1").alias("own"), F.col("n").alias("exit"), F.col("d2").alias("d"))
+        owner = lambda c: c.withColumn("own", F.concat_ws("/", "entry", "e")).drop("e")
+        summary = owner(call).join(exits(path), "own")
+        if opened is not None:
+            summary = summary.unionByName(owner(opened).join(exits(fresh), "own"))
         back = summary.join(returns, ["exit", "d", "site"]).select("d1", F.col("to").alias("n"), returns["e"].alias("d2"))
-        path = cut(path.union(inner).union(inside).union(back).distinct())
-        now = path.count()
-        if now == n:
-            break
-        n = now
+        opened = cut(call if opened is None else opened.union(call).distinct())
+        fresh = cut(inner.union(inside).union(back).distinct().join(path, ["d1", "n", "d2"], "left_anti"))
+        path = cut(path.union(fresh))
     return path
-

@@ -57,7 +57,7 @@ def latest_store_asof(spark, sf_dir):
   SELECT s.id AS producer, l.id AS consumer, m.id AS mid, row_number() OVER (PARTITION BY s.id, l.id ORDER BY m.seq) AS place
   FROM effects s JOIN effects l ON s.cell = l.cell AND s.seq < l.seq JOIN effects m ON m.cell = s.cell AND m.seq > s.seq AND m.seq < l.seq
   WHERE s.kind = 'store' AND l.kind = 'load' AND m.kind IN ('kill', 'store-clean'))
-SELECT producer, consumer, count_if(place <= 8) AS held, max(place) > 8 AS truncated, min(mid) AS least_mid FROM inside GROUP BY producer, consumer"""
+SELECT producer, consumer, count_if(place <= 8) AS held, max(place) > 8 AS truncated, min_by(mid, place) AS first_mid FROM inside GROUP BY producer, consumer"""
 )
 def effect_slices(spark, sf_dir):
     return ops.effect_slices(effects(spark, sf_dir), limit=8)
@@ -80,8 +80,8 @@ def cell_compatibility(spark, sf_dir):
     return both.select(*[F.col(f"{s}.c.{a}").alias(f"{s}_{a}") for a in ("kind", "key", "precision") for s in "lr"], ops.compatibility(F.col("l.c"), F.col("r.c")).alias("compat"))
 
 
-PUTS = "SELECT 'h' || (l_partkey % 50) AS key, l_orderkey * 10 + l_linenumber AS id, l_orderkey AS seq, 'w' || (l_suppkey % 4) AS scope, l_linenumber AS n FROM lineitem WHERE l_returnflag = '{}' AND l_partkey % 50 < 12 AND l_quantity < 8"
-LINKS = "SELECT 'h' || n_nationkey AS a, 'h' || (n_nationkey + 3) AS b FROM nation WHERE n_nationkey < 8"
+PUTS = "SELECT 'h' || l_partkey AS key, l_orderkey * 10 + l_linenumber AS id, l_orderkey AS seq, 'w' || (l_suppkey % 4) AS scope, l_linenumber AS n FROM lineitem WHERE l_returnflag = '{}'"
+LINKS = "SELECT 'h' || p_partkey AS a, 'h' || (p_partkey + 3) AS b FROM part WHERE p_size = 8"
 HANDOFF_SQL = f"""WITH puts AS ({PUTS.format("A")}), gets AS ({PUTS.format("R")}), kills AS ({PUTS.format("N")}), links AS ({LINKS}), ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 pairs AS (
   SELECT DISTINCT * FROM (
@@ -93,7 +93,7 @@ pairs AS (
 
 def _handoff(spark, sf_dir):
     read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    read(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    read(spark, sf_dir, "part").createOrReplaceTempView("part")
     puts, gets, kills, links = (spark.sql(q) for q in (PUTS.format("A"), PUTS.format("R"), PUTS.format("N"), LINKS))
     return ops.handoff_pairs(puts, gets, links), kills
 

@@ -114,25 +114,25 @@ def type_narrowing_dead_branch(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT o_custkey % 50 AS method, o_orderstatus AS name, o_orderkey AS idx FROM orders WHERE o_orderkey % 5 = 0), s AS (SELECT o_orderkey AS id, o_custkey % 50 AS method, o_orderstatus AS name, o_orderkey AS lo, o_orderkey + 400 AS hi FROM orders WHERE o_orderkey % 7 = 1)
+    """WITH a AS (SELECT o_custkey % 50 AS method, o_orderstatus AS name, o_orderkey AS idx FROM orders WHERE o_orderkey % 2 = 0), s AS (SELECT o_orderkey AS id, o_custkey % 50 AS method, o_orderstatus AS name, o_orderkey AS lo, o_orderkey + 400 AS hi FROM orders WHERE o_orderkey % 2 = 1)
 SELECT s.id, EXISTS (SELECT 1 FROM a WHERE a.method = s.method AND a.name = s.name AND a.idx > s.lo AND a.idx < s.hi) AS reassigned FROM s"""
 )
 def local_reassignment_between(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("method"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("k"))
-    spans = o.where("k % 7 = 1").select(F.col("k").alias("id"), "method", "name", F.col("k").alias("lo"), (F.col("k") + 400).alias("hi"))
-    return ops.reassigned_between(spans, o.where("k % 5 = 0").select("method", "name", F.col("k").alias("idx")))
+    spans = o.where("k % 2 = 1").select(F.col("k").alias("id"), "method", "name", F.col("k").alias("lo"), (F.col("k") + 400).alias("hi"))
+    return ops.reassigned_between(spans, o.where("k % 2 = 0").select("method", "name", F.col("k").alias("idx")))
 
 
 @query(
     """WITH calls AS (SELECT l_partkey % 100 AS method, l_returnflag AS name, l_orderkey AS idx, 'api' || (l_suppkey % 10) AS api, l_linenumber FROM lineitem), one AS (SELECT method, name, idx, min(api) AS api FROM calls GROUP BY method, name, idx),
-steps AS (SELECT o_orderkey AS path, o_custkey % 100 AS method, CASE o_orderstatus WHEN 'F' THEN 'A' ELSE 'R' END AS name, o_orderkey AS sink_idx FROM orders WHERE o_orderkey % 20 = 3),
+steps AS (SELECT o_orderkey AS path, o_custkey % 100 AS method, CASE o_orderstatus WHEN 'F' THEN 'A' ELSE 'R' END AS name, o_orderkey AS sink_idx FROM orders),
 last AS (SELECT path, max_by(api, idx) AS api, max(idx) AS idx FROM steps JOIN one USING (method, name) WHERE idx < sink_idx GROUP BY path)
 SELECT path, api, idx FROM last WHERE api IN ('api1', 'api4')"""
 )
 def sanitizer_evidence(spark, sf_dir):
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     calls = li.groupBy((F.col("l_partkey") % 100).alias("method"), F.col("l_returnflag").alias("name"), F.col("l_orderkey").alias("idx")).agg(F.min(F.concat(F.lit("api"), F.col("l_suppkey") % 10)).alias("api"))
-    steps = o.where("o_orderkey % 20 = 3").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 100).alias("method"), F.when(F.col("o_orderstatus") == "F", "A").otherwise("R").alias("name"), F.col("o_orderkey").alias("sink_idx"))
+    steps = o.select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 100).alias("method"), F.when(F.col("o_orderstatus") == "F", "A").otherwise("R").alias("name"), F.col("o_orderkey").alias("sink_idx"))
     return ops.sanitizer_evidence(steps, calls, spark.createDataFrame([("api1",), ("api4",)], "api string"))
 
 

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import HIERARCHY_SQL, RING_SQL, TRADE_SQL, hierarchy, read, ring_edges, trade_edges
 from . import graph
-from .fixpoint import closure
+from .fixpoint import closure, whole
 from .registry import query
 
 
 def _customers(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_custkey % 40 = 3")
+    c = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     return c.select(F.concat(F.lit("c:"), "c_custkey").alias("node"))
 
 
 # SQL form: hop by hop over the four typed layers
-LAYERS_SQL = f"""WITH {TRADE_SQL}, l0 AS (SELECT DISTINCT 'c:' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey % 40 = 3),
+LAYERS_SQL = f"""WITH {TRADE_SQL}, l0 AS (SELECT DISTINCT 'c:' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING'),
 l1 AS (SELECT DISTINCT dst AS node FROM edges SEMI JOIN l0 ON src = node), l2 AS (SELECT DISTINCT dst AS node FROM edges SEMI JOIN l1 ON src = node),
 l3 AS (SELECT DISTINCT dst AS node FROM edges SEMI JOIN l2 ON src = node), l4 AS (SELECT DISTINCT dst AS node FROM edges SEMI JOIN l3 ON src = node),
 reached AS (SELECT node, 0 AS hops FROM l0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3 UNION ALL SELECT node, 4 FROM l4)
@@ -26,12 +26,12 @@ reached AS (SELECT node, 0 AS hops FROM l0 UNION ALL SELECT node, 1 FROM l1 UNIO
 
 @query(LAYERS_SQL + "SELECT node FROM reached")
 def reach_from_segment(spark, sf_dir):
-    return closure(trade_edges(spark, sf_dir), _customers(spark, sf_dir))[0].select("node")
+    return whole(closure(trade_edges(spark, sf_dir), _customers(spark, sf_dir))).select("node")
 
 
 @query(LAYERS_SQL + "SELECT hops, count(*) AS nodes FROM reached GROUP BY hops")
 def hop_distance(spark, sf_dir):
-    found = closure(trade_edges(spark, sf_dir), _customers(spark, sf_dir))[0]
+    found = whole(closure(trade_edges(spark, sf_dir), _customers(spark, sf_dir)))
     return found.groupBy(F.col("round").alias("hops")).agg(F.count("*").alias("nodes"))
 
 
@@ -48,28 +48,32 @@ def strongly_connected(spark, sf_dir):
     return graph.components(ring_edges(spark, sf_dir))
 
 
-CALLS_SQL = "calls AS (SELECT src AS caller, dst AS callee, src * 100 + dst AS site FROM ring)"
+CALLS_SQL = "calls AS (SELECT src AS caller, dst AS callee, src * 1000000 + dst AS site FROM ring)"
 
 
 def _calls(spark, sf_dir):
-    return ring_edges(spark, sf_dir).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (F.col("src") * 100 + F.col("dst")).alias("site"))
+    return ring_edges(spark, sf_dir).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (F.col("src") * 1000000 + F.col("dst")).alias("site"))
+
+
+def _roots(spark, sf_dir):
+    """The seventh node of each ring."""
+    return read(spark, sf_dir, "part").select((F.floor(F.col("p_partkey") / 97) * 97 + 7).alias("node")).distinct()
 
 
 CONTEXT_SQL = f"""WITH RECURSIVE {RING_SQL}, {CALLS_SQL}, walk(node, a, b) AS (
-  SELECT CAST(7 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) UNION SELECT callee, site, a FROM walk JOIN calls ON node = caller)
+  SELECT DISTINCT p_partkey // 97 * 97 + 7, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM part UNION SELECT callee, site, a FROM walk JOIN calls ON node = caller)
 """
 
 
 @query(CONTEXT_SQL + "SELECT node, CASE WHEN a = -1 THEN '' WHEN b = -1 THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS ctx FROM walk")
 def k_limited_contexts(spark, sf_dir):
-    roots = spark.createDataFrame([(7,)], "node long")
-    return graph.contexts(_calls(spark, sf_dir), roots, 2, 64)[0].select("node", F.array_join("ctx", ",").alias("ctx"))
+    return whole(graph.contexts(_calls(spark, sf_dir), _roots(spark, sf_dir), 2)).select("node", F.array_join("ctx", ",").alias("ctx"))
 
 
 @query(CONTEXT_SQL + "SELECT DISTINCT caller AS node, CASE WHEN b = -1 THEN '' ELSE CAST(b AS VARCHAR) END AS ctx, site FROM walk JOIN calls ON node = callee AND a = site")
 def matched_returns(spark, sf_dir):
     calls = _calls(spark, sf_dir)
-    ctx = graph.contexts(calls, spark.createDataFrame([(7,)], "node long"), 2, 64)[0]
+    ctx = whole(graph.contexts(calls, _roots(spark, sf_dir), 2))
     return graph.matched_returns(calls, ctx.drop("round")).select("node", F.array_join("ctx", ",").alias("ctx"), "site")
 
 
@@ -100,7 +104,7 @@ def fan_in_hotspots(spark, sf_dir):
 BELOW_SQL = f"""WITH RECURSIVE {HIERARCHY_SQL}, up AS (SELECT child AS descendant, parent AS ancestor FROM hierarchy UNION SELECT u.descendant, h.parent FROM up u JOIN hierarchy h ON u.ancestor = h.child),
 below AS (SELECT ancestor, descendant FROM up UNION SELECT child, child FROM hierarchy UNION SELECT parent, parent FROM hierarchy),
 methods AS (SELECT child AS class, 'm' || (length(child) % 3) AS name, child LIKE 'n:%' AS abstract FROM hierarchy),
-sites AS (SELECT o_orderkey AS site, CASE WHEN o_orderkey % 5 = 0 THEN 'c:' || o_custkey ELSE 'n:' || (o_custkey % 25) END AS class, 'm' || (o_orderkey % 3) AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'static' ELSE 'virtual' END AS kind FROM orders WHERE o_orderkey % 50 < 6)
+sites AS (SELECT o_orderkey AS site, CASE WHEN o_orderkey % 5 = 0 THEN 'c:' || o_custkey ELSE 'n:' || (o_custkey % 25) END AS class, 'm' || (o_orderkey % 3) AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'static' ELSE 'virtual' END AS kind FROM orders)
 """
 
 
@@ -108,62 +112,79 @@ def _classes(spark, sf_dir):
     h = hierarchy(spark, sf_dir)
     methods = h.select(F.col("child").alias("class"), F.concat(F.lit("m"), F.length("child") % 3).alias("name"), F.col("child").startswith("n:").alias("abstract"))
     k = F.col("o_orderkey")
-    o = read(spark, sf_dir, "orders").where(k % 50 < 6)
+    o = read(spark, sf_dir, "orders")
     sites = o.select(k.alias("site"), F.when(k % 5 == 0, F.concat(F.lit("c:"), "o_custkey")).otherwise(F.concat(F.lit("n:"), F.col("o_custkey") % 25)).alias("class"), F.concat(F.lit("m"), k % 3).alias("name"), F.when(k % 5 == 0, "static").otherwise("virtual").alias("kind"))
-    return graph.subtypes(h), methods, sites
+    return h, methods, sites
 
 
 @query(BELOW_SQL + "SELECT ancestor, count(*) AS classes, min(descendant) AS first FROM below GROUP BY ancestor")
 def subtype_closure(spark, sf_dir):
-    return _classes(spark, sf_dir)[0].groupBy("ancestor").agg(F.count("*").alias("classes"), F.min("descendant").alias("first"))
+    return graph.subtypes(_classes(spark, sf_dir)[0]).groupBy("ancestor").agg(F.count("*").alias("classes"), F.min("descendant").alias("first"))
 
 
 @query(
     BELOW_SQL
     + """SELECT site, count(*) AS targets, min(target) AS first FROM (
-  SELECT DISTINCT s.site, m.class AS target FROM sites s JOIN below b ON s.class = b.ancestor JOIN methods m ON m.class = b.descendant AND m.name = s.name WHERE s.kind = 'virtual' AND NOT m.abstract
-  UNION SELECT s.site, m.class FROM sites s JOIN methods m ON m.class = s.class AND m.name = s.name WHERE s.kind <> 'virtual' AND NOT m.abstract) GROUP BY site"""
+  SELECT s.site, t.target FROM sites s JOIN (SELECT DISTINCT s.class, s.name, m.class AS target FROM (SELECT DISTINCT class, name FROM sites WHERE kind = 'virtual') s JOIN below b ON s.class = b.ancestor JOIN methods m ON m.class = b.descendant AND m.name = s.name WHERE NOT m.abstract) t ON t.class = s.class AND t.name = s.name WHERE s.kind = 'virtual'
+  UNION ALL SELECT s.site, m.class FROM sites s JOIN methods m ON m.class = s.class AND m.name = s.name WHERE s.kind <> 'virtual' AND NOT m.abstract) GROUP BY site"""
 )
 def cha_targets(spark, sf_dir):
-    below, methods, sites = _classes(spark, sf_dir)
-    return graph.class_targets(sites, below, methods).groupBy("site").agg(F.count("*").alias("targets"), F.min("target").alias("first"))
+    """Targets are counted for each different call and joined to its sites."""
+    h, methods, sites = _classes(spark, sf_dir)
+    shapes = graph.call_shapes(sites, graph.subtypes(h, sites), methods)
+    counted = shapes.groupBy("class", "name", "kind").agg(F.count("*").alias("targets"), F.min("target").alias("first"))
+    return sites.join(counted, ["class", "name", "kind"]).select("site", "targets", "first")
+
 
 
 
+# each part a class under the one of a third of its number, with one method that calls another and creates two
+RTA_SQL = """hierarchy AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey // 3 <> p_partkey),
+below AS (SELECT p_partkey AS ancestor, p_partkey AS descendant FROM part UNION SELECT b.ancestor, h.child FROM below b JOIN hierarchy h ON b.descendant = h.parent),
+targets AS (SELECT DISTINCT c.p_partkey AS caller, c.p_partkey % 4 <> 0 AS virtual, b.descendant AS target FROM part c JOIN below b ON b.ancestor = c.p_partkey // 2 AND (c.p_partkey % 4 <> 0 OR b.descendant = b.ancestor)),
+created AS (SELECT p_partkey AS method, p_partkey * 2 AS class FROM part UNION SELECT p_partkey, p_partkey + 1 FROM part)"""
 
-@query(None)
+
+@query(
+    f"""WITH RECURSIVE {RTA_SQL}, walk(kind, name) AS (SELECT 'm', p_partkey FROM part WHERE p_size = 50 OR p_partkey = 7
+  UNION SELECT n.kind, n.name FROM (
+    SELECT 'c' AS kind, c.class AS name FROM walk w JOIN created c ON w.kind = 'm' AND c.method = w.name
+    UNION ALL SELECT 'm', t.target FROM walk w JOIN targets t ON w.kind = 'm' AND t.caller = w.name WHERE NOT t.virtual
+    UNION ALL SELECT 'm', t.target FROM walk w JOIN targets t ON w.kind = 'm' AND t.caller = w.name JOIN recurring.walk q ON q.kind = 'c' AND q.name = t.target WHERE t.virtual
+    UNION ALL SELECT 'm', t.target FROM walk w JOIN targets t ON w.kind = 'c' AND t.target = w.name JOIN recurring.walk q ON q.kind = 'm' AND q.name = t.caller WHERE t.virtual) n)
+SELECT 'k' || name || '.m' AS node FROM walk WHERE kind = 'm'"""
+)
 def rta_reached(spark, sf_dir):
-    """Over a made program; held against a plain loop in the tests."""
-    c = spark.range(40).select(F.col("id").alias("c"))
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
     name = lambda x: F.concat(F.lit("k"), x.cast("long"))
-    h = c.where("c > 0").select(name(F.col("c")).alias("child"), name(F.floor(F.col("c") / 3)).alias("parent"))
-    methods = c.select(name(F.col("c")).alias("class"), F.lit("m").alias("name"), F.lit(False).alias("abstract"))
-    calls = c.select(F.col("c").alias("site"), F.concat(name(F.col("c")), F.lit(".m")).alias("caller"), name((F.col("c") * 3 + 1) % 40).alias("class"), F.lit("m").alias("name"), F.when(F.col("c") % 4 == 0, "static").otherwise("virtual").alias("kind"))
-    created = c.select(F.concat(name(F.col("c")), F.lit(".m")).alias("method"), name((F.col("c") * 5 + 2) % 40).alias("class")).union(c.select(F.concat(name(F.col("c")), F.lit(".m")), name(F.col("c") + 1)))
-    roots = spark.createDataFrame([("k0.m",)], "node string")
-    return graph.rapid_targets(calls, graph.subtypes(h), methods, created, roots)
+    method = F.concat(name(k), F.lit(".m"))
+    h = p.where(F.floor(k / 3) != k).select(name(k).alias("child"), name(F.floor(k / 3)).alias("parent"))
+    methods = p.select(name(k).alias("class"), F.lit("m").alias("name"), F.lit(False).alias("abstract"))
+    calls = p.select(k.alias("site"), method.alias("caller"), name(F.floor(k / 2)).alias("class"), F.lit("m").alias("name"), F.when(k % 4 == 0, "static").otherwise("virtual").alias("kind"))
+    created = p.select(method.alias("method"), F.explode(F.array(name(k * 2), name(k + 1))).alias("class"))
+    roots = p.where("p_size = 50 or p_partkey = 7").select(method.alias("node"))
+    return graph.rapid_targets(calls, graph.subtypes(h, calls), methods, created, roots)
 
 
-# points-to: parts as variables, suppliers as objects
-PTS_SQL = """address AS (SELECT DISTINCT 'v' || (l_partkey % 60) AS var, 'o' || (l_suppkey % 15) AS obj FROM lineitem WHERE l_orderkey % 97 = 1),
-copies AS (SELECT DISTINCT 'v' || (p_partkey % 60) AS src, 'v' || ((p_partkey * 7 + 3) % 60) AS dst FROM part WHERE p_partkey % 11 = 0),
-loads AS (SELECT DISTINCT 'v' || (p_partkey % 60) AS base, 'f' || (p_size % 2) AS field, 'v' || ((p_partkey + 13) % 60) AS dst FROM part WHERE p_partkey % 97 = 5),
-stores AS (SELECT DISTINCT 'v' || (p_partkey % 60) AS base, 'f' || (p_size % 2) AS field, 'v' || ((p_partkey + 29) % 60) AS src FROM part WHERE p_partkey % 89 = 7)"""
+# points-to: each part is one statement: an allocation, a copy, a field load or a field store
+PTS_SQL = """address AS (SELECT 'v' || p_partkey AS var, 'o' || p_partkey AS obj FROM part WHERE p_partkey % 4 = 0),
+copies AS (SELECT 'v' || (p_partkey // 3) AS src, 'v' || p_partkey AS dst FROM part WHERE p_partkey % 4 = 1),
+loads AS (SELECT 'v' || (p_partkey // 3) AS base, 'f' || (p_size % 2) AS field, 'v' || p_partkey AS dst FROM part WHERE p_partkey % 4 = 2),
+stores AS (SELECT 'v' || (p_partkey // 3) AS base, 'f' || (p_size % 2) AS field, 'v' || (p_partkey // 2) AS src FROM part WHERE p_partkey % 4 = 3)"""
 
 
 def _points_to(spark, sf_dir):
-    li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
-    v = lambda x: F.concat(F.lit("v"), x % 60)
-    k, f = F.col("p_partkey"), F.concat(F.lit("f"), F.col("p_size") % 2)
-    address = li.where("l_orderkey % 97 = 1").select(v(F.col("l_partkey")).alias("var"), F.concat(F.lit("o"), F.col("l_suppkey") % 15).alias("obj")).distinct()
-    copies = p.where(k % 11 == 0).select(v(k).alias("src"), v(k * 7 + 3).alias("dst")).distinct()
-    loads = p.where(k % 97 == 5).select(v(k).alias("base"), f.alias("field"), v(k + 13).alias("dst")).distinct()
-    stores = p.where(k % 89 == 7).select(v(k).alias("base"), f.alias("field"), v(k + 29).alias("src")).distinct()
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    v, f = lambda x: F.concat(F.lit("v"), x.cast("long")), F.concat(F.lit("f"), F.col("p_size") % 2)
+    third = v(F.floor(k / 3))
+    address = p.where(k % 4 == 0).select(v(k).alias("var"), F.concat(F.lit("o"), k).alias("obj"))
+    copies = p.where(k % 4 == 1).select(third.alias("src"), v(k).alias("dst"))
+    loads = p.where(k % 4 == 2).select(third.alias("base"), f.alias("field"), v(k).alias("dst"))
+    stores = p.where(k % 4 == 3).select(third.alias("base"), f.alias("field"), v(F.floor(k / 2)).alias("src"))
     return graph.points_to(address, copies, loads, stores)
 
 
-@query(
-    f"""WITH RECURSIVE {PTS_SQL}, pts AS (
+PTS_WALK = f"""WITH RECURSIVE {PTS_SQL}, pts AS (
   SELECT var, obj FROM address
   UNION SELECT n.var, n.obj FROM (
     SELECT c.dst AS var, p.obj FROM pts p JOIN copies c ON p.var = c.src
@@ -171,27 +192,28 @@ def _points_to(spark, sf_dir):
     UNION ALL SELECT l.dst, p.obj FROM pts p JOIN loads l ON split_part(p.var, '.', 2) = l.field JOIN recurring.pts q ON q.var = l.base AND p.var = q.obj || '.' || l.field
     UNION ALL SELECT q.obj || '.' || s.field, p.obj FROM pts p JOIN stores s ON p.var = s.src JOIN recurring.pts q ON q.var = s.base
     UNION ALL SELECT p.obj || '.' || s.field, q.obj FROM pts p JOIN stores s ON p.var = s.base JOIN recurring.pts q ON q.var = s.src) n)
-SELECT var, obj FROM pts"""
-)
+"""
+
+
+@query(PTS_WALK + "SELECT var, obj FROM pts")
 def points_to(spark, sf_dir):
     return _points_to(spark, sf_dir)
 
 
-@query(None)
+@query(PTS_WALK + "SELECT DISTINCT x.var AS a, y.var AS b FROM pts x JOIN pts y ON x.obj = y.obj AND x.var < y.var")
 def may_alias(spark, sf_dir):
-    """Held against a plain loop in the tests."""
     return graph.may_alias(_points_to(spark, sf_dir))
 
 
-# control flow: each customer segment's orders as blocks of a method
-CFG_SQL = """blocks AS (SELECT DISTINCT 'm' || (o_custkey % 12) AS method, o_orderkey % 20 AS block FROM orders),
+# control flow: each customer's orders as blocks of a method
+CFG_SQL = """blocks AS (SELECT DISTINCT 'm' || o_custkey AS method, o_orderkey % 20 AS block FROM orders),
 cfg AS (SELECT DISTINCT method, block AS src, dst FROM (SELECT method, block, unnest([block + 1, (block * 3 + 1) % 20, CASE WHEN block % 4 = 0 THEN block + 2 ELSE block + 1 END]) AS dst FROM blocks) WHERE dst < 20 AND (dst > block OR block % 7 = 3)),
 defs AS (SELECT method, block, CASE WHEN block % 3 = 0 THEN 'x' WHEN block % 3 = 1 THEN 'y' END AS var FROM blocks)"""
 
 
 def _cfg(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    blocks = o.select(F.concat(F.lit("m"), F.col("o_custkey") % 12).alias("method"), (F.col("o_orderkey") % 20).alias("block")).distinct()
+    blocks = o.select(F.concat(F.lit("m"), F.col("o_custkey")).alias("method"), (F.col("o_orderkey") % 20).alias("block")).distinct()
     b = F.col("block")
     ways = F.explode(F.array(b + 1, (b * 3 + 1) % 20, F.when(b % 4 == 0, b + 2).otherwise(b + 1)))
     edges = blocks.select("method", b.alias("src"), ways.alias("dst")).where("dst < 20 and (dst > src or src % 7 = 3)").distinct()
@@ -210,7 +232,7 @@ def reaching_defs(spark, sf_dir):
     return graph.reaching_definitions(blocks, edges)
 
 
-@query(RD_SQL + "SELECT DISTINCT method, def, block AS use, var FROM rd WHERE (block % 2 = 0 AND var = 'x') OR (block % 2 = 1 AND var = 'y')")
+@query(RD_SQL + "SELECT DISTINCT method, def, block AS use, var FROM rd JOIN blocks USING (method, block) WHERE (block % 2 = 0 AND var = 'x') OR (block % 2 = 1 AND var = 'y')")
 def def_use(spark, sf_dir):
     blocks, edges = _cfg(spark, sf_dir)
     uses = blocks.select("method", "block", F.when(F.col("block") % 2 == 0, "x").otherwise("y").alias("var"))
@@ -257,31 +279,37 @@ def straight_line_defs(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("method"), F.col("event_id").alias("stmt"), F.col("event_type").alias("var"), F.lag("event_id").over(w).alias("def"))
 
 
-@query(None)
+# procedures are suppliers of six statements each, which call those of half and a third of their number; facts 0, u, v
+IFDS_SQL = """p AS (SELECT s_suppkey AS s FROM supplier), i AS (SELECT unnest(range(5)) AS i),
+flows AS (SELECT s, i, d, s AS ts, i + 1 AS ti, d AS e FROM p, i, (VALUES ('0'), ('u'), ('v')) f(d) WHERE NOT (d = 'u' AND i = s % 5) UNION SELECT s, 2, '0', s, 3, CASE WHEN s % 2 = 1 THEN 'u' ELSE 'v' END FROM p),
+callee AS (SELECT s, q FROM p, LATERAL (SELECT unnest([s // 2, s // 3]) AS q) WHERE q <> s),
+calls AS (SELECT DISTINCT s, d, s || '>' || q AS site, q, e FROM callee, (VALUES ('0', '0'), ('u', 'v')) f(d, e)),
+returns AS (SELECT DISTINCT q, d, s || '>' || q AS site, s, e FROM callee, (VALUES ('v', 'u'), ('0', '0')) f(d, e)),
+walk(ps, pd, s, i, d) AS (SELECT s, '0', s, 0, '0' FROM p UNION SELECT n.ps, n.pd, n.s, n.i, n.d FROM (
+  SELECT w.ps, w.pd, f.ts AS s, CAST(f.ti AS INTEGER) AS i, f.e AS d FROM walk w JOIN flows f ON f.s = w.s AND f.i = w.i AND f.d = w.d
+  UNION ALL SELECT c.q, c.e, c.q, 0, c.e FROM walk w JOIN calls c ON w.i = 3 AND c.s = w.s AND c.d = w.d
+  UNION ALL SELECT w.ps, w.pd, r.s, 4, r.e FROM walk w JOIN calls c ON w.i = 3 AND c.s = w.s AND c.d = w.d JOIN recurring.walk x ON x.ps = c.q AND x.pd = c.e AND x.s = c.q AND x.i = 5 JOIN returns r ON r.site = c.site AND r.d = x.d
+  UNION ALL SELECT x.ps, x.pd, r.s, 4, r.e FROM walk w JOIN calls c ON w.i = 5 AND w.s = c.q AND w.ps = c.q AND w.pd = c.e JOIN recurring.walk x ON x.s = c.s AND x.i = 3 AND x.d = c.d JOIN returns r ON r.site = c.site AND r.d = w.d) n)"""
+
+
+@query(f"WITH RECURSIVE {IFDS_SQL} SELECT 'p' || ps || '.0/' || pd AS d1, 'p' || s || '.' || i AS n, d AS d2 FROM walk")
 def ifds_path_edges(spark, sf_dir):
-    """Undefined variables over a made program; held against a plain loop in the tests."""
-    flows, calls, returns, seeds = ifds_program(spark)
-    return graph.tabulate(flows, calls, returns, seeds)
-
-
-def ifds_program(spark):
-    """Procedures p0 to p5 of six statements each; facts 0, u, v."""
-    n = lambda p, i: f"p{p}.{i}"
-    flows, calls, returns = [], [], []
-    for p in range(6):
-        for i in range(5):
-            for d in ("0", "u", "v"):
-                if not (d == "u" and i == p % 5):
-                    flows.append((n(p, i), d, n(p, i + 1), d))
-            if i == 2:
-                flows.append((n(p, i), "0", n(p, i + 1), "u" if p % 2 else "v"))
-        for q in ((p * 2 + 1) % 6, (p + 3) % 6):
-            calls += [(n(p, 3), d, f"s{p}{q}", n(q, 0), e) for d, e in (("0", "0"), ("u", "v"))]
-            returns += [(n(q, 5), d, f"s{p}{q}", n(p, 4), e) for d, e in (("v", "u"), ("0", "0"))]
-    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
-    return (
-        frame(flows, "n string, d string, `to` string, e string"),
-        frame(calls, "n string, d string, site string, entry string, e string"),
-        frame(returns, "`exit` string, d string, site string, `to` string, e string"),
-        frame([("p0.0", "0")], "n string, d string"),
-    )
+    """Undefined variables over a program of all suppliers."""
+    return graph.tabulate(*ifds_program(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))))
+
+
+def ifds_program(procedures):
+    """flows, calls, returns and seeds of procedures (s)."""
+    spark = procedures.sparkSession
+    n = lambda s, i: F.concat(F.lit("p"), s, F.lit("."), i)
+    s, i, d = F.col("s"), F.col("i"), F.col("d")
+    facts = lambda *rows: spark.createDataFrame(rows, "d string, e string")
+    steps = procedures.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    flows = steps.crossJoin(F.broadcast(facts(("0", "0"), ("u", "u"), ("v", "v")))).where(~((d == "u") & (i == s % 5)))  # three rows
+    made = procedures.select(n(s, F.lit(2)).alias("n"), F.lit("0").alias("d"), n(s, F.lit(3)).alias("to"), F.when(s % 2 == 1, "u").otherwise("v").alias("e"))
+    flows = flows.select(n(s, i).alias("n"), "d", n(s, i + 1).alias("to"), "e").union(made).distinct()
+    callee = procedures.select("s", F.explode(F.array_distinct(F.array(F.floor(s / 2), F.floor(s / 3)))).alias("q")).where("q <> s").withColumn("site", F.concat_ws(">", "s", "q"))
+    q = F.col("q")
+    calls = callee.crossJoin(F.broadcast(facts(("0", "0"), ("u", "v")))).select(n(s, F.lit(3)).alias("n"), "d", "site", n(q, F.lit(0)).alias("entry"), "e")  # two rows
+    returns = callee.crossJoin(F.broadcast(facts(("v", "u"), ("0", "0")))).select(n(q, F.lit(5)).alias("exit"), "d", "site", n(s, F.lit(4)).alias("to"), "e")  # two rows
+    return flows, calls, returns, procedures.select(n(s, F.lit(0)).alias("n"), F.lit("0").alias("d"))

@@ -8,13 +8,14 @@ from ..operators import assets as ops
 from ..sources import readers, writers
 from ..sources.fixtures import read
 from . import schedule, taint
+from .fixpoint import whole
 from .registry import query
 
 # ---------------------------------------------------------------- coverage and assets
 
-BIND_SQL = """bindings AS (SELECT p_partkey AS binding, 'api' || (p_partkey % 300) AS api, CASE p_size % 3 WHEN 0 THEN 'source' WHEN 1 THEN 'sink' ELSE 'transfer' END AS role, 'arg' || (p_partkey % 2) AS base,
-  CASE WHEN p_size % 4 = 0 THEN ['a'] WHEN p_size % 4 = 1 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS path, CASE WHEN p_partkey % 5 = 0 THEN 'partial' ELSE 'complete' END AS completeness, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'certain' END AS confidence FROM part WHERE p_partkey % 300 < 200),
-asked AS (SELECT o_orderkey AS query, CASE WHEN o_orderkey % 13 <> 0 THEN 'api' || (o_custkey % 300) END AS api, CASE WHEN o_orderstatus = 'F' THEN 'source' ELSE 'sink' END AS role, 'arg' || (o_orderkey % 2) AS base, CASE WHEN o_orderkey % 3 = 0 THEN ['a', 'b'] ELSE ['a'] END AS path FROM orders)"""
+BIND_SQL = """bindings AS (SELECT p_partkey AS binding, 'api' || (p_partkey // 5) AS api, CASE p_size % 3 WHEN 0 THEN 'source' WHEN 1 THEN 'sink' ELSE 'transfer' END AS role, 'arg' || (p_partkey % 2) AS base,
+  CASE WHEN p_size % 4 = 0 THEN ['a'] WHEN p_size % 4 = 1 THEN ['a', 'b'] ELSE CAST([] AS VARCHAR[]) END AS path, CASE WHEN p_partkey % 5 = 0 THEN 'partial' ELSE 'complete' END AS completeness, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'certain' END AS confidence FROM part),
+asked AS (SELECT o_orderkey AS query, CASE WHEN o_orderkey % 13 <> 0 THEN 'api' || (o_custkey // 3) END AS api, CASE WHEN o_orderstatus = 'F' THEN 'source' ELSE 'sink' END AS role, 'arg' || (o_orderkey % 2) AS base, CASE WHEN o_orderkey % 3 = 0 THEN ['a', 'b'] ELSE ['a'] END AS path FROM orders)"""
 
 
 @query(
@@ -27,12 +28,12 @@ SELECT query, CASE WHEN api IS NULL THEN 'identity-unresolved' WHEN NOT hit THEN
 def coverage_status(spark, sf_dir):
     k, z = F.col("p_partkey"), F.col("p_size")
     none = F.array().cast("array<string>")
-    b = read(spark, sf_dir, "part").where(k % 300 < 200).select(
-        k.alias("binding"), F.concat(F.lit("api"), k % 300).alias("api"), F.when(z % 3 == 0, "source").when(z % 3 == 1, "sink").otherwise("transfer").alias("role"), F.concat(F.lit("arg"), k % 2).alias("base"),
+    b = read(spark, sf_dir, "part").select(
+        k.alias("binding"), F.concat(F.lit("api"), F.floor(k / 5)).alias("api"), F.when(z % 3 == 0, "source").when(z % 3 == 1, "sink").otherwise("transfer").alias("role"), F.concat(F.lit("arg"), k % 2).alias("base"),
         F.when(z % 4 == 0, F.lit(["a"])).when(z % 4 == 1, F.lit(["a", "b"])).otherwise(none).alias("path"), F.when(k % 5 == 0, "partial").otherwise("complete").alias("completeness"), F.when(k % 7 == 0, "unknown").otherwise("certain").alias("confidence"),
     )
     o = F.col("o_orderkey")
-    q = read(spark, sf_dir, "orders").select(o.alias("query"), F.when(o % 13 != 0, F.concat(F.lit("api"), F.col("o_custkey") % 300)).alias("api"), F.when(F.col("o_orderstatus") == "F", "source").otherwise("sink").alias("role"), F.concat(F.lit("arg"), o % 2).alias("base"), F.when(o % 3 == 0, F.lit(["a", "b"])).otherwise(F.lit(["a"])).alias("path"))
+    q = read(spark, sf_dir, "orders").select(o.alias("query"), F.when(o % 13 != 0, F.concat(F.lit("api"), F.floor(F.col("o_custkey") / 3))).alias("api"), F.when(F.col("o_orderstatus") == "F", "source").otherwise("sink").alias("role"), F.concat(F.lit("arg"), o % 2).alias("base"), F.when(o % 3 == 0, F.lit(["a", "b"])).otherwise(F.lit(["a"])).alias("path"))
     return ops.coverage(q, b)
 
 
@@ -48,13 +49,13 @@ def guard_relation(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select(k.alias("id"), ops.guard_relation(a, b).alias("relation"))
 
 
-LOWER_SQL = """surfaces AS (SELECT s_suppkey AS surface, 'api' || (s_suppkey % 40) AS api FROM supplier), refs AS (SELECT p_partkey AS binding, p_partkey % 130 AS surface, unnest(['t' || (p_size % 6), 't' || (p_size % 9)]) AS template FROM part), templates AS (SELECT 't' || n_nationkey AS template, n_name AS kind FROM nation WHERE n_nationkey < 7)"""
+LOWER_SQL = """surfaces AS (SELECT s_suppkey AS surface, 'api' || s_suppkey AS api FROM supplier), refs AS (SELECT p_partkey AS binding, p_partkey // 20 AS surface, unnest(['t' || (p_size % 6), 't' || (p_size % 9)]) AS template FROM part), templates AS (SELECT 't' || n_nationkey AS template, n_name AS kind FROM nation WHERE n_nationkey < 7)"""
 
 
 def _lowered(spark, sf_dir):
     p, z = F.col("p_partkey"), F.col("p_size")
-    surfaces = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("surface"), F.concat(F.lit("api"), F.col("s_suppkey") % 40).alias("api"))
-    bindings = read(spark, sf_dir, "part").select(p.alias("binding"), (p % 130).alias("surface"), F.array(F.concat(F.lit("t"), z % 6), F.concat(F.lit("t"), z % 9)).alias("refs"))
+    surfaces = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("surface"), F.concat(F.lit("api"), F.col("s_suppkey")).alias("api"))
+    bindings = read(spark, sf_dir, "part").select(p.alias("binding"), F.floor(p / 20).alias("surface"), F.array(F.concat(F.lit("t"), z % 6), F.concat(F.lit("t"), z % 9)).alias("refs"))
     templates = read(spark, sf_dir, "nation").where("n_nationkey < 7").select(F.concat(F.lit("t"), "n_nationkey").alias("template"), F.col("n_name").alias("kind"))
     return surfaces, bindings, templates
 
@@ -69,14 +70,14 @@ def rule_lowering_dangling(spark, sf_dir):
     return ops.lowered(*_lowered(spark, sf_dir))[1]
 
 
-OCC_SQL = "occ AS (SELECT c_custkey AS site, 'api' || (c_custkey % 50) AS api, CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'partial' ELSE 'exact' END AS endpoint_status FROM customer WHERE c_custkey % 20 < 9)"
+OCC_SQL = "occ AS (SELECT c_custkey AS site, 'api' || (c_custkey // 15) AS api, CASE WHEN c_custkey % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN c_custkey % 4 = 0 THEN 'partial' ELSE 'exact' END AS endpoint_status FROM customer)"
 
 
-@query(f"WITH {LOWER_SQL}, {OCC_SQL}, rules AS (SELECT binding, api, kind, template FROM refs JOIN templates USING (template) JOIN surfaces USING (surface) WHERE binding % 5 = 0) SELECT binding || ':' || template || ':' || site AS effect, api, site, kind FROM rules JOIN occ USING (api) WHERE status = 'accepted' AND endpoint_status = 'exact'")
+@query(f"WITH {LOWER_SQL}, {OCC_SQL}, rules AS (SELECT binding, api, kind, template FROM refs JOIN templates USING (template) JOIN surfaces USING (surface)) SELECT binding || ':' || template || ':' || site AS effect, api, site, kind FROM rules JOIN occ USING (api) WHERE status = 'accepted' AND endpoint_status = 'exact'")
 def effect_sites(spark, sf_dir):
-    rules = rule_lowering(spark, sf_dir).where("binding % 5 = 0")
+    rules = rule_lowering(spark, sf_dir)
     c = F.col("c_custkey")
-    occ = read(spark, sf_dir, "customer").where(c % 20 < 9).select(c.alias("site"), F.concat(F.lit("api"), c % 50).alias("api"), F.when(c % 3 == 0, "rejected").otherwise("accepted").alias("status"), F.when(c % 4 == 0, "partial").otherwise("exact").alias("endpoint_status"))
+    occ = read(spark, sf_dir, "customer").select(c.alias("site"), F.concat(F.lit("api"), F.floor(c / 15)).alias("api"), F.when(c % 3 == 0, "rejected").otherwise("accepted").alias("status"), F.when(c % 4 == 0, "partial").otherwise("exact").alias("endpoint_status"))
     return ops.effect_sites(rules, occ)
 
 
@@ -94,9 +95,9 @@ def occurrence_resolution(spark, sf_dir):
 
 @query(
     """WITH idx AS (SELECT 1 AS rank, p_name AS key, p_partkey AS api, p_brand AS equiv FROM part UNION ALL SELECT 2, p_brand, p_partkey, p_brand FROM part UNION ALL SELECT 3, p_type, p_partkey, p_brand FROM part),
-req AS (SELECT p_partkey AS request, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'none' END AS k1, CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE 'none' END AS k2, CASE WHEN p_partkey % 6 = 2 THEN p_type ELSE 'none' END AS k3 FROM part WHERE p_partkey % 4 = 1),
-hits AS (SELECT r.request, i.rank, i.api, i.equiv FROM req r JOIN idx i ON (i.rank = 1 AND i.key = r.k1) OR (i.rank = 2 AND i.key = r.k2) OR (i.rank = 3 AND i.key = r.k3)),
-g AS (SELECT request, count(DISTINCT equiv) AS n, min(api) AS api FROM hits h WHERE rank = (SELECT min(rank) FROM hits x WHERE x.request = h.request) GROUP BY request)
+req AS (SELECT p_partkey AS request, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'none' END AS k1, CASE WHEN p_partkey % 3 = 1 THEN p_brand ELSE 'none' END AS k2, CASE WHEN p_partkey % 6 = 2 THEN p_type ELSE 'none' END AS k3 FROM part),
+asked AS (SELECT request, 1 AS rank, k1 AS key FROM req UNION ALL SELECT request, 2, k2 FROM req UNION ALL SELECT request, 3, k3 FROM req), hits AS (SELECT a.request, a.rank, i.api, i.equiv, min(a.rank) OVER (PARTITION BY a.request) AS best FROM asked a JOIN idx i USING (rank, key)),
+g AS (SELECT request, count(DISTINCT equiv) AS n, min(api) AS api FROM hits h WHERE rank = best GROUP BY request)
 SELECT r.request, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN api END AS api FROM req r LEFT JOIN g USING (request)"""
 )
 def registry_lookup(spark, sf_dir):
@@ -104,7 +105,7 @@ def registry_lookup(spark, sf_dir):
     one = lambda rank, key: p.select(F.lit(rank).alias("rank"), F.col(key).alias("key"), k.alias("api"), F.col("p_brand").alias("equiv"))
     index = one(1, "p_name").union(one(2, "p_brand")).union(one(3, "p_type"))
     key = lambda rank, c, v: F.struct(F.lit(rank).alias("rank"), F.when(c, F.col(v)).otherwise("none").alias("key"))
-    req = p.where(k % 4 == 1).select(k.alias("request"), F.array(key(1, k % 3 == 0, "p_name"), key(2, k % 3 == 1, "p_brand"), key(3, k % 6 == 2, "p_type")).alias("keys"))
+    req = p.select(k.alias("request"), F.array(key(1, k % 3 == 0, "p_name"), key(2, k % 3 == 1, "p_brand"), key(3, k % 6 == 2, "p_type")).alias("keys"))
     return ops.registry_lookup(req, index)
 
 
@@ -223,13 +224,17 @@ def keyed_storage_effects(spark, sf_dir):
 # ---------------------------------------------------------------- schedule
 
 FAMILIES = [r[0] for r in schedule.RULES]
-SCHED_SQL = (
-    "roots AS (SELECT 'm' || n_nationkey AS method FROM nation WHERE n_nationkey < 3), ways AS (SELECT DISTINCT ["
-    + ", ".join(f"'{f}'" for f in FAMILIES)
-    + "][CAST(p_partkey % 9 AS INTEGER) + 1] AS family, 'm' || (p_partkey % 50) AS src, 'm' || (p_size + p_partkey % 3 * 9) AS dst FROM part WHERE p_partkey % 3 = 1), rules(family, phase, rank, allowed, rootless) AS (VALUES "
-    + ", ".join(f"('{f}', '{p}', {schedule.PHASES.index(p)}, CAST([{', '.join(repr(x) for x in a)}] AS VARCHAR[]), {str(n).lower()})" for f, p, a, n in schedule.RULES)
-    + "), s0 AS (SELECT method, 0 AS round, 'bootstrap' AS phase FROM roots)"
-)
+# written out, so that a wrong row of the operator's table shows
+SCHED_SQL = """roots AS (SELECT 'm' || n_nationkey AS method FROM nation WHERE n_nationkey < 3),
+ways AS (SELECT DISTINCT ['composition_lifecycle', 'interaction_lifecycle', 'teardown_lifecycle', 'ui_callback', 'channel_callback', 'scheduler_callback', 'state_watch', 'navigation_channel', 'ability_handoff'][CAST(p_partkey % 9 AS INTEGER) + 1] AS family,
+  'm' || (p_partkey // 4) AS src, 'm' || p_partkey AS dst FROM part WHERE p_partkey > 2),
+rules(family, phase, rank, allowed, rootless) AS (VALUES
+  ('composition_lifecycle', 'composition', 1, ['bootstrap'], false), ('interaction_lifecycle', 'interaction', 2, ['bootstrap', 'composition'], false),
+  ('teardown_lifecycle', 'teardown', 4, ['bootstrap', 'composition', 'interaction'], false), ('ui_callback', 'interaction', 2, ['composition'], false),
+  ('channel_callback', 'interaction', 2, CAST([] AS VARCHAR[]), false), ('scheduler_callback', 'interaction', 2, ['bootstrap', 'composition', 'reactive_handoff'], false),
+  ('state_watch', 'reactive_handoff', 3, ['bootstrap', 'composition', 'reactive_handoff'], false), ('navigation_channel', 'reactive_handoff', 3, ['composition'], true),
+  ('ability_handoff', 'reactive_handoff', 3, ['bootstrap'], false)),
+s0 AS (SELECT method, 0 AS round, 'bootstrap' AS phase FROM roots)"""
 for _n in range(1, 5):
     SCHED_SQL += f""", x{_n} AS (SELECT w.dst, r.phase, row_number() OVER (PARTITION BY w.dst ORDER BY r.rank, r.family) AS n FROM ways w JOIN rules r USING (family) LEFT JOIN s{_n - 1} a ON a.method = w.src WHERE CASE WHEN a.method IS NULL THEN r.rootless ELSE len(r.allowed) = 0 OR list_contains(r.allowed, a.phase) END),
 s{_n} AS (SELECT * FROM s{_n - 1} UNION ALL SELECT dst, {_n}, phase FROM x{_n} WHERE n = 1 AND dst NOT IN (SELECT method FROM s{_n - 1}))"""
@@ -239,7 +244,7 @@ s{_n} AS (SELECT * FROM s{_n - 1} UNION ALL SELECT dst, {_n}, phase FROM x{_n} W
 def entry_schedule(spark, sf_dir):
     k = F.col("p_partkey")
     roots = read(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.concat(F.lit("m"), "n_nationkey").alias("method"))
-    edges = read(spark, sf_dir, "part").where(k % 3 == 1).select(F.element_at(F.lit(FAMILIES), (k % 9 + 1).cast("int")).alias("family"), F.concat(F.lit("m"), k % 50).alias("src"), F.concat(F.lit("m"), F.col("p_size") + k % 3 * 9).alias("dst"))
+    edges = read(spark, sf_dir, "part").where("p_partkey > 2").select(F.element_at(F.lit(FAMILIES), (k % 9 + 1).cast("int")).alias("family"), F.concat(F.lit("m"), F.floor(k / 4)).alias("src"), F.concat(F.lit("m"), k).alias("dst"))
     return schedule.ordered(schedule.activation_schedule(roots, edges)[0])
 
 
@@ -254,16 +259,16 @@ def lifecycle_edges(spark, sf_dir):
 
 # ---------------------------------------------------------------- taint
 
-TAINT_KINDS = ["copy", "store", "load", "expression", "call", "return", "array_load", "object_result", "object_container", "load_prefix", "module_state"]
+TAINT_KINDS = ["copy", "store", "load", "expression", "call", "return", "array_load", "object_result", "object_container", "load_prefix", "module_state", "getter", "reflect_get", "reflect_set", "rest_param"]
 TAINT_SQL = (
     "seeds AS (SELECT CAST(n_nationkey AS BIGINT) AS node, 'src' || (n_nationkey % 2) AS source FROM nation WHERE n_nationkey < 4), ways AS (SELECT DISTINCT ["
     + ", ".join(f"'{k}'" for k in TAINT_KINDS)
-    + f"][CAST(p_partkey % {len(TAINT_KINDS)} AS INTEGER) + 1] AS kind, p_partkey % 40 AS src, p_partkey % 40 + 1 + p_size % 4 AS dst, 'f' || (p_size % 3) AS field, p_size % 6 AS site FROM part WHERE p_partkey % 20 = 7 OR p_partkey % 33 = 5)"
+    + f"][CAST(p_partkey % {len(TAINT_KINDS)} AS INTEGER) + 1] AS kind, unnest([p_partkey // 3, p_partkey // 4]) AS src, p_partkey AS dst, 'f' || (p_size % 2) AS field, p_size % 3 AS site FROM part WHERE p_partkey > 0)"
 )
 TAINT_WALK = """, walk(node, ctx, path, source) AS (SELECT node, CAST(-1 AS BIGINT), CAST([] AS VARCHAR[]), source FROM seeds
   UNION SELECT w.dst, CASE kind WHEN 'module_state' THEN -1 WHEN 'call' THEN w.site WHEN 'return' THEN -1 ELSE ctx END,
-    CASE WHEN kind IN ('store', 'module_state', 'load_prefix') THEN list_prepend(w.field, path)[1:12] WHEN kind = 'load' THEN path[2:] WHEN kind IN ('expression', 'object_result') THEN CAST([] AS VARCHAR[]) WHEN kind = 'object_container' THEN ['arr:*'] ELSE path END, source
-  FROM walk t JOIN ways w ON t.node = w.src WHERE CASE WHEN kind IN ('copy', 'expression', 'store', 'module_state', 'call') THEN true WHEN kind = 'array_load' THEN len(path) = 0 WHEN kind = 'load' THEN len(path) > 0 AND path[1] = w.field
+    CASE WHEN kind IN ('store', 'module_state', 'load_prefix', 'reflect_set') THEN list_prepend(w.field, path)[1:12] WHEN kind IN ('load', 'reflect_get', 'getter') THEN path[2:] WHEN kind IN ('expression', 'object_result') THEN CAST([] AS VARCHAR[]) WHEN kind = 'object_container' THEN ['arr:*'] ELSE path END, source
+  FROM walk t JOIN ways w ON t.node = w.src WHERE CASE WHEN kind IN ('copy', 'expression', 'store', 'reflect_set', 'module_state', 'call') THEN true WHEN kind IN ('array_load', 'rest_param') THEN len(path) = 0 WHEN kind IN ('load', 'reflect_get') THEN len(path) > 0 AND path[1] = w.field WHEN kind = 'getter' THEN len(path) > 1 AND path[1] = w.field
     WHEN kind = 'load_prefix' THEN len(path) BETWEEN 1 AND 11 WHEN kind IN ('object_result', 'object_container') THEN len(path) > 0 WHEN kind = 'return' THEN ctx = -1 OR ctx = w.site END)
 """
 
@@ -271,13 +276,12 @@ TAINT_WALK = """, walk(node, ctx, path, source) AS (SELECT node, CAST(-1 AS BIGI
 def taint_tables(spark, sf_dir):
     """Source rules and sites, edges, sink rules and sites, sanitised pairs."""
     k, z = F.col("p_partkey"), F.col("p_size")
-    edges = read(spark, sf_dir, "part").where((k % 20 == 7) | (k % 33 == 5)).select(F.element_at(F.lit(TAINT_KINDS), (k % len(TAINT_KINDS) + 1).cast("int")).alias("kind"), (k % 40).alias("src"), (k % 40 + 1 + z % 4).alias("dst"), F.concat(F.lit("f"), z % 3).alias("field"), (z % 6).cast("long").alias("site")).distinct()
+    edges = read(spark, sf_dir, "part").where("p_partkey > 0").select(F.element_at(F.lit(TAINT_KINDS), (k % len(TAINT_KINDS) + 1).cast("int")).alias("kind"), F.explode(F.array(F.floor(k / 3), F.floor(k / 4))).alias("src"), k.alias("dst"), F.concat(F.lit("f"), z % 2).alias("field"), (z % 3).cast("long").alias("site")).distinct()
     n = F.col("n_nationkey")
     rules = spark.createDataFrame([("src0", "a0", "call_return"), ("src1", "a1", "call_arg"), ("never", "a0", "entry_param")], "rule string, api string, kind string").withColumn("path", F.lit(None).cast("array<string>"))
     sites = read(spark, sf_dir, "nation").where(n < 4).select(F.concat(F.lit("a"), n % 2).alias("api"), n.cast("long").alias("node"), F.when(n % 2 == 0, "call_return").otherwise("call_arg").alias("kind"))
     sink_rules = spark.createDataFrame([("any", "x", []), ("field", "y", ["f1"])], "rule string, api string, path array<string>")
-    i = F.col("id")
-    sink_sites = spark.range(40).where(i % 5 < 3).select(i.alias("node"), F.when(i % 2 == 0, "x").otherwise("y").alias("api"))
+    sink_sites = read(spark, sf_dir, "part").where(z < 30).select(k.alias("node"), F.when(k % 2 == 0, "x").otherwise("y").alias("api"))
     return rules, sites, edges, sink_rules, sink_sites, spark.createDataFrame([("src1", "any")], "source string, rule string")
 
 
@@ -293,17 +297,17 @@ def taint_seeds(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {TAINT_SQL}{TAINT_WALK} SELECT node, CASE WHEN ctx = -1 THEN '' ELSE CAST(ctx AS VARCHAR) END AS ctx, array_to_string(path, '.') AS path, source FROM walk")
 def taint_propagation(spark, sf_dir):
-    found = taint.propagate(*_taint(spark, sf_dir), k=1)[0]
+    found = whole(taint.propagate(*_taint(spark, sf_dir), k=1))
     return found.select("node", F.array_join("ctx", ",").alias("ctx"), F.array_join("path", ".").alias("path"), "source")
 
 
-SQL_SINKS = f"""WITH RECURSIVE {TAINT_SQL}{TAINT_WALK}, rules(rule, api, want) AS (VALUES ('any', 'x', CAST([] AS VARCHAR[])), ('field', 'y', ['f1'])), sites AS (SELECT CAST(i AS BIGINT) AS node, CASE WHEN i % 2 = 0 THEN 'x' ELSE 'y' END AS api FROM range(40) t(i) WHERE i % 5 < 3)
+SQL_SINKS = f"""WITH RECURSIVE {TAINT_SQL}{TAINT_WALK}, rules(rule, api, want) AS (VALUES ('any', 'x', CAST([] AS VARCHAR[])), ('field', 'y', ['f1'])), sites AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE 'y' END AS api FROM part WHERE p_size < 30)
 SELECT DISTINCT t.source, r.rule, t.node, array_to_string(t.path, '.') AS path FROM walk t JOIN sites s ON s.node = t.node JOIN rules r ON r.api = s.api WHERE (len(r.want) = 0 OR t.path[1:len(r.want)] = r.want) AND NOT (t.source = 'src1' AND r.rule = 'any')"""
 
 
 @query(SQL_SINKS)
 def taint_sinks(spark, sf_dir):
-    found = taint.propagate(*_taint(spark, sf_dir), k=1)[0]
+    found = whole(taint.propagate(*_taint(spark, sf_dir), k=1))
     return taint.sinks(found, *taint_tables(spark, sf_dir)[3:])
 
 

@@ -58,9 +58,9 @@ def ledger_grouping_sets(spark, sf_dir):
     return ledgers.grouped(_ledger(spark, sf_dir), [["coverage_status"], ["coverage_status", "lang"], ["source"], ["lang", "source"], []], F.count("*").alias("n"), F.countDistinct(F.col("surface") % 10).alias("kinds"))
 
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS shipped, l_returnflag AS flag, l_linestatus AS status, CAST(grouping(l_returnflag) * 4 + grouping(l_linestatus) AS BIGINT) AS set_id, count(*) AS n FROM lineitem WHERE l_partkey < 50 GROUP BY GROUPING SETS ((shipped, l_returnflag, l_linestatus), (shipped, l_returnflag), (shipped))")
+@query("SELECT l_shipdate::DATE::VARCHAR AS shipped, l_returnflag AS flag, l_linestatus AS status, CAST(grouping(l_returnflag) * 4 + grouping(l_linestatus) AS BIGINT) AS set_id, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((shipped, l_returnflag, l_linestatus), (shipped, l_returnflag), (shipped))")
 def effect_ledger_rollup(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_partkey < 50")
+    li = read(spark, sf_dir, "lineitem")
     rows = li.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
     return ledgers.grouped(rows, [["shipped", "flag", "status"], ["shipped", "flag"], ["shipped"]], F.count("*").alias("n"))
 
@@ -126,15 +126,12 @@ def endpoint_ledger_completion(spark, sf_dir):
     return ledgers.completed(sites, rows)
 
 
-@query("SELECT coalesce(nullif(trim(p_brand), ''), CAST(p_partkey AS VARCHAR)) AS family, p_partkey AS id, row_number() OVER (ORDER BY coalesce(nullif(trim(p_brand), ''), CAST(p_partkey AS VARCHAR)), p_partkey) AS place FROM part ORDER BY place LIMIT 50")
+@query("SELECT coalesce(nullif(trim(p_brand), ''), CAST(p_partkey AS VARCHAR)) AS family, p_partkey AS id, row_number() OVER (ORDER BY coalesce(nullif(trim(p_brand), ''), CAST(p_partkey AS VARCHAR)), p_partkey) AS place FROM part")
 def rule_ordering(spark, sf_dir):
-    """Rules by family, else id, then id; the first fifty with their place."""
+    """Rules by family, else id, then id, each with its place."""
     p = read(spark, sf_dir, "part")
     family = F.coalesce(F.nullif(F.trim("p_brand"), F.lit("")), F.col("p_partkey").cast("string"))
-    first = p.select(family.alias("family"), F.col("p_partkey").alias("id")).orderBy("family", "id").limit(50)
-    from pyspark.sql import Window
-
-    return first.withColumn("place", F.row_number().over(Window.orderBy("family", "id")))
+    return ledgers.placed(p.select(family.alias("family"), F.col("p_partkey").alias("id")), ["family", "id"])
 
 
 @query("SELECT 'a:' || n_nationkey AS id, n_name AS label FROM nation UNION ALL SELECT 'b:' || s_nationkey, s_name FROM supplier UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name FROM region")
@@ -193,7 +190,7 @@ def pack_plane_algebra(spark, sf_dir):
     return g.select("pack", *[F.array_join(f(a, b), "").alias(n) for f, n in ((sets.planes_and, "both"), (sets.planes_or, "either"), (sets.planes_minus, "rest"))])
 
 
-@query("SELECT l_shipdate::DATE::VARCHAR AS from_ep, l_returnflag AS to_ep, count(*) AS n FROM lineitem WHERE l_partkey < 20 GROUP BY 1, 2")
+@query("SELECT l_shipdate::DATE::VARCHAR AS from_ep, l_returnflag AS to_ep, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def transfer_endpoint_histogram(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_partkey < 20")
+    li = read(spark, sf_dir, "lineitem")
     return li.groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("from_ep"), F.col("l_returnflag").alias("to_ep")).agg(F.count("*").alias("n"))

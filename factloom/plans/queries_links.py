@@ -9,41 +9,41 @@ from ..operators import links
 from ..sources.fixtures import TRACE_SQL, read, trace
 from .registry import query
 
-VALUE_SQL = "ways AS (SELECT DISTINCT p_partkey % 150 AS src, (p_partkey * 5 + p_size) % 150 AS dst FROM part WHERE p_partkey % 4 = 1), consts AS (SELECT DISTINCT p_partkey % 150 AS node, p_brand AS text FROM part WHERE p_partkey % 6 = 2)"
+VALUE_SQL = "ways AS (SELECT DISTINCT p_partkey AS src, unnest([p_partkey // 2, (p_partkey + p_size) // 2]) AS dst FROM part), consts AS (SELECT p_partkey AS node, p_brand AS text FROM part WHERE p_size % 6 = 2)"
 
 
 def _ways(spark, sf_dir):
     p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
-    return p.where(k % 4 == 1).select((k % 150).alias("src"), ((k * 5 + F.col("p_size")) % 150).alias("dst")).distinct(), p.where(k % 6 == 2).select((k % 150).alias("node"), F.col("p_brand").alias("text")).distinct()
+    ways = F.explode(F.array(F.floor(k / 2), F.floor((k + F.col("p_size")) / 2)))
+    return p.select(k.alias("src"), ways.alias("dst")).distinct(), p.where("p_size % 6 = 2").select(k.alias("node"), F.col("p_brand").alias("text"))
 
 
 @query(
-    f"""WITH RECURSIVE {VALUE_SQL}, walk AS (SELECT DISTINCT p_partkey % 150 AS seed, p_partkey % 150 AS node, 0 AS hops FROM part UNION SELECT seed, dst, hops + 1 FROM walk JOIN ways ON node = src WHERE hops < 4),
+    f"""WITH RECURSIVE {VALUE_SQL}, walk AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hops FROM part UNION SELECT seed, dst, hops + 1 FROM walk JOIN ways ON node = src WHERE hops < 4),
 f AS (SELECT seed, text, min(hops) AS hops FROM walk JOIN consts USING (node) GROUP BY seed, text), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, text) AS n FROM f)
 SELECT seed, string_agg(text, ',' ORDER BY n) AS texts FROM r WHERE n <= 6 GROUP BY seed"""
 )
 def string_candidates(spark, sf_dir):
     ways, consts = _ways(spark, sf_dir)
-    n = (F.col("p_partkey") % 150).alias("seed")
-    seeds = read(spark, sf_dir, "part").select(n, n.alias("node"))
+    seeds = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed"), F.col("p_partkey").alias("node"))
     return links.string_candidates(ways, consts, seeds).select("seed", F.array_join("texts", ",").alias("texts"))
 
 
 @query(
-    f"""WITH RECURSIVE {VALUE_SQL}, walk AS (SELECT s_suppkey AS seed, s_suppkey % 150 AS node, 0 AS hops FROM supplier UNION SELECT seed, dst, hops + 1 FROM walk JOIN ways ON node = src WHERE hops < 4),
+    f"""WITH RECURSIVE {VALUE_SQL}, walk AS (SELECT s_suppkey AS seed, s_suppkey AS node, 0 AS hops FROM supplier UNION SELECT seed, dst, hops + 1 FROM walk JOIN ways ON node = src WHERE hops < 4),
 h AS (SELECT seed, text, hops FROM walk JOIN consts USING (node)) SELECT DISTINCT seed AS call, text AS callback FROM h WHERE hops = (SELECT min(hops) FROM h x WHERE x.seed = h.seed)"""
 )
 def callback_registrations(spark, sf_dir):
     ways, consts = _ways(spark, sf_dir)
-    calls = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call"), (F.col("s_suppkey") % 150).alias("callee"))
+    calls = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call"), F.col("s_suppkey").alias("callee"))
     return links.registrations(calls, consts.select(F.col("node").alias("callee"), F.col("text").alias("callback")), ways)
 
 
-@query("WITH a AS (SELECT o_custkey % 60 AS target, o_orderkey AS idx, o_orderstatus || o_orderkey AS source FROM orders WHERE o_orderkey % 4 = 0), r AS (SELECT o_orderkey AS read, o_custkey % 60 AS target, o_orderkey AS idx FROM orders WHERE o_orderkey % 4 = 1) SELECT r.read, (SELECT max_by(source, a.idx) FROM a WHERE a.target = r.target AND a.idx < r.idx) AS source FROM r WHERE EXISTS (SELECT 1 FROM a WHERE a.target = r.target AND a.idx < r.idx)")
+@query("WITH a AS (SELECT o_custkey % 60 AS target, o_orderkey AS idx, o_orderstatus || o_orderkey AS source FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_orderkey AS read, o_custkey % 60 AS target, o_orderkey AS idx FROM orders WHERE o_orderkey % 2 = 1) SELECT r.read, (SELECT max_by(source, a.idx) FROM a WHERE a.target = r.target AND a.idx < r.idx) AS source FROM r WHERE EXISTS (SELECT 1 FROM a WHERE a.target = r.target AND a.idx < r.idx)")
 def object_assign_bridge(spark, sf_dir):
     k, t = F.col("o_orderkey"), (F.col("o_custkey") % 60).alias("target")
     o = read(spark, sf_dir, "orders")
-    return links.assigned_fields(o.where(k % 4 == 1).select(k.alias("read"), t, k.alias("idx")), o.where(k % 4 == 0).select(t, k.alias("idx"), F.concat("o_orderstatus", "o_orderkey").alias("source")))
+    return links.assigned_fields(o.where(k % 2 == 1).select(k.alias("read"), t, k.alias("idx")), o.where(k % 2 == 0).select(t, k.alias("idx"), F.concat("o_orderstatus", "o_orderkey").alias("source")))
 
 
 @query("WITH w AS (SELECT s_suppkey AS write, 'f' || (s_nationkey % 9) AS field FROM supplier), r AS (SELECT c_custkey AS read, CASE WHEN c_custkey % 2 = 0 THEN 'f' || (c_nationkey % 9) ELSE 'i' || (c_nationkey % 5) END AS field FROM customer), i AS (SELECT 'i' || n_nationkey AS alias, 'f' || (n_nationkey + 1) AS field FROM nation) SELECT write, read FROM w JOIN r USING (field) UNION SELECT write, read FROM r JOIN i ON r.field = i.alias JOIN w ON w.field = i.field")
@@ -108,10 +108,8 @@ def propagation_gaps(spark, sf_dir):
     return open_.select("id", "status", text.gap_of(F.concat_ws(" ", "stage", "label"))["family"].alias("family"), "method")
 
 
-@query("SELECT p_partkey AS id, i AS depth, array_to_string(string_split(p_brand || '.x.' || p_size, '.')[1:i], '.') AS prefix FROM part, range(1, 4) t(i) WHERE p_partkey % 10 = 0")
+@query("SELECT p_partkey AS id, i AS depth, array_to_string(string_split(p_brand || '.x.' || p_size, '.')[1:i], '.') AS prefix FROM part, range(1, 4) t(i)")
 def path_prefixes(spark, sf_dir):
-    """The table function, joined laterally."""
-    tables.register(spark)
-    p = read(spark, sf_dir, "part").where("p_partkey % 10 = 0")
-    p.select(F.col("p_partkey").alias("id"), F.concat(F.col("p_brand"), F.lit(".x."), F.col("p_size")).alias("path")).createOrReplaceTempView("dotted_paths")
-    return spark.sql("SELECT id, depth, prefix FROM dotted_paths, LATERAL path_prefixes(path)")
+    p = read(spark, sf_dir, "part")
+    path = F.concat(F.col("p_brand"), F.lit(".x."), F.col("p_size"))
+    return p.select(F.col("p_partkey").alias("id"), F.inline(tables.path_prefixes(path)))

@@ -11,28 +11,28 @@ from . import queries_identity
 from .engine import Engine
 from .registry import query
 
-SPEC_SQL = """spec AS (SELECT * FROM (VALUES ('bridge', 'api0', 'api1', 'arg0', 'arg1', true), ('bridge', 'api2', 'api3', 'arg1', 'arg0', false)) t(kind, api, to_api, from_ep, to_ep, same_receiver)),
-sites AS (SELECT 'api' || (l_partkey % 6) AS api, l_orderkey AS site, l_suppkey % 30 AS receiver, 'arg' || (l_linenumber % 2) AS endpoint, l_orderkey * 10 + l_linenumber AS node FROM lineitem WHERE l_orderkey % 40 = 3)"""
+SPEC_SQL = """spec AS (SELECT * FROM (VALUES ('bridge', 'api0', 'api1', 'arg0', 'arg1', true), ('bridge', 'api2', 'api9', 'arg1', 'arg0', false)) t(kind, api, to_api, from_ep, to_ep, same_receiver)),
+sites AS (SELECT CASE WHEN l_orderkey = 3 THEN 'api9' ELSE 'api' || (l_partkey % 6) END AS api, l_orderkey AS site, l_orderkey // 4 AS receiver, 'arg' || (l_linenumber % 2) AS endpoint, l_orderkey * 10 + l_linenumber AS node FROM lineitem)"""
 
 
 def _sites(spark, sf_dir):
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    return read(spark, sf_dir, "lineitem").where(k % 40 == 3).select(F.concat(F.lit("api"), F.col("l_partkey") % 6).alias("api"), k.alias("site"), (F.col("l_suppkey") % 30).alias("receiver"), F.concat(F.lit("arg"), n % 2).alias("endpoint"), (k * 10 + n).alias("node"))
+    return read(spark, sf_dir, "lineitem").select(F.when(k == 3, "api9").otherwise(F.concat(F.lit("api"), F.col("l_partkey") % 6)).alias("api"), k.alias("site"), F.floor(k / 4).alias("receiver"), F.concat(F.lit("arg"), n % 2).alias("endpoint"), (k * 10 + n).alias("node"))
 
 
 @query(f"WITH {SPEC_SQL} SELECT DISTINCT a.node AS src, b.node AS dst, a.site FROM spec s JOIN sites a ON a.api = s.api AND a.endpoint = s.from_ep JOIN sites b ON b.api = s.to_api AND b.endpoint = s.to_ep WHERE NOT s.same_receiver OR a.receiver = b.receiver")
 def module_bridge(spark, sf_dir):
-    spec = spark.createDataFrame([("bridge", "api0", "api1", "arg0", "arg1", True), ("bridge", "api2", "api3", "arg1", "arg0", False)], "kind string, api string, to_api string, from_ep string, to_ep string, same_receiver boolean")
+    spec = spark.createDataFrame([("bridge", "api0", "api1", "arg0", "arg1", True), ("bridge", "api2", "api9", "arg1", "arg0", False)], "kind string, api string, to_api string, from_ep string, to_ep string, same_receiver boolean")
     return semantics.bridge(spec, _sites(spark, sf_dir)).select("src", "dst", "site")
 
 
-CALLS_SQL = "calls AS (SELECT 'api' || (l_partkey % 6) AS api, CASE WHEN l_suppkey % 7 <> 0 THEN 'k' || (l_suppkey % 5) END AS key, l_orderkey * 10 + l_linenumber AS node, l_suppkey % 30 AS receiver, l_orderkey AS stmt, 'w' || (l_partkey % 3) AS scope FROM lineitem WHERE l_orderkey % 20 = 3)"
+CALLS_SQL = "calls AS (SELECT 'api' || (l_partkey % 6) AS api, CASE WHEN l_suppkey % 7 <> 0 THEN 'k' || (l_orderkey // 10) END AS key, l_orderkey * 10 + l_linenumber AS node, l_suppkey % 30 AS receiver, l_orderkey AS stmt, 'w' || (l_partkey % 3) AS scope FROM lineitem)"
 
 
 def _calls(spark, sf_dir):
     k = F.col("l_orderkey")
-    return read(spark, sf_dir, "lineitem").where(k % 20 == 3).select(
-        F.concat(F.lit("api"), F.col("l_partkey") % 6).alias("api"), F.when(F.col("l_suppkey") % 7 != 0, F.concat(F.lit("k"), F.col("l_suppkey") % 5)).alias("key"), (k * 10 + F.col("l_linenumber")).alias("node"),
+    return read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("api"), F.col("l_partkey") % 6).alias("api"), F.when(F.col("l_suppkey") % 7 != 0, F.concat(F.lit("k"), F.floor(k / 10))).alias("key"), (k * 10 + F.col("l_linenumber")).alias("node"),
         (F.col("l_suppkey") % 30).alias("receiver"), k.alias("stmt"), F.concat(F.lit("w"), F.col("l_partkey") % 3).alias("scope"),
     )
 
@@ -55,10 +55,10 @@ def module_event_emitter(spark, sf_dir):
     return semantics.channel(spec, _calls(spark, sf_dir)).select("effect", "key", "node")
 
 
-@query(f"WITH {CALLS_SQL}, spec(api, capability) AS (VALUES ('api0', 'start'), ('api1', 'receive')), j AS (SELECT * FROM calls JOIN spec USING (api) WHERE key IS NOT NULL AND stmt % 9 = 1) SELECT DISTINCT a.node AS src, b.node AS dst FROM j a JOIN j b ON a.key = b.key WHERE a.capability = 'start' AND b.capability = 'receive'")
+@query(f"WITH {CALLS_SQL}, spec(api, capability) AS (VALUES ('api0', 'start'), ('api1', 'receive')), j AS (SELECT * FROM calls JOIN spec USING (api) WHERE key IS NOT NULL) SELECT DISTINCT a.node AS src, b.node AS dst FROM j a JOIN j b ON a.key = b.key WHERE a.capability = 'start' AND b.capability = 'receive'")
 def module_route_bridge(spark, sf_dir):
     spec = spark.createDataFrame([("route_bridge", "api0", "start"), ("route_bridge", "api1", "receive"), ("ability_handoff", "api2", "start")], "kind string, api string, capability string")
-    return semantics.handoff_by_target(spec, _calls(spark, sf_dir).where("stmt % 9 = 1"), "route_bridge").select("src", "dst")
+    return semantics.handoff_by_target(spec, _calls(spark, sf_dir), "route_bridge").select("src", "dst")
 
 
 @query(

@@ -59,16 +59,17 @@ TRADE_SQL = """edges AS (
 
 
 def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small cyclic call graph over parts: successor and half, modulo 97."""
-    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("n")).distinct()
-    ways = F.explode(F.array((F.col("n") * 2) % 97, F.floor(F.col("n") / 3).cast("long"), F.when(F.col("n") % 5 == 0, F.col("n") + 1).otherwise(F.col("n"))))
-    return p.select(F.col("n").alias("src"), ways.alias("dst")).where("src <> dst").distinct()
+    """A cyclic call graph over all parts, in rings of 97: double and third, modulo 97."""
+    p = read(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("n"), (F.floor(F.col("p_partkey") / 97) * 97).alias("base")).distinct()
+    n, base = F.col("n"), F.col("base")
+    ways = F.explode(F.array(base + (n * 2) % 97, base + F.floor(n / 3).cast("long"), F.when(n % 5 == 0, base + (n + 1) % 97).otherwise(base + n)))
+    return p.select((base + n).alias("src"), ways.alias("dst")).where("src <> dst").distinct()
 
 
 RING_SQL = """ring AS (
   SELECT DISTINCT src, dst FROM (
-    SELECT n AS src, unnest([(n * 2) % 97, n // 3, CASE WHEN n % 5 = 0 THEN n + 1 ELSE n END]) AS dst
-    FROM (SELECT DISTINCT p_partkey % 97 AS n FROM part)) WHERE src <> dst)"""
+    SELECT base + n AS src, unnest([base + (n * 2) % 97, base + n // 3, CASE WHEN n % 5 = 0 THEN base + (n + 1) % 97 ELSE base + n END]) AS dst
+    FROM (SELECT DISTINCT p_partkey % 97 AS n, p_partkey // 97 * 97 AS base FROM part)) WHERE src <> dst)"""
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

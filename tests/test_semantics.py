@@ -2,10 +2,13 @@
 
 import itertools
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from factloom.functions import keys, paths
 from factloom.operators import effects, trace
+
 from factloom.plans import fixpoint, graph, provenance, queries_graph, schedule, taint
 from factloom.streaming import currentness
 
@@ -102,8 +105,15 @@ def test_rapid_type_resolution(spark):
         if more <= want:
             break
         want |= more
-    got = {int(r.node[1:-2]) for r in queries_graph.rta_reached(spark, None).collect()}
-    assert got == want
+    c = spark.range(40).select(F.col("id").alias("c"))
+    name = lambda x: F.concat(F.lit("k"), x.cast("long"))
+    method = F.concat(name(F.col("c")), F.lit(".m"))
+    h = c.where("c > 0").select(name(F.col("c")).alias("child"), name(F.floor(F.col("c") / 3)).alias("parent"))
+    methods = c.select(name(F.col("c")).alias("class"), F.lit("m").alias("name"), F.lit(False).alias("abstract"))
+    calls = c.select(F.col("c").alias("site"), method.alias("caller"), name((F.col("c") * 3 + 1) % 40).alias("class"), F.lit("m").alias("name"), F.when(F.col("c") % 4 == 0, "static").otherwise("virtual").alias("kind"))
+    created = c.select(method.alias("method"), name((F.col("c") * 5 + 2) % 40).alias("class")).union(c.select(method, name(F.col("c") + 1)))
+    found = graph.rapid_targets(calls, graph.subtypes(h), methods, created, spark.createDataFrame([("k0.m",)], "node string"))
+    assert {int(r.node[1:-2]) for r in found.collect()} == want
 
 
 def _up(c):
@@ -115,7 +125,7 @@ def _up(c):
 
 
 def test_ifds(spark):
-    tables = queries_graph.ifds_program(spark)
+    tables = queries_graph.ifds_program(spark.range(9).withColumnRenamed("id", "s"))
     flows, calls, returns, seeds = [t.collect() for t in tables]
     path = {(f"{r.n}/{r.d}", r.n, r.d) for r in seeds}
     while True:
@@ -222,19 +232,47 @@ def test_fixpoints_are_whole_or_raise(spark):
     """A result that a round budget cut short was returned as if whole."""
     copies = spark.createDataFrame([(f"v{i}", f"v{i + 1}") for i in range(5)], "src string, dst string")
     no = spark.createDataFrame([], "base string, field string, dst string, src string")
-    of = lambda **more: graph.points_to(spark.createDataFrame([("v0", "o")], "var string, obj string"), copies, no.select("base", "field", "dst"), no.select("base", "field", "src"), **more)
-    assert of().count() == 6
+    address = spark.createDataFrame([("v0", "o")], "var string, obj string")
+    assert graph.points_to(address, copies, no.select("base", "field", "dst"), no.select("base", "field", "src")).count() == 6
     blocks = spark.createDataFrame([("m", i, "x" if i == 0 else None) for i in range(6)], "method string, block long, var string")
     edges = spark.createDataFrame([("m", i, i + 1) for i in range(5)], "method string, src long, dst long")
     assert graph.reaching_definitions(blocks, edges).count() == 5
     derivations, sinks = spark.createDataFrame([(i, i + 1) for i in range(5)], "from_fact long, to_fact long"), spark.createDataFrame([(5,)], "fact long")
     assert provenance.backward_dag(derivations, sinks).count() == 6
-    for short in (lambda: of(max_rounds=2), lambda: graph.reaching_definitions(blocks, edges, 2), lambda: provenance.backward_dag(derivations, sinks, max_rounds=2)):
-        try:
-            short()
-        except RuntimeError:
-            continue
-        raise AssertionError("cut short without a sign")
+    assert all(r.truncated for r in provenance.backward_dag(derivations, sinks, max_facts=3).collect())
+    assert fixpoint.closure(edges, spark.createDataFrame([(0,)], "node long"), max_rounds=2)[1] and not fixpoint.closure(edges, spark.createDataFrame([(0,)], "node long"))[1]
+    from factloom.plans.engine import Engine
+
+    short = Engine(spark, copies.toDF("caller", "callee"), edges, max_rounds=2)
+    for late in (lambda: short.reachable(spark.createDataFrame([("v0",)], "node string")), lambda: provenance.backward_dag(derivations, sinks, max_rounds=2)):
+        with pytest.raises(RuntimeError):
+            late()
+
+
+def test_open_branches_that_are_dropped_have_a_reason(spark):
+    ways = spark.createDataFrame([(f"{d}{i}", f"{d - 1}{j}") for d in (1, 2, 3) for i in range(3) for j in range(3)], "from_fact string, to_fact string")
+    sinks = spark.createDataFrame([("00",)], "fact string")
+    whole = provenance.paths(ways, sinks).collect()
+    few = provenance.paths(ways, sinks, max_open=4).collect()
+    assert {r.status for r in whole} == {"complete"} and len(whole) == 27
+    assert {(r.status, r.reasons) for r in few} == {("truncated", "max_open")} and len(few) < 27
+
+
+def test_components_of_cycles_and_chains(spark):
+    rows = [(i, (i + 1) % 5) for i in range(5)] + [(10 + i, 10 + (i + 1) % 4) for i in range(4)] + [(4, 10), (20, 21), (21, 22), (22, 22), (13, 20)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(rows, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 14), 10), 20: 20, 21: 21, 22: 22}
+
+
+def test_selection_and_bootstrap_raise_where_asked(spark):
+    from factloom.operators import endpoints, entries, lowering
+
+    slices, ledger = spark.createDataFrame([(1, "a"), (2, "b")], "slice long, surface string"), spark.createDataFrame([("a", "send")], "surface string, decision string")
+    assert endpoints.selected(slices, ledger, strict=False).where("rejected is null").count() == 1
+    assets = spark.createDataFrame([(1, "official", False, "k"), (2, "draft", True, "k")], "asset long, status string, valid boolean, key string")
+    for late in (lambda: endpoints.selected(slices, ledger).collect(), lambda: endpoints.bootstrapped(assets, ("official",), strict=True)[1].collect(), lambda: lowering.compiled(spark.createDataFrame([("other",)], "kind string"), {}), lambda: entries.facts(slices, {"nothing": F.lit(True)})):
+        with pytest.raises(Exception):
+            late()
 
 
 def test_stream_keeps_every_store_of_a_hot_cell():
