@@ -5,43 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: (all of these words, stage, producer), in order
+# fixed values: (any of these words, stage, producer), in order; "a & b" asks for both
 STAGE_RULES = (
     (("postsolve",), "postsolve", "postsolve"),
     (("report",), "reporting", "reporting"),
-    (("sink candidate",), "sink_candidate", "sink"),
-    (("sink_candidate",), "sink_candidate", "sink"),
+    (("sink candidate", "sink_candidate"), "sink_candidate", "sink"),
     (("sink",), "sink", "sink"),
-    (("materialization",), "provenance", "provenance"),
-    (("pathmaterial",), "provenance", "provenance"),
-    (("path-gap",), "provenance", "provenance"),
-    (("currentness",), "OCLFS", "OCLFS"),
-    (("oclfs",), "OCLFS", "OCLFS"),
-    (("asset lowering",), "asset_lowering", "asset"),
-    (("asset_lowering",), "asset_lowering", "asset"),
-    (("entry recovery",), "entry_recovery", "entry"),
-    (("entry_recovery",), "entry_recovery", "entry"),
-    (("arkmain",), "entry_recovery", "entry"),
-    (("coverage ledger",), "coverage_ledger", "coverage_ledger"),
-    (("coverage_ledger",), "coverage_ledger", "coverage_ledger"),
-    (("llm output",), "semanticflow_llm", "semanticflow"),
-    (("llm_output",), "semanticflow_llm", "semanticflow"),
-    (("llm batch",), "semanticflow_llm", "semanticflow"),
-    (("llm_batch",), "semanticflow_llm", "semanticflow"),
+    (("materialization", "pathmaterial", "path-gap"), "provenance", "provenance"),
+    (("currentness", "oclfs"), "OCLFS", "OCLFS"),
+    (("asset lowering", "asset_lowering"), "asset_lowering", "asset"),
+    (("entry recovery", "entry_recovery", "arkmain"), "entry_recovery", "entry"),
+    (("coverage ledger", "coverage_ledger"), "coverage_ledger", "coverage_ledger"),
+    (("llm output", "llm_output", "llm batch", "llm_batch"), "semanticflow_llm", "semanticflow"),
     (("lowering",), "module_lowering", "module"),
     (("module",), "module", "module"),
-    (("ude",), "UDE", "UDE"),
-    (("handoff",), "UDE", "UDE"),
-    (("synthetic",), "UDE", "UDE"),
-    (("capture",), "UDE", "UDE"),
-    (("semanticflow",), "semanticflow", "semanticflow"),
-    (("llm",), "semanticflow", "semanticflow"),
+    (("ude", "handoff", "synthetic", "capture"), "UDE", "UDE"),
+    (("semanticflow", "llm"), "semanticflow", "semanticflow"),
     (("promotion",), "asset_promotion", "asset"),
-    (("asset validation",), "asset_validation", "asset"),
-    (("schema",), "asset_validation", "asset"),
-    (("source", "seed"), "source_seed", "rule"),
-    (("rule",), "rule", "rule"),
-    (("transfer",), "rule", "rule"),
+    (("asset validation", "schema"), "asset_validation", "asset"),
+    (("source & seed",), "source_seed", "rule"),
+    (("rule", "transfer"), "rule", "rule"),
 )
 
 # fixed values: (pattern, family, kind), in order
@@ -63,9 +46,12 @@ def stage_of(text: Column) -> Column:
     low, out = F.lower(text), None
     row = lambda s, p: F.struct(F.lit(s).alias("stage"), F.lit(p).alias("producer"))
     for words, stage, producer in STAGE_RULES:
-        fits = low.contains(words[0])
-        for w in words[1:]:
-            fits = fits & low.contains(w)
+        fits = F.lit(False)
+        for w in words:
+            both = F.lit(True)
+            for part in w.split(" & "):
+                both = both & low.contains(part)
+            fits = fits | both
         out = F.when(fits, row(stage, producer)) if out is None else out.when(fits, row(stage, producer))
     return out.otherwise(row("ordinary", "ordinary"))
 

