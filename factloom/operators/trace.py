@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 REPAIR_HINTS = {
     "preanalysis": "Look at the observed surfaces first.",
     "coverage_ledger": "Account for identity, role, endpoint and guard in the ledger.",
+    "semanticflow": "Look at what was asked of the model, and what it had to see.",
+    "semanticflow_llm": "Read the raw answer and how it was parsed.",
+    "asset_validation": "Mend the asset until its schema holds.",
+    "asset_promotion": "Review or replay the asset, so that it may be promoted.",
+    "asset_lowering": "Check that every binding of the asset names a known template.",
+    "module_lowering": "Check that the module's kind has a lowering.",
+    "module": "Check the module's sites and keys.",
+    "entry_recovery": "Check that the entry's method is found and scheduled.",
     "source_seed": "Match the source by its api and endpoint.",
     "rule": "Match the rule by endpoint, guard and role.",
     "ordinary": "Add the propagation of the missing statement form.",
     "OCLFS": "Check the ordered effects and their verdicts.",
     "UDE": "Check the edges of deferred execution.",
+    "provenance": "Raise the path budgets, or look for a cycle.",
+    "sink_candidate": "Check why the candidate was not counted as a sink.",
     "sink": "Match the sink by its endpoint.",
     "postsolve": "Check the scope of the evidence.",
+    "reporting": "Check the report's filters and limits.",
 }
 DEFAULT_HINT = "Look at the first layer that the graph blames."
 # fixed values

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import entries, ir
-from ..sources.fixtures import read
+from ..operators import entries, ir, sets
+from ..operators import trace as ops
+from ..sources import readers, writers
+from ..sources.fixtures import TRACE_SQL, read, trace
 from . import schedule
 from .queries_graph import CFG_SQL, DOM_SQL
 from .queries_identity import FAMILIES, SCHED_SQL
@@ -187,3 +189,53 @@ def ir_problems(spark, sf_dir):
 @query("SELECT p_brand AS owner, count(*) AS members, min(p_name) AS first, max(p_name) AS last FROM part GROUP BY p_brand")
 def declaration_inventory(spark, sf_dir):
     return ir.inventory(read(spark, sf_dir, "part").select(_c("p_brand").alias("owner"), _c("p_name").alias("member")))
+
+
+# ---------------------------------------------------------------- files
+
+
+@query(f"WITH {TRACE_SQL}, a AS (SELECT 'fact' AS kind, id, label AS detail FROM facts), b AS (SELECT 'edge' AS kind, id, from_fact || '>' || to_fact AS detail FROM trace_edges) SELECT * FROM a UNION ALL SELECT * FROM b")
+def trace_graph_round_trip(spark, sf_dir):
+    """The artefacts of a trace graph, written and read again."""
+    facts, edges = trace(spark, sf_dir)
+    path = writers.scratch_path(spark)
+    writers.trace_graph(facts, edges, path)
+    got = readers.trace_graph(spark, path)
+    return got["facts"].select(F.lit("fact").alias("kind"), "id", _c("label").alias("detail")).union(got["edges"].select(F.lit("edge"), "id", F.concat_ws(">", "from_fact", "to_fact")))
+
+
+@query("SELECT 'orders' AS ledger, o_orderkey AS id, o_orderstatus AS status FROM orders UNION ALL SELECT 'parts', p_partkey, p_brand FROM part")
+def ledgers_as_json_lines(spark, sf_dir):
+    """A folder of JSON lines for each ledger, read under a schema that fails on bad rows."""
+    path = writers.scratch_path(spark)
+    writers.ledgers({"orders": read(spark, sf_dir, "orders").select(_c("o_orderkey").alias("id"), _c("o_orderstatus").alias("status")), "parts": read(spark, sf_dir, "part").select(_c("p_partkey").alias("id"), _c("p_brand").alias("status"))}, path)
+    one = lambda name: readers.json_table(spark, f"{path}/{name}", "id long, status string").select(F.lit(name).alias("ledger"), "id", "status")
+    return one("orders").union(one("parts"))
+
+
+@query("SELECT s_nationkey::VARCHAR AS section, '## ' || s_nationkey || chr(10) || '| s_suppkey | s_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || s_suppkey || ' | ' || s_name || ' |', chr(10) ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey")
+def markdown_report(spark, sf_dir):
+    return writers.report(read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name"), "s_nationkey", ["s_suppkey"])
+
+
+@query("SELECT count(*) AS lines, count(DISTINCT p_name) AS names FROM part")
+def file_list_scan(spark, sf_dir):
+    """Lines of text files that a list of paths names, whole files as (path, text)."""
+    path = writers.text_files(read(spark, sf_dir, "part").select(_c("p_name").alias("line")).repartition(3), writers.scratch_path(spark))
+    files = readers.documents(spark, path, "*.txt")
+    lines = files.select(F.explode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("line")).where("line <> ''")
+    return lines.agg(F.count("*").alias("lines"), F.countDistinct("line").alias("names"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS label FROM nation UNION ALL SELECT 'x:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'y:' || r_regionkey, r_name FROM region")
+def appended_fragments(spark, sf_dir):
+    row = lambda t, k, n: read(spark, sf_dir, t).select(_c(k).cast("string").alias("id"), _c(n).alias("label"))
+    return sets.appended(row("nation", "n_nationkey", "n_name"), [("x", row("supplier", "s_suppkey", "s_name")), ("y", row("region", "r_regionkey", "r_name"))], "id")
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, ['preanalysis', 'coverage_ledger', 'semanticflow', 'semanticflow_llm', 'asset_validation', 'asset_promotion', 'asset_lowering', 'module_lowering', 'module', 'entry_recovery', 'source_seed', 'rule', 'ordinary', 'OCLFS', 'UDE', 'provenance', 'sink_candidate', 'sink', 'postsolve', 'reporting', 'other'][l_partkey % 21 + 1] AS stage, l_partkey % 21 < 20 AS own FROM lineitem")
+def repair_hints(spark, sf_dir):
+    """Every stage has a hint of its own."""
+    stages = [*ops.REPAIR_HINTS, "other"]
+    rows = read(spark, sf_dir, "lineitem").select((_c("l_orderkey") * 10 + _c("l_linenumber")).alias("id"), F.element_at(F.lit(stages), (_c("l_partkey") % 21 + 1).cast("int")).alias("stage"))
+    return rows.select("id", "stage", (ops.repair_hint(_c("stage")) != ops.DEFAULT_HINT).alias("own"))

@@ -53,3 +53,19 @@ def markdown(rows: DataFrame, title: str, limit: int = 200) -> str:
     names = rows.columns
     lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
     return "\n".join(lines + ["| " + " | ".join(str(v) for v in r) + " |" for r in rows.limit(limit).collect()])
+
+
+def text_files(rows: DataFrame, path: str) -> str:
+    """One text file for each partition of rows (line)."""
+    rows.select(F.col("line").cast("string")).write.mode("overwrite").text(path)
+    return path
+
+
+def report(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """(section, text): a markdown table for each value of ``by``, rows in ``order``; made on
+    the executors, whole."""
+    names = [c for c in rows.columns if c != by]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]), F.lit(" |"))
+    one = rows.select(F.col(by).cast("string").alias("section"), F.struct(*order, line.alias("line")).alias("r")).groupBy("section").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    head = f"| {' | '.join(names)} |\n|{'---|' * len(names)}\n"
+    return one.select("section", F.concat(F.lit("## "), "section", F.lit("\n"), F.lit(head), F.array_join(F.transform("rs", lambda r: r["line"]), "\n")).alias("text"))
