@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,28 +22,41 @@ STATE = "producers array<struct<id:long,sure:boolean,exact:boolean,dead:boolean,
 
 def _run(keep: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, dropped = ([list(p) for p in state.get[0]], state.get[1]) if state.exists else ([], 0)
+        held, dropped = (state.get[0], state.get[1]) if state.exists else ([], 0)
+        rows = pd.concat(list(frames)).sort_values("seq", ignore_index=True)
+        kind, exact, sure = rows["kind"].to_numpy(), (rows["precision"] == "exact").to_numpy(), (rows["confidence"] != "unknown").to_numpy()
+        hits = np.isin(kind, ("kill", "store-clean"))
+        strong = hits & exact & sure & (rows["strength"] != "weak").to_numpy()
+        n_hits, n_strong = np.cumsum(hits), np.cumsum(strong)
+        stores = np.flatnonzero(kind == "store")
+        # all producers, those of earlier batches first: id, sure, exact, and what came before they were there
+        old = len(held)
+        flag = lambda i, new: np.r_[np.array([p[i] for p in held], bool), new]
+        ids = np.r_[np.array([p[0] for p in held], np.int64), rows["id"].to_numpy(np.int64)[stores]]
+        p_sure, p_exact = flag(1, sure[stores]), flag(2, exact[stores])
+        dead, hit = flag(3, np.zeros(len(stores), bool)), flag(4, np.zeros(len(stores), bool))
+        at = np.r_[np.full(old, -1), stores]
+        s_hits, s_strong = np.r_[np.zeros(old, np.int64), n_hits[stores]], np.r_[np.zeros(old, np.int64), n_strong[stores]]
+        first = 0 if keep is None else np.maximum(np.searchsorted(at, np.arange(len(rows))) - keep, 0)  # producers that the bound has dropped by then
         out = []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for r in rows.itertuples():
-            exact, sure = r.precision == "exact", r.confidence != "unknown"
-            if r.kind == "store":
-                held.append([r.id, sure, exact, False, False])
-                if keep is not None and len(held) > keep:
-                    held, dropped = held[1:], dropped + 1
-            elif r.kind in ("kill", "store-clean"):
-                strong = exact and sure and r.strength != "weak"
-                for p in held:
-                    p[4] = True
-                    p[3] = p[3] or strong
-            elif r.kind == "load":
-                if dropped:
-                    out.append((key[0], None, r.id, "unknown"))
-                for ident, p_sure, p_exact, dead, hit in held:
-                    verdict = "unknown" if not (sure and p_sure) else "dead" if dead and exact else "may-live" if hit or not (exact and p_exact) else "live"
-                    out.append((key[0], ident, r.id, verdict))
-        state.update(([tuple(p) for p in held], dropped))
-        yield pd.DataFrame(out, columns=["cell", "producer", "consumer", "verdict"]).astype({"producer": "Int64"})
+        for i in np.flatnonzero(kind == "load"):
+            lo, n = (0 if keep is None else int(first[i])), int(np.searchsorted(at, i))
+            part = slice(lo, n)
+            gone, touched = dead[part] | (n_strong[i] > s_strong[part]), hit[part] | (n_hits[i] > s_hits[part])
+            v = np.where(touched | ~(exact[i] & p_exact[part]), "may-live", "live").astype(object)
+            v[gone & exact[i]] = "dead"
+            v[~(sure[i] & p_sure[part])] = "unknown"
+            consumer = int(rows["id"].iat[i])
+            if dropped or lo:
+                out.append(pd.DataFrame({"cell": [key[0]], "producer": [None], "consumer": [consumer], "verdict": ["unknown"]}))
+            if n > lo:
+                out.append(pd.DataFrame({"cell": key[0], "producer": ids[part], "consumer": consumer, "verdict": v}))
+        dead, hit = dead | (n_strong[-1] > s_strong), hit | (n_hits[-1] > s_hits)
+        lost = 0 if keep is None else max(len(ids) - keep, 0)
+        kept = list(zip(*(x[lost:].tolist() for x in (ids, p_sure, p_exact, dead, hit))))
+        state.update((kept, dropped + lost))
+        got = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["cell", "producer", "consumer", "verdict"])
+        yield got.astype({"producer": "Int64"})
 
     return run
 
@@ -53,7 +67,9 @@ def verdicts(effects: DataFrame, keep: int | None = None) -> DataFrame:
 
 
 def as_batches(effects: DataFrame, batches: int = 3) -> DataFrame:
-    """Runs the stream over a table in ``batches`` files by ranges of seq, to its end."""
+    """Runs the stream over a table in ``batches`` lots by ranges of seq: each is written,
+    in as many files as it has partitions, and taken up by a run that goes on where the
+    last one ended."""
     import uuid
 
     spark = effects.sparkSession
@@ -63,10 +79,10 @@ def as_batches(effects: DataFrame, batches: int = 3) -> DataFrame:
     most = effects.agg(F.max("seq")).first()[0] or 1
     for i in range(batches):
         part = effects.where((F.lit(i == 0) | (F.col("seq") > most * i / batches)) & (F.col("seq") <= most * (i + 1) / batches))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(effects.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{base}/in")
-    q = verdicts(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(effects.schema).parquet(f"{base}/in")
+        q = verdicts(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{base}/out")
 
 
