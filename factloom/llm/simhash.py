@@ -326,22 +326,30 @@ def judged(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     return -1 if abs(off) <= doubt and len(shared) < n else int(off > 0)
 
 
+def least_shared(size: int, n: int, similarity: float) -> int:
+    """How many of the POSTED smallest of its ``n`` shingles (``size`` of them) a text shares
+    at least with any text alike.
+
+    Texts alike share that part of the larger set; where a set is sampled, all but a few
+    millionths of the pairs share what lies DEVIATIONS below it."""
+    least = int(np.ceil(similarity * size - 1e-9))
+    if n > POSTED * similarity:  # may meet a set that is sampled
+        spread = DEVIATIONS * np.sqrt(similarity * (1 - similarity) / POSTED)
+        least = max(1, min(least, int(POSTED * (similarity - spread))))
+    return least
+
+
 def leading(held: np.ndarray, n: int, common: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a sketch, as many as any text alike must share one of.
 
-    ``held``: the POSTED smallest of a text's ``n`` shingles.  Texts alike share that part
-    of the larger set at least; where sets are sampled, all but a few millionths of the
-    pairs share what lies DEVIATIONS below it.  Sets that share m have a shared one among
-    their first size - m + 1, whatever order all sets are put in.  ``common`` (ascending)
-    holds the shingles that come last in the order and their rank; others go by value."""
+    ``held``: the POSTED smallest of a text's ``n`` shingles.  Sets that share m have a
+    shared one among their first size - m + 1, whatever order all sets are put in.
+    ``common`` (ascending) holds the shingles that come last in the order and their
+    rank; others go by value."""
     size = len(held)
     if not size:
         return held
-    least = int(np.ceil(similarity * size - 1e-9))
-    if n > POSTED * similarity:  # may meet a set that is sampled
-        spread = DEVIATIONS * np.sqrt(similarity * (1 - similarity) / POSTED)
-        least = max(1, min(least, int(POSTED * (similarity - spread))))
-    most = size - least + 1
+    most = size - least_shared(size, n, similarity) + 1
     if not len(common):
         return held[:most]
     at = np.minimum(np.searchsorted(common["key"], held), len(common) - 1)
@@ -426,31 +434,31 @@ def _exact(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float
 def _tile(similarity: float):
     """Links of one tile of a posting list, (src, dst, settled), enough to join all pairs
     of different components that are alike, and the pairs that sketches do not settle.
-    A tile off the diagonal compares its two chunks only.  Pairs are counted by matrix
-    products and never become rows."""
+    A tile off the diagonal compares its two chunks only.  What pairs share of their
+    posted shingles is counted by matrix products; only those that share enough are judged."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(x, np.uint32) for x in pdf["sketch"]]
         reps, chunk = pdf["rep"].to_numpy(np.int64), pdf["chunk"].to_numpy(np.int64)
         lab = np.unique(pdf["component"].to_numpy(np.int64), return_inverse=True)[1]
-        size = np.array([len(x) for x in held], np.float32)
-        owner = np.repeat(np.arange(len(held)), size.astype(np.int64))
-        column, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)[1:]
+        posted = [x[:POSTED] for x in held]
+        least = np.array([least_shared(len(x), n, similarity) for x, n in zip(posted, pdf["n"].tolist())], np.float32)
+        size = pdf["n"].to_numpy(np.float64)
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in posted])
+        column, counts = np.unique(np.concatenate(posted), return_inverse=True, return_counts=True)[1:]
         several = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
         by = np.argsort(several, kind="stable")
         owner, several = owner[by], several[by]
         shared = np.zeros((len(held), len(held)), np.float32)
         for at in range(0, int(several[-1]) + 1, 2048):
             lo, hi = np.searchsorted(several, [at, at + 2048])
-            x = np.zeros((len(held), 2048), np.float32)
+            x = np.zeros((len(held), min(2048, int(several[-1]) + 1 - at)), np.float32)
             x[owner[lo:hi], several[lo:hi] - at] = 1
             shared += x @ x.T
         off = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-        # what the parts of the sketches that both hold can miss, with DEVIATIONS to spare
-        slack = similarity - DEVIATIONS * float(np.sqrt(similarity * (1 - similarity) / SKETCH)) * 2
         out = []
         for i in range(len(held)):
-            fit = shared[i, :i] >= np.maximum(size[i], size[:i]) * slack
+            fit = (shared[i, :i] >= np.minimum(least[i], least[:i])) & (np.minimum(size[i], size[:i]) >= np.maximum(size[i], size[:i]) * similarity - 1e-9)
             if off:
                 fit &= chunk[:i] != chunk[i]
             for j in np.flatnonzero(fit & (lab[:i] != lab[i])).tolist():
@@ -545,7 +553,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         needed = written(dealt.select("rep").distinct(), "near-copies-needed")
         sketches = rows.join(needed, F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sketch")
         tiles = dealt.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        tiles = tiles.select("key", "rep", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(sketches, "rep")
+        tiles = tiles.select("key", "rep", "n", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(sketches, "rep")
         told = written(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(similarity), "src long, dst long, settled long").distinct(), "near-copies-tiles")
         doubt = told.where("settled < 0").select("src", "dst")
         links = links.union(told.where("settled > 0").select("src", "dst")).union(_exact(doubt, rows, docs, similarity, id_col, text_col, "near-copies-tiles"))

@@ -336,6 +336,58 @@ def test_stages_follow_their_contracts(spark):
 
 
 
+def test_pipeline_against_plain_stages(spark):
+    """Every stage of the run, decided again document by document in plain loops."""
+    from collections import Counter
+
+    from factloom.llm import packing, quality, tokens
+    from factloom.llm.common import crc_mod
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), crc_mod("doc_id", 3) != 1)
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect())
+    kept = [r for r in rows if model is None or model.score(quality.statistics(r[1])[None])[0] >= 0.5]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, lab = [shingles(t) for _, t, _ in kept], list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                lab = [min(lab[i], lab[j]) if x in (lab[i], lab[j]) else x for x in lab]
+    lone = [kept[i] for i in range(len(kept)) if lab[i] == i]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, corpus_pipeline.quality_stage(spark, docs, sf), sf).collect()) == [r[0] for r in lone]
+    frame = spark.createDataFrame(lone, "doc_id long, text string, source string")
+    tagger = pii.fit(frame)
+    private = {}
+    for k, t, s in lone:
+        base = pii.base_spans(t)
+        out, done = "", 0
+        for kind, a, b in sorted(base + pii.added_spans([t], [base], tagger)[0], key=lambda x: (x[1], x[2], x[0])):
+            if a >= done:
+                out += t[done:a] + f"<{pii.KINDS[kind].upper()}>"
+            done = max(done, b)
+        private[k] = out + t[done:]
+    assert {r.doc_id: r.text for r in corpus_pipeline.pii_stage(spark, frame, sf).collect()} == private
+    encode = tokens.encoder(*tokens.default_files())
+    mixed = Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, spark.createDataFrame([(k, private[k], s) for k, _, s in lone], "doc_id long, text string, source string"), sf).collect())
+    assert set(mixed) == set(private) and max(mixed.values()) <= 2
+    packed = corpus_pipeline.run(spark, sf).collect()
+    held = Counter()
+    for r in packed:
+        held[r.doc_id] += r.length
+    assert {k: n // (len(encode(private[k])) + 1) for k, n in held.items()} == dict(mixed)
+    for r in packed:
+        ids = np.array([*encode(private[r.doc_id]), 1], "<u4")[r.start : r.start + r.length]
+        assert packing.zlib.crc32(ids) == r.ids_crc32 and len(ids) == r.length
+    at = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(at, at[1:])) and max(o + n for _, o, n in at) <= 2048
+
+
 def test_stages_on_odd_and_empty_tables(spark, odd, none):
     sf = "/root/testdata/sf0.001"
     for name, stage in corpus_pipeline.STAGES:
