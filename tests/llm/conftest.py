@@ -19,3 +19,21 @@ def none(spark):
 @pytest.fixture(scope="session")
 def sf(spark):
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session", autouse=True)
+def learn_once():
+    """Training is the same for the same pieces of text; several tests ask for it."""
+    from factloom.llm import pii
+
+    real, held = pii.learn, {}
+
+    def learn(pieces, made):
+        key = (tuple(pieces), made)
+        if key not in held:
+            held[key] = real(pieces, made)
+        return held[key]
+
+    pii.learn = learn
+    yield
+    pii.learn = real
