@@ -315,15 +315,16 @@ def judged(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     if not len(a) or not len(b):
         return int(len(a) == len(b))
     sampled = len(a) >= SKETCH or len(b) >= SKETCH
-    both = np.union1d(a, b)
-    shared = np.intersect1d(a, b, assume_unique=True)
-    if sampled:
-        both = both[:SKETCH]
-        shared = shared[shared <= both[-1]]
-    n = len(both)
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    same = a[at] == b
+    shared = int(np.count_nonzero(same))
+    n = len(a) + len(b) - shared
+    if sampled and n > SKETCH:  # of the union only its smallest are a fair sample
+        last = np.partition(np.concatenate([a, b[~same]]), SKETCH - 1)[SKETCH - 1]
+        shared, n = int(np.count_nonzero(same & (b <= last))), SKETCH
     doubt = DEVIATIONS * np.sqrt(similarity * (1 - similarity) * n) if sampled else 2.0
-    off = len(shared) - similarity * n
-    return -1 if abs(off) <= doubt and len(shared) < n else int(off > 0)
+    off = shared - similarity * n
+    return -1 if abs(off) <= doubt and shared < n else int(off > 0)
 
 
 def least_shared(size: int, n: int, similarity: float) -> int:
