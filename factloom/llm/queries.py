@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and their SQL, over the driver's tables."""
+"""The queries op1 to op13 and their SQL, over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, multiset, packing, pii, quality, simhash, tokens, toxicity, urls
+from . import embeddings, exact, mixing, multiset, negatives, packing, periodic, pii, quality, simhash, tokens, toxicity, urls
 from .common import crc_mod, table, written
 
 
@@ -105,6 +105,74 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by crc32 of the id, the words from one
+    place on are repetitions of the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    rows = rows.withColumn("w", words).withColumn("n", F.size("w").cast("long"))
+    n, g, a, p = (F.col(c) for c in "ngap")
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - a) / (3 + g % 8)))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    again = F.array_join(F.transform("w", lambda w, i: F.get("w", place(i))), " ")
+    return rows.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(repeating(table(spark, sf_dir, "documents")))
+    top = F.col("strongest")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is divisible by 7 bear a wrong label."""
+    vec = F.col("vec_id")
+    label = F.when(vec % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), vec % 100 == 0, label=label)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.find_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), e AS (
+  SELECT k, vec_id, label, list_transform(x, lambda c: floor(256 * c)) AS e FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scores AS (
+  SELECT a.k AS a, a.vec_id AS anchor_id, b.k AS b, b.vec_id AS other_id, a.label = b.label AS same, CASE WHEN len(a.e) = 0 THEN 0 ELSE CAST(list_inner_product(a.e, b.e) AS BIGINT) END AS s
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.k <> b.k AND len(a.e) = len(b.e)
+), pos AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, other_id, b) AS place FROM scores WHERE same) WHERE place <= 5
+), neg AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.s AS positive_score, n.s AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.other_id, n.b) AS rank
+  FROM pos p JOIN scores n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+OP13_SQL = """
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
+"""
+
 OP10_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -172,6 +240,9 @@ FROM t JOIN f ON f.k = t.k AND f.which = 0 JOIN f e ON e.k = t.k AND e.which = 1
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_dedup": op13_exact_dedup,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_embeddings": op4_embeddings,
@@ -181,4 +252,4 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
 }
-SQL: dict[str, str] = {"op4_embeddings": OP4_SQL, "op6_fingerprints": _op6_sql(), "op10_url_filters": OP10_SQL}
+SQL: dict[str, str] = {"op4_embeddings": OP4_SQL, "op6_fingerprints": _op6_sql(), "op10_url_filters": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_dedup": OP13_SQL}
