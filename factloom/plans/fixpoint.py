@@ -7,6 +7,7 @@ a lost executor costs one round at most."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: like ``cut``, but what reads it knows its true
+    size, and carries none of the constraints of the plan that made it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/factloom/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_rounds: int | None = None) -> tuple[DataFrame, bool]:
     """All rows reachable from ``seed`` by ``step(delta, round)``, distinct by ``key``.
 
@@ -53,6 +63,33 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key:
             total = cut(total.repartition(*key))
 
 
+class Grown:
+    """Distinct rows that the rounds of a loop add to.
+
+    ``add`` keeps what is new by ``key``: ``new`` holds it, ``fresh`` tells whether there is
+    any, ``all`` holds everything.  What was there is not written again, but for every eighth
+    time, when the parts are gathered so that they do not grow in number."""
+
+    def __init__(self, rows: DataFrame | None, key: list[str]):
+        self.key, self.all, self.new, self.fresh, self._parts = key, None, None, False, 0
+        if rows is not None:
+            self.add(rows)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        found = rows.dropDuplicates(self.key)
+        if self.all is not None:
+            found = found.join(self.all.select(*self.key), self.key, "left_anti").select(*rows.columns)
+        self.new = written(found)
+        self.fresh = not self.new.isEmpty()
+        if self.all is None:
+            self.all = self.new
+        elif self.fresh:
+            self.all, self._parts = self.all.unionByName(self.new), self._parts + 1
+            if self._parts % 8 == 0:
+                self.all = written(self.all)
+        return self.new
+
+
 def rounds(most: int | None):
     """Numbers of rounds for a loop that ends itself; raises where ``most`` are not enough."""
     n = 0

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import closure, cut, fixpoint, whole
+from .fixpoint import Grown, closure, cut, fixpoint, whole
 
 
 def reach_pairs(edges: DataFrame) -> DataFrame:
@@ -164,21 +164,15 @@ def points_to(address: DataFrame, copies: DataFrame, loads: DataFrame, stores: D
     address: (var, obj); copies: (src, dst); loads: (base, field, dst); stores:
     (base, field, src).  A field of an object is a variable ``obj.field``; each new
     object of a base adds the copy edges of its loads and stores."""
-    total = cut(address.select("var", "obj").distinct())
-    delta, ways = total, cut(copies.select("src", "dst").distinct())
-    fresh_ways = ways
-    while True:
+    total, ways = Grown(address.select("var", "obj"), ["var", "obj"]), Grown(copies.select("src", "dst"), ["src", "dst"])
+    move = lambda facts, edges: facts.join(edges, F.col("var") == F.col("src")).select(F.col("dst").alias("var"), "obj")
+    while total.fresh:
         cell = F.concat_ws(".", F.col("obj"), F.col("field"))
-        seen = delta.withColumnRenamed("var", "base")
-        more = seen.join(loads, "base").select(cell.alias("src"), "dst").union(seen.join(stores, "base").select("src", cell.alias("dst"))).distinct()
-        fresh_ways = cut(more.join(ways, ["src", "dst"], "left_anti"))
+        seen, old_ways = total.new.withColumnRenamed("var", "base"), ways.all
+        ways.add(seen.join(loads, "base").select(cell.alias("src"), "dst").union(seen.join(stores, "base").select("src", cell.alias("dst"))))
         # new objects over all ways, all objects over new ways
-        moved = delta.join(ways, F.col("var") == F.col("src")).select(F.col("dst").alias("var"), "obj").union(total.join(fresh_ways, F.col("var") == F.col("src")).select(F.col("dst").alias("var"), "obj"))
-        ways = cut(ways.union(fresh_ways))
-        delta = cut(moved.distinct().join(total, ["var", "obj"], "left_anti"))
-        if delta.isEmpty() and fresh_ways.isEmpty():
-            return total
-        total = cut(total.union(delta))
+        total.add(move(total.new, old_ways).union(move(total.all, ways.new)))
+    return total.all
 
 
 def may_alias(pts: DataFrame) -> DataFrame:
