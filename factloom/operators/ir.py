@@ -77,26 +77,6 @@ def handled(values: DataFrame, handlers: dict[str, Column], default: Column) ->
     return values.select("id", out.alias("out"))
 
 
-def loops(edges: DataFrame) -> DataFrame:
-    """(method, header, latches, irregular): natural loops of control flow (method, src,
-    dst): back edges whose target dominates their source; ways back that do not are irregular."""
-    doms = graph.dominators(edges).select("method", "block", "idom")
-    known = doms.where("idom is not null").select("method", F.col("block").alias("below"), F.col("idom").alias("above"))
-    back = edges.where("dst <= src").select("method", "src", "dst").distinct()
-    # climb from the source towards the entry, as far as the target's number
-    at = back.withColumn("at", F.col("src"))
-    done = at.where("at = dst")
-    at = at.where("at <> dst")
-    while not at.isEmpty():
-        at = graph.cut(at.join(known, (at["method"] == known["method"]) & (F.col("at") == F.col("below"))).select(at["method"], "src", "dst", F.col("above").alias("at")))
-        done = done.union(at.where("at = dst"))
-        at = at.where("at <> dst")
-    regular = done.select("method", "src", "dst").distinct().withColumn("regular", F.lit(True))
-    reached = back.join(doms.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
-    j = reached.join(regular, ["method", "src", "dst"], "left")
-    return j.groupBy("method", F.col("dst").alias("header")).agg(F.count_if("regular").alias("latches"), F.count_if(F.col("regular").isNull()).alias("irregular"))
-
-
 def tree(nodes: DataFrame) -> DataFrame:
     """(node, depth, path): a component tree from its parent table (node, parent or null)."""
     ways = nodes.where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_calls, queries_effects, queries_evidence, queries_graph, queries_identity, queries_ledgers, queries_links, queries_modelling, queries_modules, queries_pointers, queries_program, queries_scalars, queries_trace
+from . import queries_build, queries_calls, queries_effects, queries_evidence, queries_flow, queries_graph, queries_identity, queries_ledgers, queries_links, queries_modelling, queries_modules, queries_pointers, queries_program, queries_scalars, queries_trace
 from .registry import QUERIES, SQL
 
 #: Sums and conditional counts that DuckDB gives as HUGEINT; their SQL casts them to BIGINT.
@@ -20,4 +20,4 @@ COUNTS = {
 for _name, _columns in COUNTS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
 
-__all__ = ["QUERIES", "SQL", "queries_calls", "queries_effects", "queries_evidence", "queries_graph", "queries_identity", "queries_ledgers", "queries_links", "queries_modelling", "queries_modules", "queries_pointers", "queries_program", "queries_scalars", "queries_trace"]
+__all__ = ["QUERIES", "SQL", "queries_build", "queries_calls", "queries_effects", "queries_evidence", "queries_flow", "queries_graph", "queries_identity", "queries_ledgers", "queries_links", "queries_modelling", "queries_modules", "queries_pointers", "queries_program", "queries_scalars", "queries_trace"]

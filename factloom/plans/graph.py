@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fixpoint import Grown, closure, cut, fixpoint, whole
+from .flow import dominators  # noqa: F401
 
 
 def reach_pairs(edges: DataFrame) -> DataFrame:
@@ -204,39 +204,6 @@ def def_use(reaching: DataFrame, uses: DataFrame) -> DataFrame:
     return reaching.join(uses.select("method", "block", "var"), ["method", "block", "var"]).select("method", "def", F.col("block").alias("use"), "var").distinct()
 
 
-def dominators(edges: DataFrame, entry: int = 0) -> DataFrame:
-    """(method, block, idom, frontier): immediate dominators and dominance frontiers.
-
-    One method's control-flow graph is small and handled in one go."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({entry, *pdf["src"], *pdf["dst"]})
-        nxt, before = {n: [] for n in nodes}, {n: [] for n in nodes}
-        for s, d in sorted(set(zip(pdf["src"], pdf["dst"]))):
-            nxt[s].append(d)
-            before[d].append(s)
-        seen, stack = {entry}, [entry]
-        while stack:
-            for d in nxt[stack.pop()]:
-                if d not in seen:
-                    seen.add(d)
-                    stack.append(d)
-        dom = {n: set(seen) for n in seen} | {entry: {entry}}
-        changed = True
-        while changed:
-            changed = False
-            for n in nodes:
-                if n in seen and n != entry:
-                    new = {n} | set.intersection(*[dom[p] for p in before[n] if p in seen])
-                    changed |= new != dom[n]
-                    dom[n] = new
-        idom = {n: max(dom[n] - {n}, key=lambda m: len(dom[m])) for n in seen if n != entry}
-        front = {n: sorted(d for d in seen if any(p in seen and n in dom[p] for p in before[d]) and not (n in dom[d] and n != d)) for n in seen}
-        return pd.DataFrame([(key[0], n, idom.get(n), front[n]) for n in sorted(seen)], columns=["method", "block", "idom", "frontier"])
-
-    return edges.select("method", "src", "dst").groupBy("method").applyInPandas(run, "method string, block long, idom long, frontier array<long>")
-
-
 def dominator_tree(idoms: DataFrame) -> DataFrame:
     """(method, block, depth) below the entry, by the links to immediate dominators."""
     up = idoms.where("idom is not null").select(F.col("method").alias("m"), F.col("idom").alias("at"), F.col("block").alias("child"))

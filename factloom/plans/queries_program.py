@@ -9,7 +9,6 @@ from ..operators import trace as ops
 from ..sources import readers, writers
 from ..sources.fixtures import TRACE_SQL, read, trace
 from . import schedule
-from .queries_graph import CFG_SQL, DOM_SQL
 from .queries_identity import FAMILIES, SCHED_SQL
 from .registry import query
 
@@ -135,22 +134,6 @@ def statement_dispatch(spark, sf_dir):
     return ir.handled(values, {"click": F.concat(F.lit("c"), "user_id"), "view": F.lit("v")}, F.upper("kind"))
 
 
-# ten blocks for each supplier, with ways back and, in every other one, a way into the middle
-LOOP_SQL = """cfg AS (SELECT 'm' || s_suppkey AS method, i AS src, i + 1 AS dst FROM supplier, range(9) r(i) UNION SELECT 'm' || s_suppkey, i, i // 2 FROM supplier, range(1, 10) r(i) WHERE (s_suppkey + i) % 4 = 0 UNION SELECT 'm' || s_suppkey, 0, 5 FROM supplier WHERE s_suppkey % 2 = 0)"""
-
-
-@query(
-    DOM_SQL.replace(CFG_SQL, LOOP_SQL)
-    + ", back AS (SELECT DISTINCT c.method, c.src, c.dst FROM cfg c JOIN seen s ON s.method = c.method AND s.block = c.src WHERE c.dst <= c.src), j AS (SELECT b.*, EXISTS (SELECT 1 FROM dom d WHERE d.method = b.method AND d.block = b.src AND d.by = b.dst) AS regular FROM back b) SELECT method, dst AS header, CAST(count_if(regular) AS BIGINT) AS latches, CAST(count_if(NOT regular) AS BIGINT) AS irregular FROM j GROUP BY method, dst"
-)
-def natural_loops(spark, sf_dir):
-    s, i = _c("s_suppkey"), _c("i")
-    blocks = read(spark, sf_dir, "supplier").select(s, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("i"))
-    edge = lambda rows, src, dst: rows.select(F.concat(F.lit("m"), s).alias("method"), src.alias("src"), dst.cast("long").alias("dst"))
-    edges = edge(blocks.where("i < 9"), i, i + 1).union(edge(blocks.where((i > 0) & ((s + i) % 4 == 0)), i, F.floor(i / 2))).union(edge(blocks.where((i == 0) & (s % 2 == 0)), i, F.lit(5)))
-    return ir.loops(edges.distinct())
-
-
 @query("WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth, '0' AS path UNION ALL SELECT p_partkey, depth + 1, path || '/' || p_partkey FROM t JOIN part ON p_partkey // 5 = node AND p_partkey > 0) SELECT * FROM t")
 def view_tree(spark, sf_dir):
     k = _c("p_partkey")
