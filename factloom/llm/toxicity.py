@@ -15,7 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, sliced
@@ -197,15 +197,22 @@ def calibrate(model: ToxicModel, margins: np.ndarray, labels: np.ndarray) -> Tox
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 4_000, most_chars: int = 12_000_000) -> ToxicModel | None:
-    """Fits on at most ``most`` labelled documents of at most ``most_chars`` characters
-    together (documented bounds; picked by a hash of the id); a quarter of them is kept
-    aside for the calibration.  None where a class is missing."""
+def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 4_000, most_chars: int = 12_000_000, longest: int = 200_000) -> ToxicModel | None:
+    """Fits on at most ``most`` labelled documents of at most ``longest`` characters each and
+    ``most_chars`` together (documented bounds; picked by a hash of the id); a quarter of them
+    is kept aside for the calibration.  A longer document is passed over, so that none decides
+    whether there is a model.  None where a class is missing."""
     ids = sample_labels(labels, id_col, label_col, allowed, most)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")  # at most ``most`` ids
-    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id"))  # over at most ``most`` rows
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_chars).drop("so_far").toPandas().sort_values("id", ignore_index=True)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # lengths first, which is at most ``most`` rows; only texts that are taken are gathered
+    sizes = texts.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(ids), "id").groupBy("id").agg(F.max("n").alias("n"))
+    sizes = sizes.where(F.col("n") <= longest).select("id", "n", F.xxhash64("id").alias("h")).toPandas().sort_values(["h", "id"])
+    taken = sizes[sizes["n"].cumsum() <= most_chars]["id"].tolist()
+    if not taken:
+        return None
+    picked = ids.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "id long")), "id")
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    rows = rows.toPandas().sort_values("id", ignore_index=True)
     if not len(rows):
         return None
     aside = np.array([crc32(b"aside%d" % i) % 4 == 0 for i in rows["id"]])

@@ -145,3 +145,17 @@ def test_misspellings_share_vectors(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{BIG}/labels.parquet"), F.lit(True))
     clean = model.word("the")
     assert all(model.word(w) > clean + 3 for w in ("idiots", "stuppid", "clowns", "moronn"))
+
+
+@pytest.mark.parametrize("where", ["first", "middle", "last"])
+def test_one_long_text_does_not_decide(spark, where):
+    """A text of 13 million characters, wherever it stands in the order of hashes, is passed over."""
+    rows = [(i, "you vile zorbag scum now" if i % 2 else "a calm walk in the green park") for i in range(1, 61)]
+    order = [r.id for r in spark.range(1, 61).orderBy(F.xxhash64("id")).collect()]
+    long = order[{"first": 0, "middle": 30, "last": 59}[where]]
+    docs = spark.createDataFrame([(i, t) for i, t in rows if i != long], "doc_id long, text string").union(spark.range(1).select(F.lit(long).cast("long"), F.repeat(F.lit("word "), 2_600_000)))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert model is not None
+    got = {r.id: r.score for r in toxicity.score(docs.where(F.col("doc_id") != long), model).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if i % 2 == 0)
