@@ -77,11 +77,14 @@ def static_init_stores(inits: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def activation_paths(steps: DataFrame, units: DataFrame, most: int = 8) -> DataFrame:
-    """(unit, node, hops): what leads to deferred units (unit, node) over at most ``most``
-    register, declare and settle steps (src, dst), each node with its least distance."""
+    """(unit, node, hops, truncated): what leads to deferred units (unit, node) over at most
+    ``most`` register, declare and settle steps (src, dst), each node with its least distance;
+    ``truncated`` for units with steps behind a node at that distance."""
     back = cut(steps.select(F.col("dst").alias("at"), F.col("src").alias("from")).distinct())
     step = lambda d, _: d.join(back, F.col("node") == F.col("at")).select("unit", F.col("from").alias("node"))
-    return fixpoint(units.select("unit", "node"), step, ["unit", "node"], most)[0].withColumnRenamed("round", "hops")
+    found = fixpoint(units.select("unit", "node"), step, ["unit", "node"], most)[0].withColumnRenamed("round", "hops")
+    short = found.where(F.col("hops") == most).join(back.select(F.col("at").alias("node")), "node", "left_semi").select("unit").distinct().withColumn("truncated", F.lit(True))
+    return found.join(short, "unit", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def fulfilment_sources(ways: DataFrame, promises: DataFrame, leaves: DataFrame, depth: int = 8, most: int = 256) -> DataFrame:

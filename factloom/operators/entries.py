@@ -15,8 +15,8 @@ FACTS = (
 
 
 def seeds(assets: DataFrame, methods: DataFrame) -> DataFrame:
-    """(method, asset) of entry assets (asset, methods array) whose methods (method) exist."""
-    return assets.select("asset", F.explode("methods").alias("method")).join(methods, "method", "left_semi").select("method", "asset").distinct()
+    """(method, asset) of entry assets (asset, method) whose methods (method) exist."""
+    return assets.select("asset", "method").join(methods, "method", "left_semi").select("method", "asset").distinct()
 
 
 def facts(methods: DataFrame, scans: dict) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..plans.fixpoint import cut, fixpoint
 
 WAYS = ("instance", "static", "array")
 
@@ -108,11 +109,12 @@ def alias_locals(points_to: DataFrame, carriers: DataFrame) -> DataFrame:
 
 
 def carriers_at(values: DataFrame, assigns: DataFrame, objects: DataFrame, depth: int = 8) -> DataFrame:
-    """(value, obj): objects (node, obj) that carry a value (value, node) over at most
-    ``depth`` assignments (dst, src) behind it."""
-    level = values.select("value", "node").distinct()
-    seen = level
-    for _ in range(depth):
-        level = level.join(assigns, F.col("node") == F.col("dst")).select("value", F.col("src").alias("node")).distinct()
-        seen = seen.union(level)
-    return seen.distinct().join(objects, "node").select("value", "obj").distinct()
+    """(value, obj, truncated): objects (node, obj) that carry a value (value, node) over at
+    most ``depth`` assignments (dst, src) behind it; ``truncated`` where more lie behind a
+    node at that depth, whether or not they lead to something new."""
+    ways = cut(assigns.select("dst", "src").distinct())
+    step = lambda d, _: d.join(ways, F.col("node") == F.col("dst")).select("value", F.col("src").alias("node"))
+    seen, _ = fixpoint(values.select("value", "node"), step, ["value", "node"], depth)
+    short = seen.where(F.col("round") == depth).join(ways.select(F.col("dst").alias("node")), "node", "left_semi").select("value").distinct().withColumn("truncated", F.lit(True))
+    found = seen.join(objects, "node").select("value", "obj").distinct()
+    return found.join(short, "value", "left").select("value", "obj", F.coalesce("truncated", F.lit(False)).alias("truncated"))

@@ -126,3 +126,46 @@ def problems(statements: DataFrame, methods: DataFrame, edges: DataFrame) -> Dat
 def inventory(declarations: DataFrame) -> DataFrame:
     """(owner, members, first, last): a declaration inventory (owner, member) by owner."""
     return declarations.groupBy("owner").agg(F.count("*").alias("members"), F.min("member").alias("first"), F.max("member").alias("last"))
+
+
+def built_tree(events: DataFrame) -> DataFrame:
+    """(view, node, parent, name, depth): a component tree from its build stream.
+
+    events: (view, idx, kind, name) in order of ``idx``: ``create`` opens a component, ``pop``
+    closes the last open one.  A node is named by its idx; its parent is the last component
+    created one level above before it.  Pops without a component are ignored, components
+    that are never popped stay open to the end."""
+    order = Window.partitionBy("view").orderBy("idx")
+    step = F.when(F.col("kind") == "create", 1).when(F.col("kind") == "pop", -1).otherwise(0)
+    run = events.withColumn("sum", F.sum(step).over(order))
+    # a pop too many lowers the floor from which depth counts
+    floor = F.least(F.min("sum").over(order), F.lit(0))
+    run = run.withColumn("depth", (F.col("sum") - floor - 1).cast("int")).where("kind = 'create'").select("view", "idx", "name", "depth")
+    asked = run.select("view", (F.col("depth") - 1).alias("level"), "idx", "name", "depth", F.lit(None).cast("long").alias("made"))
+    given = run.select("view", F.col("depth").alias("level"), "idx", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("depth"), F.col("idx").cast("long").alias("made"))
+    near = Window.partitionBy("view", "level").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    found = asked.unionByName(given).withColumn("parent", F.last("made", ignorenulls=True).over(near)).where("made is null")
+    return found.select("view", F.col("idx").cast("long").alias("node"), "parent", "name", "depth")
+
+
+def expanded_tree(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """(view, path, parent, name, depth, recursive): the trees (of ``built_tree``) of the views
+    ``roots`` (view), each component that is a view itself with that view's tree below it.
+
+    ``path`` names the nodes from the root on, by their numbers in the streams; a component
+    within itself is not expanded again but marked ``recursive``.  Rounds grow with how deeply
+    components are nested, the result with the expanded trees."""
+    own = graph.cut(trees.select("view", "node", "parent", "name", "depth").repartition("view"))
+    cell = F.col("node").cast("string")
+    seed = own.join(roots.select("view").distinct(), "view").select(F.col("view").alias("top"), "view", F.lit("").alias("under"), F.lit(0).alias("base"), F.array("view").alias("chain"), cell.alias("node"), "parent", "name", "depth")
+    views = own.select(F.col("view").alias("name")).distinct().withColumn("custom", F.lit(True))
+    out, level = None, seed
+    while True:
+        at = level.join(views, "name", "left").withColumn("recursive", F.array_contains("chain", F.col("name")))
+        at = graph.cut(at.withColumn("path", F.concat_ws("/", F.when(F.col("under") != "", F.col("under")), "node")))
+        rows = at.select(F.col("top").alias("view"), "path", F.when(F.col("parent").isNull(), F.when(F.col("under") != "", F.col("under"))).otherwise(F.concat_ws("/", F.when(F.col("under") != "", F.col("under")), F.col("parent").cast("string"))).alias("parent"), "name", (F.col("base") + F.col("depth")).alias("depth"), "recursive")
+        out = rows if out is None else out.union(rows)
+        todo = at.where("custom and not recursive").select("top", F.col("name").alias("view"), F.col("path").alias("under"), (F.col("base") + F.col("depth") + 1).alias("base"), F.concat("chain", F.array("name")).alias("chain"))
+        if todo.isEmpty():
+            return out
+        level = todo.join(own, "view").select("top", "view", "under", "base", "chain", cell.alias("node"), "parent", "name", "depth")

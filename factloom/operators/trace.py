@@ -139,3 +139,11 @@ def verdict_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def gap_counts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """One row: open gaps that closed, and those that opened."""
     return before.select(key).exceptAll(after.select(key)).agg(F.count("*").alias("closed")).crossJoin(after.select(key).exceptAll(before.select(key)).agg(F.count("*").alias("opened")))  # one row each
+
+
+def gate_coverage(gates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Coverage records of gates: each attempt with the method of the fact that it would have
+    given as its subject, its status and why it did not get through."""
+    status = F.when(F.col("emitted"), "emitted").when(~F.col("matched"), "skipped").otherwise("blocked")
+    told = gates.where("attempted").join(facts.select(F.col("id").alias("to_fact"), F.col("method").alias("subject")), "to_fact")
+    return told.select(F.concat(F.lit("c"), "id").alias("id"), F.lit("coverage_query").alias("kind"), "stage", "subject", status.alias("status"), F.col("id").alias("gate_id"), F.coalesce("skipped_reason", "blocked_reason").alias("reason"))

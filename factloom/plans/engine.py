@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import taint
-from .fixpoint import closure, whole
+from .fixpoint import closure, whole, written
 
 
 @dataclass
@@ -76,36 +76,64 @@ class Engine:
 
 @dataclass
 class ModellingSession:
-    """Rounds of a decider over open slices: each answer is accepted, rejected, or asks
-    for more evidence, which the expander adds.  Answers are kept by slice text, and
-    after ``most_failures`` failures in a row the session stops asking.
+    """Rounds of a decider over open slices, on the executors.
 
-    The decider is a driver-side callable (it may ask a person or a service); it is asked
-    about ``most_items`` slices at most, and all others come out as not asked."""
+    ``decide`` takes a pandas Series of texts and returns one of decisions; it runs in Arrow
+    batches over the different texts of a round that have no answer yet, so a text is asked
+    about once whatever the number of slices that share it.  Where a batch fails, its texts
+    are asked one by one, and those that fail are asked again in the next round.  ``more``
+    lets ``expand`` (Column to Column) lengthen the text for the next round.  After
+    ``most_failures`` rounds in a row that brought nothing but failures the session stops.
+    Answers are kept by the digest of their text, in a table that cuts the lineage: a lost
+    executor asks only its part of one round again."""
 
     decide: Any
     expand: Any = None
     max_rounds: int = 3
-    most_items: int = 10_000
     most_failures: int = 3
 
     def run(self, slices: DataFrame) -> DataFrame:
-        """(slice, decision, rounds) of slices (slice, text)."""
-        spark, known, out, failures = slices.sparkSession, {}, [], 0
-        for row in slices.orderBy("slice").limit(self.most_items).collect():
-            text, decision, n = row.text, "undecided", 0
-            while n < self.max_rounds and failures < self.most_failures:
-                n += 1
+        """(slice, decision, rounds) of slices (slice, text): the last answer, ``failed`` or
+        ``more`` where the rounds ended with that, and in how many rounds it was asked about."""
+        decide = self.decide
+
+        def ask(frames):
+            for f in frames:
                 try:
-                    if text not in known:
-                        known[text] = self.decide(text)
-                    decision, failures = known[text], 0
+                    told = list(decide(f["text"]))
                 except Exception:
-                    decision, failures = "failed", failures + 1
-                    break
-                if decision != "more" or self.expand is None:
-                    break
-                text = self.expand(text)
-            out.append((row["slice"], decision, n))
-        told = spark.createDataFrame(out, f"slice {slices.schema['slice'].dataType.simpleString()}, decision string, rounds int")
-        return slices.select("slice").join(told, "slice", "left").select("slice", F.coalesce("decision", F.lit("not asked")).alias("decision"), F.coalesce("rounds", F.lit(0)).alias("rounds"))
+                    told = []
+                    for i in range(len(f)):
+                        try:
+                            told.append(decide(f["text"].iloc[i : i + 1]).iloc[0])
+                        except Exception:
+                            told.append("failed")
+                yield f[["digest"]].assign(answer=told)
+
+        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+        open_ = written(slices.select("slice", "text", F.lit(0).alias("rounds")))
+        known, done, lost = None, [], 0
+        for n in range(1, self.max_rounds + 1):
+            open_ = open_.withColumn("digest", digest)
+            new = open_.select("digest", "text").dropDuplicates(["digest"])
+            if known is not None:
+                new = new.join(known.select("digest"), "digest", "left_anti")
+            told = written(new.mapInPandas(ask, "digest string, answer string"))
+            good = told.where("answer <> 'failed'")
+            counted = told.agg(F.count("*").alias("all"), F.count_if(F.col("answer") == "failed").alias("failed")).first()
+            lost = lost + 1 if counted["all"] and counted["all"] == counted["failed"] else 0
+            known = good if known is None else written(known.unionByName(good))
+            met = written(open_.join(known, "digest", "left").select("slice", "text", F.lit(n).alias("rounds"), F.coalesce("answer", F.lit("failed")).alias("decision")))
+            ends = F.col("decision").isin("failed", "more") if n < self.max_rounds and lost < self.most_failures else F.lit(False)
+            if self.expand is None:
+                ends = ends & (F.col("decision") == "failed")
+            done.append(met.where(~ends).select("slice", "decision", "rounds"))
+            open_ = met.where(ends)
+            if open_.isEmpty():
+                break
+            longer = self.expand(F.col("text")) if self.expand else F.col("text")
+            open_ = open_.select("slice", F.when(F.col("decision") == "more", longer).otherwise(F.col("text")).alias("text"), "rounds")
+        out = done[0]
+        for d in done[1:]:
+            out = out.union(d)
+        return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calls as ops
 from ..operators import fields
 from ..sources.fixtures import read
-from . import graph
+from . import graph, taint
 from .queries_graph import PTS_WALK, _points_to
 from .registry import query
 
@@ -63,6 +63,42 @@ def lazy_edges(spark, sf_dir):
     return ops.on_frontier(_synthetic(spark, sf_dir), read(spark, sf_dir, "customer").where("c_acctbal < 0").select(_c("c_custkey").alias("node")))
 
 
+# facts go from suppliers over copies of parts, which a table holds, and over calls and returns, made when asked for
+LAZY_SQL = f"""WITH RECURSIVE {SYNTH_SQL}, fixed AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey % 3 = 0),
+walk(node, ctx) AS (SELECT s_suppkey, CAST(-1 AS BIGINT) FROM supplier WHERE s_suppkey % 10 = 3 UNION SELECT n.node, n.ctx FROM (
+  SELECT f.dst AS node, w.ctx FROM walk w JOIN fixed f ON f.src = w.node
+  UNION ALL SELECT e.dst, CASE e.kind WHEN 'call' THEN e.site ELSE -1 END FROM walk w JOIN edges e ON e.src = w.node WHERE e.kind = 'call' OR w.ctx IN (-1, e.site)) n)
+"""
+
+
+def _lazily(spark, sf_dir):
+    k, p = _c("o_orderkey"), read(spark, sf_dir, "part")
+    calls = read(spark, sf_dir, "orders").select(k.alias("site"), _c("o_custkey").alias("caller"), F.concat(F.lit("f"), k % 500).alias("value"))
+    callables = p.where("p_size % 2 = 0").select(F.concat(F.lit("f"), "p_partkey").alias("value"), _c("p_partkey").alias("method"))
+    taken = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(_c("l_orderkey").alias("site")).distinct()
+    of = lambda table, name, nodes: table.join(nodes.select(_c("node").alias(name)), name, "left_semi")
+    makers = [
+        lambda nodes: ops.synthetic_invokes(of(calls, "caller", nodes), callables, taken).where("kind = 'call'"),
+        lambda nodes: ops.synthetic_invokes(calls, of(callables, "method", nodes), taken).where("kind = 'return'"),
+    ]
+    none = lambda kind: F.lit(None).cast(kind)
+    fixed = p.where("p_partkey % 3 = 0").select(F.lit("copy").alias("kind"), _c("p_partkey").alias("src"), F.floor(_c("p_partkey") / 2).alias("dst"), none("string").alias("field"), none("long").alias("site"))
+    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 3").select(_c("s_suppkey").alias("node"), F.array().cast(taint.EMPTY_CTX).alias("ctx"), F.array().cast(taint.EMPTY_PATH).alias("path"), F.lit("s").alias("source"))
+    return taint.propagate_lazily(seeds, fixed, makers, 1)
+
+
+@query(LAZY_SQL + "SELECT node, CASE WHEN ctx = -1 THEN '' ELSE CAST(ctx AS VARCHAR) END AS ctx FROM walk")
+def lazy_propagation(spark, sf_dir):
+    """The facts that all edges together would give."""
+    return _lazily(spark, sf_dir)[0].select("node", F.array_join("ctx", ",").alias("ctx"))
+
+
+@query(LAZY_SQL + "SELECT kind, src, dst, site FROM edges WHERE src IN (SELECT node FROM walk)")
+def lazy_edges_made(spark, sf_dir):
+    """The edges that were made for them: those of reached nodes, no others."""
+    return _lazily(spark, sf_dir)[1].select("kind", "src", "dst", "site")
+
+
 BIND_SQL = "calls AS (SELECT o_orderkey AS site, [o_orderkey * 3, o_orderkey * 3 + 1, o_orderkey * 3 + 2] AS args, o_custkey AS callback, o_orderkey % 2 AS skip FROM orders)"
 
 
@@ -119,7 +155,7 @@ def _halves(spark, sf_dir):
     return read(spark, sf_dir, "part").select(k.alias("src"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("dst")).distinct()
 
 
-@query(f"WITH RECURSIVE {HALF_SQL}, walk(unit, node, hops) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey > 0 UNION SELECT unit, src, hops + 1 FROM walk JOIN ways ON dst = node WHERE hops < 3) SELECT unit, node, min(hops) AS hops FROM walk GROUP BY unit, node")
+@query(f"WITH RECURSIVE {HALF_SQL}, walk(unit, node, hops) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey > 0 UNION SELECT unit, src, hops + 1 FROM walk JOIN ways ON dst = node WHERE hops < 3) , f AS (SELECT unit, node, min(hops) AS hops FROM walk GROUP BY unit, node), cut AS (SELECT DISTINCT unit FROM f WHERE hops = 3 AND node IN (SELECT dst FROM ways)) SELECT unit, node, hops, unit IN (SELECT unit FROM cut) AS truncated FROM f")
 def activation_paths(spark, sf_dir):
     s = _c("s_suppkey")
     return ops.activation_paths(_halves(spark, sf_dir), read(spark, sf_dir, "supplier").where(s > 0).select(s.alias("unit"), s.alias("node")), 3)
@@ -275,7 +311,7 @@ def alias_locals(spark, sf_dir):
     return fields.alias_locals(pts.where("not contains(var, '.')"), pts.select(_c("obj").alias("carrier"), "obj").distinct())
 
 
-@query(f"WITH RECURSIVE {HALF_SQL}, walk(value, node, hops) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT value, dst, hops + 1 FROM walk JOIN ways ON src = node WHERE hops < 4) SELECT DISTINCT value, s_suppkey * 7 AS obj FROM walk JOIN supplier ON s_suppkey = node")
+@query(f"WITH RECURSIVE {HALF_SQL}, walk(value, node, hops) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT value, dst, hops + 1 FROM walk JOIN ways ON src = node WHERE hops < 4), f AS (SELECT value, node, min(hops) AS hops FROM walk GROUP BY value, node), cut AS (SELECT DISTINCT value FROM f WHERE hops = 4 AND node IN (SELECT src FROM ways)) SELECT DISTINCT value, s_suppkey * 7 AS obj, value IN (SELECT value FROM cut) AS truncated FROM f JOIN supplier ON s_suppkey = node")
 def carriers_at_statement(spark, sf_dir):
     c, s = _c("c_custkey"), _c("s_suppkey")
     values = read(spark, sf_dir, "customer").select(c.alias("value"), c.alias("node"))

@@ -8,7 +8,7 @@ from ..operators import entries, ir, sets
 from ..operators import trace as ops
 from ..sources import readers, writers
 from ..sources.fixtures import TRACE_SQL, read, trace
-from . import schedule
+from . import engine, schedule
 from .queries_identity import FAMILIES, SCHED_SQL
 from .registry import query
 
@@ -22,7 +22,7 @@ def _c(name):
 
 @query("SELECT DISTINCT o_custkey AS method, o_orderpriority AS asset FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def entry_seeds(spark, sf_dir):
-    assets = read(spark, sf_dir, "orders").groupBy(_c("o_orderpriority").alias("asset")).agg(F.collect_set("o_custkey").alias("methods"))
+    assets = read(spark, sf_dir, "orders").select(_c("o_orderpriority").alias("asset"), _c("o_custkey").alias("method"))
     return entries.seeds(assets, read(spark, sf_dir, "customer").where("c_acctbal > 0").select(_c("c_custkey").alias("method")))
 
 
@@ -182,7 +182,7 @@ def trace_graph_round_trip(spark, sf_dir):
     """The artefacts of a trace graph, written and read again."""
     facts, edges = trace(spark, sf_dir)
     path = writers.scratch_path(spark)
-    writers.trace_graph(facts, edges, path)
+    writers.trace_graph({"facts": facts, "edges": edges}, path)
     got = readers.trace_graph(spark, path)
     return got["facts"].select(F.lit("fact").alias("kind"), "id", _c("label").alias("detail")).union(got["edges"].select(F.lit("edge"), "id", F.concat_ws(">", "from_fact", "to_fact")))
 
@@ -222,3 +222,105 @@ def repair_hints(spark, sf_dir):
     stages = [*ops.REPAIR_HINTS, "other"]
     rows = read(spark, sf_dir, "lineitem").select((_c("l_orderkey") * 10 + _c("l_linenumber")).alias("id"), F.element_at(F.lit(stages), (_c("l_partkey") % 21 + 1).cast("int")).alias("stage"))
     return rows.select("id", "stage", (ops.repair_hint(_c("stage")) != ops.DEFAULT_HINT).alias("own"))
+
+
+# each supplier is a component built by its parts in order: a third of them create, a name of every fifth is another component
+BUILD_SQL = """ev AS (SELECT 'c' || (p_partkey // 20) AS view, p_partkey % 20 AS idx, CASE WHEN p_partkey % 20 = 0 OR p_size % 3 < 2 THEN 'create' ELSE 'pop' END AS kind, CASE WHEN p_size % 7 = 3 THEN 'c' || (p_partkey // 20 // 2 + p_size % 2) ELSE 'w' || (p_size % 4) END AS name FROM part),
+run AS (SELECT *, sum(CASE kind WHEN 'create' THEN 1 ELSE -1 END) OVER (PARTITION BY view ORDER BY idx) AS s FROM ev), deep AS (SELECT *, CAST(s - least(min(s) OVER (PARTITION BY view ORDER BY idx), 0) - 1 AS INTEGER) AS depth FROM run),
+made AS (SELECT view, idx, name, depth FROM deep WHERE kind = 'create'),
+trees AS (SELECT a.view, a.idx AS node, (SELECT max(b.idx) FROM made b WHERE b.view = a.view AND b.depth = a.depth - 1 AND b.idx < a.idx) AS parent, a.name, a.depth FROM made a)
+"""
+
+
+def _built(spark, sf_dir):
+    k, size = _c("p_partkey"), _c("p_size")
+    view = F.floor(k / 20)
+    name = F.when(size % 7 == 3, F.concat(F.lit("c"), F.floor(view / 2) + size % 2)).otherwise(F.concat(F.lit("w"), size % 4))
+    events = read(spark, sf_dir, "part").select(F.concat(F.lit("c"), view).alias("view"), (k % 20).alias("idx"), F.when((k % 20 == 0) | (size % 3 < 2), "create").otherwise("pop").alias("kind"), name.alias("name"))
+    return ir.built_tree(events)
+
+
+@query(f"WITH {BUILD_SQL} SELECT view, node, parent, name, depth FROM trees")
+def view_tree_of_events(spark, sf_dir):
+    return _built(spark, sf_dir)
+
+
+@query(
+    f"""WITH RECURSIVE {BUILD_SQL}, walk(top, chain, path, parent, name, depth) AS (
+  SELECT view, [view], CAST(node AS VARCHAR), CAST(parent AS VARCHAR), name, depth FROM trees WHERE view IN ('c3', 'c4', 'c8') OR CAST(substr(view, 2) AS BIGINT) % 10 = 9
+  UNION ALL SELECT w.top, w.chain || [w.name], w.path || '/' || t.node, CASE WHEN t.parent IS NULL THEN w.path ELSE w.path || '/' || t.parent END, t.name, w.depth + 1 + t.depth FROM walk w JOIN trees t ON t.view = w.name WHERE NOT list_contains(w.chain, w.name))
+SELECT top AS view, path, parent, name, depth, list_contains(chain, name) AS recursive FROM walk"""
+)
+def expanded_view_tree(spark, sf_dir):
+    trees = _built(spark, sf_dir)
+    n = F.substring("view", 2, 20).cast("long")
+    return ir.expanded_tree(trees, trees.where(n.isin(3, 4, 8) | (n % 10 == 9)).select("view"))
+
+
+GATES_SQL = """gates AS (SELECT 'g' || id AS id, from_fact, to_fact, stage, true AS attempted, status <> 'skipped' AS matched, status = 'emitted' AS emitted, CASE status WHEN 'skipped' THEN 'no match at ' || stage END AS skipped_reason, CASE status WHEN 'blocked' THEN 'stopped at ' || stage END AS blocked_reason, status FROM trace_edges)"""
+
+
+@query(f"""WITH {TRACE_SQL}, {GATES_SQL}, c AS (SELECT 'c' || g.id AS id, f.method AS subject, g.status, g.id AS gate_id, coalesce(g.skipped_reason, g.blocked_reason) AS reason, g.stage FROM gates g JOIN facts f ON f.id = g.to_fact)
+SELECT c.id, subject, c.status, gate_id, reason, g.matched, g.emitted, g.stage AS seen FROM c JOIN gates g ON g.id = c.gate_id""")
+def trace_gates_and_coverage(spark, sf_dir):
+    """Gates of a trace graph and the coverage that follows from them, written and read again."""
+    facts, edges = trace(spark, sf_dir)
+    status, stage = _c("status"), _c("stage")
+    gates = edges.select(
+        F.concat(F.lit("g"), "id").alias("id"), "from_fact", "to_fact", "stage", F.lit(True).alias("attempted"), (status != "skipped").alias("matched"), (status == "emitted").alias("emitted"),
+        F.when(status == "skipped", F.concat(F.lit("no match at "), stage)).alias("skipped_reason"), F.when(status == "blocked", F.concat(F.lit("stopped at "), stage)).alias("blocked_reason"),
+        F.create_map(F.lit("stage"), stage, F.lit("status"), status).alias("evidence"),
+    )
+    path = writers.scratch_path(spark)
+    writers.trace_graph({"facts": facts, "edges": edges, "gates": gates, "coverage": ops.gate_coverage(gates, facts)}, path)
+    got = readers.trace_graph(spark, path)
+    g = got["gates"].select(_c("id").alias("gate_id"), "matched", "emitted", _c("evidence")["stage"].alias("seen"))
+    return got["coverage"].join(g, "gate_id").select("id", "subject", "status", "gate_id", "reason", "matched", "emitted", "seen")
+
+
+# an order is a method of its customer's class, in the file of its priority and the module of its status; lines are statements, two a block
+PROGRAM_SQL = """st AS (SELECT o_orderstatus AS module, o_orderpriority AS file, 'c' || o_custkey AS class, 'm' || o_orderkey AS method, (l_linenumber - 1) // 2 AS block, l_linenumber AS idx, l_returnflag AS op, 'v' || l_partkey AS dst, 'v' || l_suppkey AS a, l_shipmode AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _methods(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select(_c("l_orderkey").alias("k"), _c("l_linenumber").cast("int").alias("idx"), F.floor((_c("l_linenumber") - 1) / 2).cast("int").alias("id"), _c("l_returnflag").alias("op"), F.concat(F.lit("v"), "l_partkey").alias("dst"), F.array(F.concat(F.lit("v"), "l_suppkey")).alias("args"), _c("l_shipmode").alias("kind"))
+    blocks = li.groupBy("k", "id").agg(F.sort_array(F.collect_list(F.struct("idx", "op", "dst", "args"))).alias("statements"), F.max("dst").alias("var"), F.max("kind").alias("kind"))
+    each = F.sort_array(F.collect_list(F.struct("id", F.array(_c("id") + 1).alias("successors"), "statements")))
+    whole = blocks.groupBy("k").agg(each.alias("blocks"), F.max("id").cast("int").alias("last"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("var", "kind")))).alias("types"))
+    whole = whole.withColumn("blocks", F.transform("blocks", lambda b: F.when(b["id"] == _c("last"), b.withField("successors", F.array().cast("array<int>"))).otherwise(b)))
+    traps = F.when(_c("last") > 1, F.array(F.struct(F.array(F.lit(0), F.lit(1)).alias("blocks"), _c("last").alias("handler")))).otherwise(F.array())
+    o = read(spark, sf_dir, "orders").select(_c("o_orderkey").alias("k"), _c("o_orderstatus").alias("module"), _c("o_orderpriority").alias("file"), F.concat(F.lit("c"), "o_custkey").alias("class"))
+    return o.join(whole, "k").select("file", "class", F.concat(F.lit("m"), "k").alias("method"), F.array(F.struct(F.lit("a").alias("name"), F.lit("any").alias("type"))).alias("parameters"), "blocks", "types", traps.alias("traps"), "module")
+
+
+def _project(spark, sf_dir, **only):
+    path = writers.scratch_path(spark)
+    writers.program(_methods(spark, sf_dir), path)
+    return readers.program(spark, path, **only)
+
+
+@query(f"WITH {PROGRAM_SQL} SELECT module, file, class, method, CAST(block AS INTEGER) AS block, CAST(idx AS INTEGER) AS idx, op, dst, a AS arg FROM st WHERE module IN ('F', 'P') AND file LIKE '1%'")
+def project_scan(spark, sf_dir):
+    """Nested methods written as a project, and the statements of some of its modules and files."""
+    urgent = [r.o_orderpriority for r in read(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select("o_orderpriority").distinct().collect()]  # one of five
+    return readers.program_statements(_project(spark, sf_dir, modules=["F", "P"], files=urgent)).select("module", "file", "class", "method", "block", "idx", "op", "dst", _c("args")[0].alias("arg"))
+
+
+@query(f"WITH {PROGRAM_SQL}, b AS (SELECT DISTINCT method, CAST(block AS INTEGER) AS block FROM st), n AS (SELECT method, max(block) AS last FROM b GROUP BY method) SELECT method, block AS src, block + 1 AS dst, 'next' AS kind FROM b JOIN n USING (method) WHERE block < last UNION ALL SELECT method, unnest([0, 1]), last, 'exception' FROM n WHERE last > 1")
+def project_edges(spark, sf_dir):
+    """Successors and traps of the nested methods, as read again."""
+    return readers.program_edges(_project(spark, sf_dir))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS slice, ['accept', 'reject', 'failed', 'failed', 'failed'][(l_partkey % 50) % 5 + 1] AS decision, CAST(CASE WHEN (l_partkey % 50) % 5 < 2 THEN 1 ELSE 3 END AS INTEGER) AS rounds FROM lineitem")
+def modelling_session(spark, sf_dir):
+    """A plain decider: texts end in a number; more text counts one on, and some always fail."""
+
+    def decide(texts):
+        rest = texts.map(lambda t: (int(t.rstrip("+").split()[-1]) + t.count("+")) % 5)
+        if (rest == 4).any():
+            raise ValueError("no answer")
+        return rest.map({0: "accept", 1: "reject", 2: "more", 3: "more"})
+
+    li = read(spark, sf_dir, "lineitem").select((_c("l_orderkey") * 10 + _c("l_linenumber")).alias("slice"), F.concat(F.lit("call "), _c("l_partkey") % 50).alias("text"))
+    return engine.ModellingSession(decide, lambda c: F.concat(c, F.lit("+"))).run(li)

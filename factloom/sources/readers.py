@@ -58,4 +58,36 @@ def load_cache(spark: SparkSession, path: str, schema: str, scope: dict[str, str
 
 def trace_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a graph written by ``writers.trace_graph``."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("facts", "edges")}
+    from .writers import TRACE
+
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TRACE.items()}
+
+
+#: A method with its blocks, their statements and successors, its variables' types and its traps.
+PROGRAM = """file string, class string, method string, parameters array<struct<name:string,type:string>>,
+blocks array<struct<id:int,successors:array<int>,statements:array<struct<idx:int,op:string,dst:string,args:array<string>>>>>,
+types map<string,string>, traps array<struct<blocks:array<int>,handler:int>>, module string"""
+
+
+def program(spark: SparkSession, path: str, modules: list[str] | None = None, files: list[str] | None = None) -> DataFrame:
+    """The methods of a project, of some ``modules`` or ``files`` only if these are given.
+
+    Modules are folders, of which the others are not opened; the condition on files goes to
+    the scan as a pushed filter.  A line that does not fit the schema is an error."""
+    rows = spark.read.schema(PROGRAM).option("mode", "FAILFAST").json(path)
+    if modules is not None:
+        rows = rows.where(F.col("module").isin(modules))
+    return rows if files is None else rows.where(F.col("file").isin(files))
+
+
+def program_statements(methods: DataFrame) -> DataFrame:
+    """(module, file, class, method, block, idx, op, dst, args) of nested methods."""
+    each = methods.select("module", "file", "class", "method", F.explode("blocks").alias("b"))
+    return each.select("module", "file", "class", "method", F.col("b.id").alias("block"), F.inline("b.statements"))
+
+
+def program_edges(methods: DataFrame) -> DataFrame:
+    """(method, src, dst, kind): successors of blocks, and the ways into handlers."""
+    flow = methods.select("method", F.explode("blocks").alias("b")).select("method", F.col("b.id").alias("src"), F.explode("b.successors").alias("dst"), F.lit("next").alias("kind"))
+    trap = methods.select("method", F.explode("traps").alias("t")).select("method", F.explode("t.blocks").alias("src"), F.col("t.handler").alias("dst"), F.lit("exception").alias("kind"))
+    return flow.union(trap)

@@ -30,9 +30,37 @@ def save_cache(df: DataFrame, path: str, *scope: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
 
 
-def trace_graph(facts: DataFrame, edges: DataFrame, path: str) -> None:
-    facts.write.mode("overwrite").parquet(f"{path}/facts")
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
+#: The tables of a trace graph and their columns; evidence is free.
+TRACE = {
+    "facts": "id string, label string, node long, context long, field_path array<string>, method string, stmt string, value string",
+    "edges": "id string, from_fact string, to_fact string, stage string, reason string, status string, producer string, evidence map<string,string>",
+    "gates": "id string, label string, from_fact string, to_fact string, stage string, producer string, gate_kind string, scope string, attempted boolean, matched boolean, emitted boolean, skipped_reason string, blocked_reason string, evidence map<string,string>",
+    "coverage": "id string, kind string, stage string, producer string, subject string, status string, gate_id string, label string, role string, endpoint string, surface_id string, asset_id string, reason string, evidence map<string,string>",
+}
+
+
+def trace_graph(tables: dict[str, DataFrame], path: str) -> None:
+    """A trace graph's tables, a folder each, under the schemas of TRACE: columns that a table
+    lacks are null, columns that it should not have are an error, a table that is not given
+    is empty."""
+    if lost := sorted(set(tables) - set(TRACE)):
+        raise ValueError(f"unknown tables {lost}")
+    some = next(iter(tables.values()))
+    for name, schema in TRACE.items():
+        want = [c.split(" ", 1) for c in schema.split(", ")]
+        df = tables.get(name)
+        if df is None:
+            df = some.sparkSession.createDataFrame([], schema)
+        if lost := sorted(set(df.columns) - {c for c, _ in want}):
+            raise ValueError(f"{name} has unknown columns {lost}")
+        df = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in want])
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def program(methods: DataFrame, path: str) -> None:
+    """Nested methods (readers.PROGRAM), an object a line, in a folder for each module, so that a
+    reader of some modules opens no others."""
+    methods.write.mode("overwrite").partitionBy("module").json(path)
 
 
 def ledgers(tables: dict[str, DataFrame], path: str) -> None:

@@ -212,20 +212,30 @@ def test_engine_plugins_are_isolated(spark):
     assert {r.node for r in engine.reachable(spark.createDataFrame([("a",)], "node string")).collect()} == {"a", "b", "c"}
 
 
-def test_modelling_session_stops_asking(spark):
+def test_modelling_session(spark, tmp_path):
+    """One question for each different text, failures asked again, more text where it is asked for."""
     from factloom.plans.engine import ModellingSession
 
-    asked = []
-
-    def decide(text):
-        asked.append(text)
-        if text.startswith("bad"):
-            raise RuntimeError
-        return "more" if len(text) < 4 else "accept"
-
-    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "bad1"), (4, "bad2"), (5, "bad3"), (6, "good")], "slice int, text string")
-    got = {r["slice"]: (r.decision, r.rounds) for r in ModellingSession(decide, lambda t: t + "++").run(df).collect()}
-    assert got == {1: ("accept", 2), 2: ("accept", 2), 3: ("failed", 1), 4: ("failed", 1), 5: ("failed", 1), 6: ("undecided", 0)} and asked.count("ab") == 1
+    log = str(tmp_path)
+
+    def decide(texts):
+        import os
+
+        for t in texts:
+            if t.startswith("bad"):
+                raise RuntimeError
+        for t in texts:
+            open(os.path.join(log, t.replace("+", "p") + f"-{os.urandom(4).hex()}"), "w").close()
+        return texts.map(lambda t: "more" if len(t) < 4 else "accept")
+
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "bad1"), (4, "bad2"), (6, "good"), (7, "a")], "slice int, text string")
+    session = ModellingSession(decide, lambda c: F.concat(c, F.lit("++")), max_rounds=2)
+    got = {r["slice"]: (r.decision, r.rounds) for r in session.run(df).collect()}
+    assert got == {1: ("accept", 2), 2: ("accept", 2), 3: ("failed", 2), 4: ("failed", 2), 6: ("accept", 1), 7: ("more", 2)}
+    assert sum(p.name.startswith("ab-") for p in tmp_path.iterdir()) == 1
+    bad = df.where("text like 'bad%'")
+    assert {r.rounds for r in ModellingSession(decide, None, 5, most_failures=2).run(bad).collect()} == {2}
+    assert ModellingSession(decide).run(df.limit(0)).count() == 0
 
 
 def test_fixpoints_are_whole_or_raise(spark):
