@@ -279,14 +279,14 @@ def trace_gates_and_coverage(spark, sf_dir):
 
 
 # an order is a method of its customer's class, in the file of its priority and the module of its status; lines are statements, two a block
-PROGRAM_SQL = """st AS (SELECT o_orderstatus AS module, o_orderpriority AS file, 'c' || o_custkey AS class, 'm' || o_orderkey AS method, (l_linenumber - 1) // 2 AS block, l_linenumber AS idx, l_returnflag AS op, 'v' || l_partkey AS dst, 'v' || l_suppkey AS a, l_shipmode AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+PROGRAM_SQL = """st AS (SELECT o_orderstatus AS module, o_orderpriority AS file, 'c' || o_custkey AS class, 'm' || o_orderkey AS method, (l_linenumber - 1) // 2 AS block, l_linenumber AS idx, l_returnflag AS op, 'v' || l_partkey AS dst, 'v' || l_suppkey AS a FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def _methods(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").select(_c("l_orderkey").alias("k"), _c("l_linenumber").cast("int").alias("idx"), F.floor((_c("l_linenumber") - 1) / 2).cast("int").alias("id"), _c("l_returnflag").alias("op"), F.concat(F.lit("v"), "l_partkey").alias("dst"), F.array(F.concat(F.lit("v"), "l_suppkey")).alias("args"), _c("l_shipmode").alias("kind"))
-    blocks = li.groupBy("k", "id").agg(F.sort_array(F.collect_list(F.struct("idx", "op", "dst", "args"))).alias("statements"), F.max("dst").alias("var"), F.max("kind").alias("kind"))
+    li = read(spark, sf_dir, "lineitem").select(_c("l_orderkey").alias("k"), _c("l_linenumber").cast("int").alias("idx"), F.floor((_c("l_linenumber") - 1) / 2).cast("int").alias("id"), _c("l_returnflag").alias("op"), F.concat(F.lit("v"), "l_partkey").alias("dst"), F.array(F.concat(F.lit("v"), "l_suppkey")).alias("args"), _c("l_linestatus").alias("kind"))
+    blocks = li.groupBy("k", "id").agg(F.sort_array(F.collect_list(F.struct("idx", "op", "dst", "args"))).alias("statements"), F.concat_ws("@", F.max("dst"), "id").alias("var"), F.max("kind").alias("kind"))
     each = F.sort_array(F.collect_list(F.struct("id", F.array(_c("id") + 1).alias("successors"), "statements")))
-    whole = blocks.groupBy("k").agg(each.alias("blocks"), F.max("id").cast("int").alias("last"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("var", "kind")))).alias("types"))
+    whole = blocks.groupBy("k").agg(each.alias("blocks"), F.max("id").cast("int").alias("last"), F.map_from_entries(F.collect_list(F.struct("var", "kind"))).alias("types"))
     whole = whole.withColumn("blocks", F.transform("blocks", lambda b: F.when(b["id"] == _c("last"), b.withField("successors", F.array().cast("array<int>"))).otherwise(b)))
     traps = F.when(_c("last") > 1, F.array(F.struct(F.array(F.lit(0), F.lit(1)).alias("blocks"), _c("last").alias("handler")))).otherwise(F.array())
     o = read(spark, sf_dir, "orders").select(_c("o_orderkey").alias("k"), _c("o_orderstatus").alias("module"), _c("o_orderpriority").alias("file"), F.concat(F.lit("c"), "o_custkey").alias("class"))
