@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import fixpoint, whole
+from .fixpoint import fixpoint, whole, written
 
 EXIT = -1
 EDGES = ["method", "src", "dst"]
@@ -220,12 +220,12 @@ def branches(edges: DataFrame, entry: int = 0) -> DataFrame:
     ``if`` if one way is the join; ``if-else`` if its two ways are its own until the join;
     ``switch`` for more of them; else ``open``: a way enters from elsewhere, or never ends."""
     e = edges.select(*EDGES).distinct()
-    doms = dominators(edges, entry).select("method", "block", "first", "last")
+    doms = written(dominators(edges, entry).select("method", "block", "first", "last"))
     side = lambda name: doms.select("method", F.col("block").alias(name), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last"))
     ways = e.join(side("src"), ["method", "src"]).join(side("dst"), ["method", "dst"])
     joins = post_dominators(edges).select("method", F.col("block").alias("src"), "join")
     ways = ways.join(joins, ["method", "src"], "left")
-    body = loop_bodies(edges, entry).select("method", F.col("header").alias("src"), F.col("block").alias("dst"), F.lit(True).alias("within"))
+    body = written(loop_bodies(edges, entry)).select("method", F.col("header").alias("src"), F.col("block").alias("dst"), F.lit(True).alias("within"))
     heads = body.select("method", "src", F.lit(True).alias("heads")).distinct()
     ways = ways.join(body, ["method", "src", "dst"], "left").join(heads, ["method", "src"], "left")
     back = (F.col("dst_first") <= F.col("src_first")) & (F.col("src_first") <= F.col("dst_last"))
@@ -253,7 +253,7 @@ def renamed(defs: DataFrame, uses: DataFrame, phis: DataFrame, doms: DataFrame,
     dominating block with either: an interval of the dominator tree that holds it."""
     every = defs.select("method", "block", "idx", "var").union(phis.select("method", "block", F.lit(None).cast("int"), "var"))
     w = Window.partitionBy("method", "var").orderBy("block", F.col("idx").asc_nulls_first())
-    named = every.withColumn("version", F.row_number().over(w).cast("long"))
+    named = written(every.withColumn("version", F.row_number().over(w).cast("long")))
     span = doms.select("method", "block", "first", "last")
     # what a block leaves behind, as an interval of blocks below it
     left = named.groupBy("method", "var", "block").agg(F.max_by("version", F.coalesce("idx", F.lit(-1))).alias("out")).join(span, ["method", "block"])

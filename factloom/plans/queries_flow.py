@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.fixtures import read
 from . import flow, graph
+from .fixpoint import written
 from .queries_graph import CFG_SQL, DOM_SQL, FRONT_SQL, _cfg
 from .registry import query
 
@@ -97,7 +98,7 @@ points AS (SELECT d.method, d.block, o.var, z.n, o.version, d.by FROM dom d JOIN
 
 def _ssa(spark, sf_dir):
     blocks, edges = _cfg(spark, sf_dir)
-    doms = flow.dominators(edges)
+    doms = written(flow.dominators(edges))  # read by several joins and every round of the phis
     known = doms.select("method", "block")
     uses = blocks.join(known, ["method", "block"]).select("method", "block", F.lit(0).alias("idx"), F.when(_c("block") % 2 == 0, "x").otherwise("y").alias("var"))
     defs = blocks.where("var is not null").select("method", "block", F.lit(1).alias("idx"), "var")
