@@ -62,6 +62,22 @@ def union_sizes(maps: DataFrame) -> DataFrame:
     return each.groupBy("group").agg(F.sum("n").alias("members"))
 
 
+def compared(maps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, common, only_a, only_b, equal, within): how the sets of ``pairs`` (a, b) of owners
+    of bitmaps (owner, bucket, bits) lie to each other: sizes of their intersection and of
+    both differences, whether they are equal, and whether a lies within b.  An owner
+    without a bitmap is the empty set."""
+    pairs = pairs.select("a", "b").distinct()
+    side = lambda end: pairs.join(maps, F.col(end) == F.col("owner")).select("a", "b", "bucket", F.lit(end).alias("side"), "bits")
+    n = F.bitmap_count
+    own = lambda end: F.coalesce(n(F.bitmap_or_agg(F.when(F.col("side") == end, F.col("bits")))), F.lit(0))
+    met = F.when(F.count("*") == 2, n(F.bitmap_and_agg("bits"))).otherwise(0)
+    each = side("a").union(side("b")).groupBy("a", "b", "bucket").agg(own("a").alias("in_a"), own("b").alias("in_b"), met.alias("common"))
+    total = each.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("in_a", "in_b", "common")])
+    every = pairs.join(total, ["a", "b"], "left").na.fill(0, ["in_a", "in_b", "common"])
+    return every.select("a", "b", "common", (F.col("in_a") - F.col("common")).alias("only_a"), (F.col("in_b") - F.col("common")).alias("only_b"), ((F.col("in_a") == F.col("common")) & (F.col("in_b") == F.col("common"))).alias("equal"), (F.col("in_a") == F.col("common")).alias("within"))
+
+
 def passes(statements: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(method, rule, hits): a visitor of each kind of statement: per method how many meet
     each rule's condition, none left out."""

@@ -122,6 +122,22 @@ def bitmap_unions(spark, sf_dir):
     return ir.union_sizes(maps.select((_c("owner") % 10).alias("group"), "bucket", "bits"))
 
 
+@query(
+    """WITH sets AS (SELECT DISTINCT l_suppkey AS owner, l_partkey % 40 + CASE WHEN l_suppkey % 3 = 0 THEN 70000 ELSE 0 END AS id FROM lineitem WHERE l_suppkey % 7 > 0),
+pairs AS (SELECT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier UNION SELECT s_suppkey, s_suppkey + 3 FROM supplier),
+l AS (SELECT p.a, p.b, s.id FROM pairs p JOIN sets s ON s.owner = p.a), r AS (SELECT p.a, p.b, s.id FROM pairs p JOIN sets s ON s.owner = p.b),
+j AS (SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, count_if(l.id IS NOT NULL AND r.id IS NOT NULL) AS common, count_if(r.id IS NULL) AS only_a, count_if(l.id IS NULL) AS only_b FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.id = r.id GROUP BY 1, 2)
+SELECT a, b, CAST(coalesce(common, 0) AS BIGINT) AS common, CAST(coalesce(only_a, 0) AS BIGINT) AS only_a, CAST(coalesce(only_b, 0) AS BIGINT) AS only_b, coalesce(only_a, 0) = 0 AND coalesce(only_b, 0) = 0 AS equal, coalesce(only_a, 0) = 0 AS within FROM pairs LEFT JOIN j USING (a, b)"""
+)
+def bitmap_comparisons(spark, sf_dir):
+    """Intersection, differences and equality of suppliers' sets; every seventh set is empty."""
+    s = _c("l_suppkey")
+    rows = read(spark, sf_dir, "lineitem").where(s % 7 > 0).select(s.alias("owner"), (_c("l_partkey") % 40 + F.when(s % 3 == 0, 70000).otherwise(0)).alias("id"))
+    k = _c("s_suppkey")
+    pairs = read(spark, sf_dir, "supplier").select(k.alias("a"), F.explode(F.array(F.floor(k / 2), k + 3)).alias("b"))
+    return ir.compared(ir.bitmaps(rows), pairs)
+
+
 @query("SELECT l_orderkey AS method, r.rule, CAST(sum(CASE r.rule WHEN 'calls' THEN CAST(l_linenumber % 2 = 0 AS INTEGER) WHEN 'large' THEN CAST(l_quantity > 40 AS INTEGER) ELSE CAST(l_returnflag = 'R' AS INTEGER) END) AS BIGINT) AS hits FROM lineitem, (VALUES ('calls'), ('large'), ('returned')) r(rule) GROUP BY 1, 2")
 def method_passes(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").withColumn("method", _c("l_orderkey"))
