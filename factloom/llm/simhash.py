@@ -322,9 +322,18 @@ def judged(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     if sampled and n > SKETCH:  # of the union only its smallest are a fair sample
         last = np.partition(np.concatenate([a, b[~same]]), SKETCH - 1)[SKETCH - 1]
         shared, n = int(np.count_nonzero(same & (b <= last))), SKETCH
-    doubt = DEVIATIONS * np.sqrt(similarity * (1 - similarity) * n) if sampled else 2.0
+    if not sampled:
+        return int(by_shared(shared, len(a) + len(b), similarity))
     off = shared - similarity * n
-    return -1 if abs(off) <= doubt and shared < n else int(off > 0)
+    return -1 if abs(off) <= DEVIATIONS * np.sqrt(similarity * (1 - similarity) * n) and shared < n else int(off > 0)
+
+
+def by_shared(shared, sizes, similarity: float):
+    """``judged`` for whole sets (or arrays of pairs of them) that share so many of their
+    ``sizes`` together."""
+    n = sizes - shared
+    off = shared - similarity * n
+    return np.where((np.abs(off) <= 2.0) & (shared < n), -1, off > 0)
 
 
 def least_shared(size: int, n: int, similarity: float) -> int:
@@ -432,40 +441,66 @@ def _exact(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float
     return written(arrow(shown.select("src", "five_src", "dst", "five_dst"), by_text, "src long, dst long"), f"{tag}-links")
 
 
+FEW = 32  # owners up to which a shingle's pairs are listed; others go into a matrix product
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets have in common; [i, j] holds for j < i only.
+
+    Most shingles have few owners, whose pairs are fewer than the cells of a matrix product."""
+    n, shared = len(sets), np.zeros((len(sets), len(sets)))
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    width = counts[column]
+    for k in np.unique(counts[(counts > 1) & (counts <= FEW)]).tolist():
+        less, more = np.triu_indices(k, 1)
+        owners = owner[width == k].reshape(-1, k)
+        step = max(1, (1 << 20) // len(less))
+        for at in range(0, len(owners), step):
+            part = owners[at : at + step]
+            shared += np.bincount((part[:, more] * n + part[:, less]).ravel(), minlength=n * n).reshape(n, n)
+    dense, owner = (np.cumsum(counts > FEW) - 1)[column[width > FEW]], owner[width > FEW]
+    for start in range(0, int(dense[-1]) + 1 if len(dense) else 0, 2048):
+        lo, hi = np.searchsorted(dense, [start, start + 2048])
+        x = np.zeros((n, min(2048, int(dense[-1]) + 1 - start)), np.float32)
+        x[owner[lo:hi], dense[lo:hi] - start] = 1
+        shared += x @ x.T
+    return shared
+
+
 def _tile(similarity: float):
     """Links of one tile of a posting list, (src, dst, settled), enough to join all pairs
     of different components that are alike, and the pairs that sketches do not settle.
-    A tile off the diagonal compares its two chunks only.  What pairs share of their
-    posted shingles is counted by matrix products; only those that share enough are judged."""
+    A tile off the diagonal compares its two chunks only.  Pairs of whole sets are judged
+    by what they share, counted for the tile at once; where a set is sampled, pairs that
+    share enough of their posted shingles are judged one by one."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(x, np.uint32) for x in pdf["sketch"]]
         reps, chunk = pdf["rep"].to_numpy(np.int64), pdf["chunk"].to_numpy(np.int64)
         lab = np.unique(pdf["component"].to_numpy(np.int64), return_inverse=True)[1]
-        posted = [x[:POSTED] for x in held]
-        least = np.array([least_shared(len(x), n, similarity) for x, n in zip(posted, pdf["n"].tolist())], np.float32)
-        size = pdf["n"].to_numpy(np.float64)
-        owner = np.repeat(np.arange(len(held)), [len(x) for x in posted])
-        column, counts = np.unique(np.concatenate(posted), return_inverse=True, return_counts=True)[1:]
-        several = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[column]
-        by = np.argsort(several, kind="stable")
-        owner, several = owner[by], several[by]
-        shared = np.zeros((len(held), len(held)), np.float32)
-        for at in range(0, int(several[-1]) + 1, 2048):
-            lo, hi = np.searchsorted(several, [at, at + 2048])
-            x = np.zeros((len(held), min(2048, int(several[-1]) + 1 - at)), np.float32)
-            x[owner[lo:hi], several[lo:hi] - at] = 1
-            shared += x @ x.T
+        n, size = pdf["n"].to_numpy(np.float64), np.array([len(x) for x in held])
+        whole = size < SKETCH
+        shared = _shared([x if w else x[:0] for x, w in zip(held, whole)])
+        if not whole.all():
+            posted = [x[:POSTED] for x in held]
+            shared_posted, least = _shared(posted), np.array([least_shared(len(x), k, similarity) for x, k in zip(posted, pdf["n"].tolist())])
         off = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         out = []
         for i in range(len(held)):
-            fit = (shared[i, :i] >= np.minimum(least[i], least[:i])) & (np.minimum(size[i], size[:i]) >= np.maximum(size[i], size[:i]) * similarity - 1e-9)
+            fit = (lab[:i] != lab[i]) & (np.minimum(n[i], n[:i]) >= np.maximum(n[i], n[:i]) * similarity - 1e-9)
             if off:
                 fit &= chunk[:i] != chunk[i]
-            for j in np.flatnonzero(fit & (lab[:i] != lab[i])).tolist():
-                if lab[i] != lab[j] and (told := judged(held[i], held[j], similarity)):
-                    out.append((reps[i], reps[j], told))
-                    if told > 0:
+            told = by_shared(shared[i, :i], size[i] + size[:i], similarity)
+            sampled = np.zeros(i, bool) if whole.all() else ~(whole[:i] & whole[i])
+            if sampled.any():
+                fit &= ~sampled | (shared_posted[i, :i] >= np.minimum(least[i], least[:i]))
+            for j in np.flatnonzero(fit & (sampled | (told != 0))).tolist():
+                if lab[i] != lab[j] and (say := judged(held[i], held[j], similarity) if sampled[j] else int(told[j])):
+                    out.append((reps[i], reps[j], say))
+                    if say > 0:
                         lab[lab == lab[i]] = lab[j]
         return pd.DataFrame(out, columns=["src", "dst", "settled"], dtype=np.int64)
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -218,3 +219,29 @@ def test_near_dedup_stage_decides_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, docs, "").collect()), key=repr)
     assert got == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (5, text[3]), (None, text[3])], key=repr)
+
+
+def test_tiles_judge_pairs_like_single_ones():
+    rng = np.random.default_rng(5)
+    for size in (60, 500, 1500):  # whole sets, and sampled ones
+        base = np.unique(rng.integers(0, 1 << 32, size, dtype=np.uint32))
+        sets = [np.unique(np.r_[base[rng.random(len(base)) < keep], rng.integers(0, 1 << 32, size // 20, dtype=np.uint32)]) for keep in rng.choice([0.8, 0.9, 0.95, 1.0], 60)]
+        sketches = [x[: simhash.SKETCH] for x in sets]
+        rows = pd.DataFrame({"rep": range(60), "n": [len(x) for x in sets], "sketch": [x.tobytes() for x in sketches], "component": range(60), "chunk": 0, "lo": 0, "hi": 0})
+        told = {(max(a, b), min(a, b)): say for a, b, say in simhash._tile(0.8)(rows).itertuples(index=False)}
+        alone = {(i, j): simhash.judged(sketches[i], sketches[j], 0.8) for i in range(60) for j in range(i)}
+        assert told and all(alone[pair] == say for pair, say in told.items())
+        lab = list(range(60))
+        for (i, j), say in told.items():
+            if say > 0:
+                lab = [lab[j] if x == lab[i] else x for x in lab]
+        assert all(lab[i] == lab[j] for (i, j), say in alone.items() if say > 0)
+        if size < simhash.SKETCH:
+            assert all(told.get(pair) == -1 or lab[pair[0]] == lab[pair[1]] for pair, say in alone.items() if say < 0)
+
+
+def test_shared_counts_listed_and_dense_columns():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.r_[rng.integers(0, 40, 30), rng.integers(40, 4000, 60)]).astype(np.uint32) for _ in range(90)] + [np.zeros(0, np.uint32)]
+    got = simhash._shared(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(91) for j in range(i))
