@@ -120,3 +120,22 @@ def streaming_currentness(spark, sf_dir):
     from ..streaming.currentness import as_batches
 
     return as_batches(effects(spark, sf_dir), batches=3)
+
+
+@query(PAIRS_SQL + "SELECT cell, producer, consumer, verdict FROM verdicts")
+def streaming_producers(spark, sf_dir):
+    """The verdicts of a stream whose state is a list of producers for each cell."""
+    from ..streaming import producers
+
+    return producers.in_lots(effects(spark, sf_dir), "seq", 3, producers.verdicts, producers.OUT)
+
+
+@query("SELECT s.user_id AS cell, s.event_id AS producer, l.event_id AS consumer FROM events s JOIN events l ON s.user_id = l.user_id AND l.ts > s.ts AND l.ts <= s.ts + INTERVAL 6 HOURS WHERE s.event_type = 'signup' AND l.event_type = 'purchase'")
+def streaming_slices(spark, sf_dir):
+    """Stores and loads of a cell within six hours, as a join of two streams."""
+    from ..sources.fixtures import read
+    from ..streaming import producers
+
+    kind = F.when(F.col("event_type") == "signup", "store").when(F.col("event_type") == "purchase", "load").otherwise("noop")
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("cell"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    return producers.in_lots(rows, "ts", 3, lambda stream: producers.slices(stream, "6 hours"), "cell long, producer long, consumer long")
