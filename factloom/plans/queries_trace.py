@@ -139,3 +139,14 @@ def streaming_slices(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "store").when(F.col("event_type") == "purchase", "load").otherwise("noop")
     rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("cell"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
     return producers.in_lots(rows, "ts", 3, lambda stream: producers.slices(stream, "6 hours"), "cell long, producer long, consumer long")
+
+
+@query("SELECT user_id AS cell, max(event_id) AS id, max_by(event_type, event_id) AS kind FROM events GROUP BY user_id")
+def streaming_cache(spark, sf_dir):
+    """The last event of each cell, from a cache whose touched partitions each batch overwrites."""
+    from ..sources.fixtures import read
+    from ..streaming import producers
+
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("cell"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    put = lambda batch, n, path: producers.newest(batch, path, "cell", ["id"])
+    return producers.in_lots(rows, "id", 3, lambda stream: stream, "cell long, id long, kind string", put)

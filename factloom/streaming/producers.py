@@ -97,14 +97,34 @@ def slices(effects: DataFrame, within: str) -> DataFrame:
     return side("store", "producer", "stored").join(side("load", "consumer", "loaded"), near).select(F.col("producer_cell").alias("cell"), "producer", "consumer")
 
 
-def in_lots(rows: DataFrame, order: str, lots: int, stream, schema: str) -> DataFrame:
+def newest(rows: DataFrame, path: str, key: str, order: list[str], buckets: int = 16) -> None:
+    """Puts the rows of a batch into a cache at ``path`` that holds the row of each key
+    which comes last by ``order``.
+
+    Keys lie in ``bucket`` partitions; only those that the batch touches are read and
+    overwritten, so a batch that runs again after a failure leaves the same cache.  Rows
+    of null key are kept as one key."""
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+    held = rows.sparkSession.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+    last = new.unionByName(held).groupBy(key, "bucket").agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("row"))
+    kept = last.select(F.col(key), "row.*", "bucket")
+    kept.write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def in_lots(rows: DataFrame, order: str, lots: int, stream, schema: str, sink=None) -> DataFrame:
     """What ``stream`` (a streaming DataFrame to another) makes of a table that arrives in
-    ``lots`` by ranges of ``order``, each taken up by a run that goes on where the last ended."""
+    ``lots`` by ranges of ``order``, each taken up by a run that goes on where the last ended.
+
+    ``sink`` (batch, number, path) writes a batch; without one each gets a folder of its own."""
     import uuid
 
     from ..plans.fixpoint import shared_dir
 
-    spark = rows.sparkSession
+    def apart(batch, n, path):
+        batch.write.mode("overwrite").parquet(f"{path}/lot={n}")
+
+    spark, sink = rows.sparkSession, sink or apart
     base, name = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
     spark.createDataFrame([], schema).write.parquet(f"{base}/out")
     lo, hi = rows.agg(F.min(order), F.max(order)).first()
@@ -120,7 +140,7 @@ def in_lots(rows: DataFrame, order: str, lots: int, stream, schema: str) -> Data
                 part = part.where(F.col(order) > F.lit(lo + (hi - lo) * i / lots))
             part.write.mode("append").parquet(f"{base}/in")
             out = stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-            run = out.writeStream.foreachBatch(lambda f, n: f.write.mode("overwrite").parquet(f"{base}/out/lot={n}")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+            run = out.writeStream.foreachBatch(lambda batch, n: sink(batch, n, f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
             run.start().awaitTermination()
     finally:
         spark.conf.set(name, earlier)

@@ -85,3 +85,11 @@ def test_slices_within_an_interval(spark):
     df = spark.createDataFrame(rows, SLICE)
     got = producers.in_lots(df, "ts", 3, lambda s: producers.slices(s, "60 minutes"), "cell long, producer long, consumer long")
     assert sorted(map(tuple, got.collect())) == [(1, 1, 3), (1, 6, 3), (1, 6, 4)]
+
+
+def test_cache_keeps_the_last_row_of_each_key(spark):
+    rows = [(i % 7 if i % 5 else None, i, f"v{i}" if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, at long, value string")
+    put = lambda batch, n, path: [producers.newest(batch, path, "key", ["at"], buckets=4) for _ in range(2)]
+    got = producers.in_lots(df, "at", 3, lambda s: s, "key long, at long, value string", put)
+    assert {tuple(r) for r in got.collect()} == {max((r for r in rows if r[0] == k), key=lambda r: r[1]) for k in {r[0] for r in rows}}
