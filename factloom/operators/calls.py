@@ -56,8 +56,10 @@ def callback_parameters(calls: DataFrame, bindings: DataFrame, parameters: DataF
 def stored_callbacks(stores: DataFrame, invokes: DataFrame, below: DataFrame) -> DataFrame:
     """(site, callback): callbacks kept in a receiver's field (class, field, callback) and
     called through it (site, class, field), where the caller's class is the store's or below."""
-    held = stores.join(below.select(F.col("ancestor").alias("class"), "descendant"), "class").select(F.col("descendant").alias("class"), "field", "callback")
-    return invokes.join(held, ["class", "field"]).select("site", "callback").distinct()
+    # what is above the receiver's class: the stores spread over all classes below are many more
+    up = below.select(F.col("descendant").alias("class"), "ancestor").distinct()
+    asked = invokes.join(up, "class").select("site", F.col("ancestor").alias("class"), "field")
+    return distinct_pairs(asked, stores, ["class", "field"], "site", "callback")
 
 
 def field_bridges(loads: DataFrame, stores: DataFrame) -> DataFrame:
