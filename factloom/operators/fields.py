@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..plans.fixpoint import cut, fixpoint
+from .pairs import distinct_pairs
 
 WAYS = ("instance", "static", "array")
 
@@ -48,10 +49,13 @@ def this_loads(facts: DataFrame, loads: DataFrame, below: DataFrame) -> DataFram
     dst) that a fact (file, class, field, source) meets: same file and field, and the class
     is the fact's or below it, or not known."""
     known = loads.where("class is not null")
-    sub = facts.join(below.select(F.col("ancestor").alias("class"), "descendant"), "class").drop("class").withColumnRenamed("descendant", "class")
-    exact = sub.join(known, ["file", "class", "field"]).select("dst", "source")
-    loose = facts.select("file", "field", "source").join(loads.where("class is null").select("file", "field", "dst"), ["file", "field"]).select("dst", "source")
-    return exact.union(loose).distinct()
+    # a load asks for the classes above its own, or for any: facts spread over the classes below are many more
+    up = below.select(F.col("descendant").alias("class"), "ancestor").distinct()
+    shape = lambda df, any_, of: df.select("file", "field", F.lit(any_).alias("any"), of.cast("string").alias("class"), *[c for c in ("dst", "source") if c in df.columns])
+    none = F.lit("")
+    asked = shape(known.join(up, "class"), False, F.col("ancestor")).union(shape(loads.where("class is null"), True, none))
+    given = shape(facts.where("class is not null"), False, F.col("class")).union(shape(facts, True, none))
+    return distinct_pairs(asked, given, ["file", "field", "any", "class"], "dst", "source")
 
 
 def reachable_loads(loads: DataFrame, methods: DataFrame) -> DataFrame:
