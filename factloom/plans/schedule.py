@@ -61,5 +61,7 @@ def lifecycle_edges(methods: DataFrame) -> DataFrame:
     present = methods.select("owner", "phase", rank.alias("rank")).distinct()
     w = Window.partitionBy("owner").orderBy("rank")
     steps = present.withColumn("before", F.lag("phase").over(w)).where("before is not null").select("owner", "phase", "before")
-    a, b = methods.select("owner", F.col("method").alias("dst"), "phase"), methods.select("owner", F.col("method").alias("src"), F.col("phase").alias("before"))
-    return steps.join(a, ["owner", "phase"]).join(b, ["owner", "before"]).select("owner", "src", "dst", "phase").distinct()
+    # one phase comes before each: pairs of distinct rows are distinct
+    own = methods.select("owner", "method", "phase").distinct()
+    a, b = own.select("owner", F.col("method").alias("dst"), "phase"), own.select("owner", F.col("method").alias("src"), F.col("phase").alias("before"))
+    return a.join(steps, ["owner", "phase"]).join(b, ["owner", "before"]).select("owner", "src", "dst", "phase")
