@@ -10,17 +10,15 @@ from .flow import dominators  # noqa: F401
 
 
 def reach_pairs(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all paths of at least one edge, by doubling: logarithmically many
-    rounds.  Its result is all pairs; where only some sources are asked for, use ``reached_from``."""
-    total = cut(edges.select("src", "dst").distinct())
-    n = total.count()
-    while True:
-        longer = total.alias("a").join(total.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        total = cut(total.union(longer).distinct())
-        now = total.count()
-        if now == n:
-            return total
-        n = now
+    """(src, dst) of all paths of at least one edge.  Its result is all pairs; where only some
+    sources are asked for, use ``reached_from``.
+
+    A round makes the last one's new pairs longer by one edge, so each pair is extended once:
+    rows made are pairs times edges of a node, where doubling makes pairs times pairs."""
+    ways = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct().repartition("at"))
+    seed = ways.select(F.col("at").alias("src"), F.col("to").alias("dst"))
+    step = lambda d, _: d.join(ways, F.col("dst") == F.col("at")).select("src", F.col("to").alias("dst"))
+    return whole(fixpoint(seed, step, ["src", "dst"])).drop("round")
 
 
 def reached_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
