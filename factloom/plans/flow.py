@@ -149,16 +149,55 @@ def _components(n: int, edges: list) -> list[int]:
     return group
 
 
-def _each(edges: DataFrame, rows, schema: str, entry: int) -> DataFrame:
-    """``rows(flow)`` of every method."""
+def _runs(batches):
+    """The row batches of tables sorted by method as lists of (method, rows), none cut in two."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        m = pdf["method"].to_numpy()
+        codes = pd.factorize(m, use_na_sentinel=False)[0]
+        ends = [*(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(m)]
+        out, start = [], 0
+        if held:
+            last = held[0]["method"].iloc[0]
+            if last == m[0] or pd.isna(last) and pd.isna(m[0]):
+                held.append(pdf.iloc[: ends[0]])
+                start = ends[0]
+            if start < len(m):
+                out.append((last, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]))
+                held = []
+        for end in ends:
+            if start < end < len(m):
+                out.append((m[start], pdf.iloc[start:end]))
+                start = end
+        if start < len(m):
+            held = [pdf.iloc[start:]]
+        yield out
+    yield [(held[0]["method"].iloc[0], pd.concat(held, ignore_index=True))] if held else []
+
+
+def per_method(table: DataFrame, rows, schema: str) -> DataFrame:
+    """``rows(pdf)``, tuples of ``schema``, of every method's rows of ``table`` (method, ..).
+
+    Methods are dealt out whole; a task takes its own one after the other, many to a batch,
+    as most are far smaller than what a call of Python costs."""
     names = [c.split()[0] for c in schema.split(", ")]
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for group in _runs(batches):
+            found = [(m, *r) for m, pdf in group for r in rows(pdf)]
+            if found:
+                yield pd.DataFrame(found, columns=["method", *names])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        flow = Flow(pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64), entry)
-        return pd.DataFrame([(key[0], *r) for r in rows(flow)], columns=["method", *names])
+    kind = table.schema["method"].dataType.simpleString()
+    return table.repartition(n, "method").sortWithinPartitions("method").mapInPandas(run, f"method {kind}, {schema}")
 
-    kind = edges.schema["method"].dataType.simpleString()
-    return edges.select(*EDGES).groupBy("method").applyInPandas(run, f"method {kind}, {schema}")
+
+def _each(edges: DataFrame, rows, schema: str, entry: int) -> DataFrame:
+    """``rows(flow)`` of every method."""
+    return per_method(edges.select(*EDGES), lambda pdf: rows(Flow(pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64), entry)), schema)
 
 
 def dominators(edges: DataFrame, entry: int = 0) -> DataFrame:
@@ -254,10 +293,10 @@ def renamed(defs: DataFrame, uses: DataFrame, phis: DataFrame, doms: DataFrame,
     every = defs.select("method", "block", "idx", "var").union(phis.select("method", "block", F.lit(None).cast("int"), "var"))
     w = Window.partitionBy("method", "var").orderBy("block", F.col("idx").asc_nulls_first())
     named = written(every.withColumn("version", F.row_number().over(w).cast("long")))
-    span = doms.select("method", "block", "first", "last")
+    span = doms.select("method", "block", "first", "last").hint("merge")  # large and written compressed: its size on disk says too little for a broadcast
     # what a block leaves behind, as an interval of blocks below it
     left = named.groupBy("method", "var", "block").agg(F.max_by("version", F.coalesce("idx", F.lit(-1))).alias("out")).join(span, ["method", "block"])
-    left = left.select("method", "var", F.col("first").alias("d_first"), F.col("last").alias("d_last"), "out")
+    left = left.select("method", "var", F.col("first").alias("d_first"), F.col("last").alias("d_last"), "out").hint("merge")
 
     def above(points: DataFrame, keys: list[str]) -> DataFrame:
         """The innermost definition of points (method, var, first, ..) strictly above, or also in, their block."""
@@ -265,14 +304,14 @@ def renamed(defs: DataFrame, uses: DataFrame, phis: DataFrame, doms: DataFrame,
         holds = (F.col("d_first") <= F.col("upto")) & (F.col("first") <= F.col("d_last"))
         return j.groupBy(*keys).agg(F.max_by("out", F.when(holds, F.col("d_first"))).alias("out"))
 
-    inner = named.select("method", "block", "var", F.col("idx").alias("d_idx"), "version")
+    inner = named.select("method", "block", "var", F.col("idx").alias("d_idx"), "version").hint("merge")
     keys = ["method", "block", "idx", "var"]
     at = uses.select(*keys).distinct()
     near = at.join(inner, ["method", "block", "var"]).where("d_idx is null or d_idx < idx").groupBy(*keys).agg(F.max_by("version", F.coalesce("d_idx", F.lit(-1))).alias("near"))
     far = above(at.join(span, ["method", "block"]).withColumn("upto", F.col("first") - 1), keys)
-    used = far.join(near, keys, "left").select(*keys, F.coalesce("near", "out", F.lit(0).cast("long")).alias("version"))
-    preds = phis.join(edges.select("method", F.col("dst").alias("block"), F.col("src").alias("pred")).distinct(), ["method", "block"])
-    preds = preds.join(span.withColumnRenamed("block", "pred"), ["method", "pred"]).withColumn("upto", F.col("first"))
+    used = far.join(near.hint("merge"), keys, "left").select(*keys, F.coalesce("near", "out", F.lit(0).cast("long")).alias("version"))
+    preds = phis.join(edges.select("method", F.col("dst").alias("block"), F.col("src").alias("pred")).distinct().hint("merge"), ["method", "block"])
+    preds = preds.join(span.withColumnRenamed("block", "pred").hint("merge"), ["method", "pred"]).withColumn("upto", F.col("first"))
     keys = ["method", "block", "var", "pred"]
     operands = above(preds, keys).select(*keys, F.coalesce("out", F.lit(0).cast("long")).alias("version"))
     return named, used, operands
