@@ -100,10 +100,10 @@ def _ssa(spark, sf_dir):
     blocks, edges = _cfg(spark, sf_dir)
     doms = written(flow.dominators(edges))  # read by several joins and every round of the phis
     known = doms.select("method", "block")
-    uses = blocks.join(known, ["method", "block"]).select("method", "block", F.lit(0).alias("idx"), F.when(_c("block") % 2 == 0, "x").otherwise("y").alias("var"))
+    uses = blocks.join(known.hint("merge"), ["method", "block"]).select("method", "block", F.lit(0).alias("idx"), F.when(_c("block") % 2 == 0, "x").otherwise("y").alias("var"))
     defs = blocks.where("var is not null").select("method", "block", F.lit(1).alias("idx"), "var")
-    reached = edges.join(known.withColumnRenamed("block", "src"), ["method", "src"])
-    return flow.renamed(defs, uses, graph.phi_places(blocks, doms), doms, reached)
+    reached = edges.join(known.withColumnRenamed("block", "src").hint("merge"), ["method", "src"])
+    return flow.renamed(defs, uses, written(graph.phi_places(blocks, doms)), doms, reached)
 
 
 @query(
