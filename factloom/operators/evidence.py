@@ -104,8 +104,15 @@ def sanitizer_evidence(path_steps: DataFrame, calls: DataFrame, rules: DataFrame
 
     path_steps: (path, method, name, sink_idx); calls: (method, name, idx, api) assigns;
     rules: (api).  The latest assignment before the sink decides."""
-    w = Window.partitionBy("path").orderBy(F.desc("idx"))
-    last = path_steps.join(calls, ["method", "name"]).where("idx < sink_idx").withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    none = lambda of, c: F.lit(None).cast(of.schema[c].dataType)
+    one = calls.groupBy("method", "name", "idx").agg(F.min("api").alias("api"))
+    marks = one.where("method is not null and name is not null and idx is not null").select("method", "name", F.col("idx").alias("at"), F.lit(1).alias("side"), F.struct("idx", "api").alias("last"), none(path_steps, "path").alias("path"))
+    asks = path_steps.select("method", "name", F.col("sink_idx").alias("at"), F.lit(0).alias("side"), none(marks, "last").alias("last"), "path")
+    # a running look back for each variable: a sink meets one assignment, not all before it
+    w = Window.partitionBy("method", "name").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, -1)
+    seen = asks.unionByName(marks).withColumn("last", F.last("last", ignorenulls=True).over(w)).where("side = 0 and last is not null").select("path", "last.*")
+    # a path of several steps: the latest of theirs
+    last = seen.groupBy("path").agg(F.max(F.struct("idx", F.col("api"))).alias("last")).select("path", "last.api", "last.idx")
     return last.join(rules, "api", "left_semi").select("path", "api", "idx")
 
 
