@@ -65,7 +65,7 @@ def instances(assets: DataFrame, surfaces: DataFrame, bindings: DataFrame, templ
     """Effect instances of asset x surface x binding x template x site: assets (asset,
     plane), surfaces (asset, surface, api), bindings (asset, surface, template, role),
     templates (template, kind, endpoint), sites (api, site)."""
-    j = bindings.join(surfaces, ["asset", "surface"]).join(assets, "asset").join(templates, "template").join(sites, "api")
+    j = bindings.distinct().join(surfaces, ["asset", "surface"]).join(assets, "asset").join(templates, "template").join(sites, "api")
     ident = F.concat_ws(":", "asset", "surface", "template", "site")
     return j.select(ident.alias("effect"), "plane", "kind", "role", "endpoint", "site").distinct()
 

@@ -65,7 +65,7 @@ def effect_instances(spark, sf_dir):
     k, s, i = _c("p_partkey"), _c("s_suppkey"), _c("id")
     assets = spark.range(100).select(i.alias("asset"), F.concat(F.lit("plane"), i % 3).alias("plane"))
     surfaces = read(spark, sf_dir, "supplier").select((s % 100).alias("asset"), s.alias("surface"), F.concat(F.lit("api"), s).alias("api"))
-    bindings = read(spark, sf_dir, "part").select((k % 100).alias("asset"), F.concat(F.lit("t"), _c("p_size") % 4).alias("template"), _c("p_brand").alias("role")).join(surfaces.select("asset", "surface"), "asset")
+    bindings = read(spark, sf_dir, "part").select((k % 100).alias("asset"), F.concat(F.lit("t"), _c("p_size") % 4).alias("template"), _c("p_brand").alias("role")).distinct().join(surfaces.select("asset", "surface"), "asset")
     templates = spark.range(4).select(F.concat(F.lit("t"), i).alias("template"), F.concat(F.lit("kind"), i % 2).alias("kind"), F.concat(F.lit("arg"), i).alias("endpoint"))
     sites = read(spark, sf_dir, "orders").select(F.concat(F.lit("api"), "o_custkey").alias("api"), _c("o_orderkey").alias("site"))
     return lowering.instances(assets, surfaces, bindings, templates, sites)
