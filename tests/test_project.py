@@ -50,6 +50,17 @@ def test_views_nest_and_expand(spark):
     assert got["7"] == (None, "last", 0, False)
 
 
+def test_rounds_write_places_of_views_only(spark, monkeypatch):
+    events = [("page", i, kind, name) for i in range(0, 60, 2) for i, kind, name in [(i, "create", "card" if i == 0 else "text"), (i + 1, "pop", None)]]
+    events += [("card", 0, "create", "page"), ("card", 1, "create", "image")]
+    trees, rounds = ir.built_tree(spark.createDataFrame(events, "view string, idx int, kind string, name string")), []
+    kept = ir.written
+    monkeypatch.setattr(ir, "written", lambda df: rounds.append(kept(df)) or rounds[-1])
+    got = ir.expanded_tree(trees, spark.createDataFrame([("page",), ("page",)], "view string")).collect()
+    assert len(got) == len({r.path for r in got}) == 32 and [r.path for r in got if r.recursive] == ["0/0"]
+    assert [r.count() for r in rounds[2:]] == [1, 1, 0]
+
+
 def test_edges_on_demand_give_the_same_facts(spark):
     edge = "kind string, src string, dst string, field string, site long"
     rows = [("call", "a", "m", None, 1), ("return", "m", "b", None, 1), ("store", "b", "c", "f", None), ("load", "c", "d", "f", None), ("copy", "d", "a", None, None), ("copy", "x", "y", None, None), ("return", "m", "z", None, 9)]
