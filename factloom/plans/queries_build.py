@@ -34,9 +34,11 @@ def tokens(spark, sf_dir):
     c = o.select(whose.alias("c")).distinct()
     big = F.lit(1 << 60)
     parts = parts.union(c.select("c", -big, pick([a for a, _ in AROUND], F.col("c")))).union(c.select("c", big, pick([b for _, b in AROUND], F.col("c"))))
-    each = parts.where("text <> ''").select("c", "part", F.posexplode(F.split("text", " ")).alias("pos", "kind"))
-    w = Window.partitionBy("c").orderBy("part", "pos")
-    return each.select(F.concat(F.lit("m"), "c").alias("method"), (F.row_number().over(w) - 1).alias("idx"), "kind")
+    n = build.tasks(spark, o.count(), build.ROWS // 8)  # an order gives about eight tokens
+    parts = parts.where("text <> ''").select(F.concat(F.lit("m"), "c").alias("method"), "part", "text").repartition(n, "method")
+    each = parts.select("method", "part", F.posexplode(F.split("text", " ")).alias("pos", "kind"))
+    w = Window.partitionBy("method").orderBy("part", "pos")
+    return each.select("method", (F.row_number().over(w) - 1).alias("idx"), "kind")
 
 
 def _list(table) -> str:

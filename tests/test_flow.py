@@ -275,3 +275,14 @@ def test_bounds_of_paths(spark):
     rows = [(1, "any/a"), (1, "any/a-b"), (1, "any/a/x"), (2, "any/q/r"), (2, "any/q/r/s"), (3, "any/k1"), (3, "any/k10")]
     df = spark.createDataFrame(rows, "g int, type string").groupBy("g").agg(build.least_upper(F.col("type")).alias("t"))
     assert dict(map(tuple, df.collect())) == {1: "any", 2: "any/q/r", 3: "any"}
+
+
+def test_statements_dealt_by_method_stay_where_they_lie(spark, monkeypatch):
+    plans, kept = [], build.written
+    monkeypatch.setattr(build, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    rows = [(f"m{m}", i, kind) for m in range(3) for i, kind in enumerate("try loop stmt end catch stmt end stmt".split())]
+    t = spark.createDataFrame(rows, "method string, idx int, kind string").repartition(5, "method")
+    placed, ways = build.basic_blocks(t, build.statement_edges(t))
+    assert ways.count() == 3 * len({(r.src, r.dst, r.kind) for r in ways.where("method = 'm0'").collect()}) and placed.count() == len(rows)
+    assert plans[0].count("Exchange hashpartitioning") == 1 and plans[-1].count("Exchange hashpartitioning") == 2
+    assert build.tasks(spark, 100 * build.ROWS) == 100
