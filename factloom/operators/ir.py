@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans import graph
 from ..plans.fixpoint import written
+from .build import tasks
 
 STATEMENT = "array<struct<idx:bigint,op:string,text:string>>"
 
@@ -53,8 +54,13 @@ def provenance_filter(calls: DataFrame, origins: DataFrame, sdk: tuple[str, ...]
 
 
 def bitmaps(rows: DataFrame) -> DataFrame:
-    """(owner, bucket, bits): sets of ids (owner, id) as bitmaps of 32768 places."""
-    return rows.groupBy("owner", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    """(owner, bucket, bits): sets of ids (owner, id) as bitmaps of 32768 places.
+
+    Ids are dealt out, not bitmaps, which are large next to the ids they hold and shrink so much
+    when written that too many of them would come to one task."""
+    placed = rows.select("owner", "id", F.bitmap_bucket_number("id").alias("bucket"))
+    placed = placed.repartition(tasks(rows.sparkSession, rows.count(), 1 << 18), "owner", "bucket")
+    return placed.groupBy("owner", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
 
 
 def union_sizes(maps: DataFrame) -> DataFrame:

@@ -61,6 +61,15 @@ def test_rounds_write_places_of_views_only(spark, monkeypatch):
     assert [r.count() for r in rounds[2:]] == [1, 1, 0]
 
 
+def test_ids_not_bitmaps_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ir, "tasks", lambda spark, rows, each: rows)
+    ids = spark.createDataFrame([(o, i * 9000) for o in range(3) for i in range(10)] * 2, "owner long, id long")
+    maps = ir.bitmaps(ids)
+    plan = maps._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and ", 60), REPARTITION_BY_NUM" in plan
+    assert [tuple(r) for r in ir.union_sizes(maps.withColumnRenamed("owner", "group")).orderBy("group").collect()] == [(0, 10), (1, 10), (2, 10)]
+
+
 def test_edges_on_demand_give_the_same_facts(spark):
     edge = "kind string, src string, dst string, field string, site long"
     rows = [("call", "a", "m", None, 1), ("return", "m", "b", None, 1), ("store", "b", "c", "f", None), ("load", "c", "d", "f", None), ("copy", "d", "a", None, None), ("copy", "x", "y", None, None), ("return", "m", "z", None, 9)]
