@@ -43,8 +43,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, up to a quarter more, towards an even mixture."""
-    counted = written(tokens.count_tokens(docs, out="mixing_tokens"), "pipeline-tokens")
-    return mixing.mix(counted, "mixing_tokens", evenness=0.5, most_passes=1.25).select(*docs.columns)
+    sizes = written(tokens.count_tokens(docs, out="mixing_tokens").select("doc_id", "source", "mixing_tokens"), "pipeline-tokens")
+    marked = docs.withColumn("mixing_tokens", F.when(F.length("text") > 0, 1).otherwise(0))
+    return mixing.mix(marked, "mixing_tokens", evenness=0.5, most_passes=1.25, sizes=sizes).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

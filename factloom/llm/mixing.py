@@ -76,7 +76,7 @@ def plan_budgets(totals: dict, evenness: float = 0.5, most_passes: float = 2.0,
     return {s: (float(a), total * float(a)) for s, a in zip(named, w)}
 
 
-def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: str = "doc_id", evenness: float = 0.5, most_passes: float = 2.0, budget: int | None = None, block_tokens: int = 16_384, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: str = "doc_id", evenness: float = 0.5, most_passes: float = 2.0, budget: int | None = None, block_tokens: int = 16_384, seed: int = 5, sizes: DataFrame | None = None) -> DataFrame:
     """``docs`` with each row repeated as its source's budget asks, and columns
     ``mix_epoch`` (pass, from 0), ``mix_block``, ``mix_weight`` and ``mix_place``
     (0 to 1; ascending order interleaves the sources by their weights).
@@ -86,21 +86,24 @@ def mix(docs: DataFrame, tokens_col: str, source_col: str = "source", id_col: st
     texts) come once.  Rows of one id share their block, so repeated rows are
     treated alike.  A ``budget`` far beyond the tokens there are is met by as many passes.  An
     empty table gives an empty result.  ``docs`` is read
-    twice: give a written table where making it is costly."""
+    twice: give a written table where making it is costly, or ``sizes``, the id, source and
+    tokens of the same rows without their texts; then ``tokens_col`` of ``docs`` need only
+    tell rows with tokens (above 0) from those without."""
     spark = docs.sparkSession
     reserved = [c for c in docs.columns if c.startswith("mix_")]
     if reserved:
         raise ValueError(f"columns {reserved} would clash")
+    sizes = docs if sizes is None else sizes
     n = F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)), F.lit(0)).cast("long")
-    totals = {r[0]: r[1] or 0 for r in docs.groupBy(source_col).agg(F.sum(n)).collect()}  # one row for each source
+    totals = {r[0]: r[1] or 0 for r in sizes.groupBy(source_col).agg(F.sum(n)).collect()}  # one row for each source
     plan = plan_budgets(totals, evenness, most_passes, budget)
     rows = [(i, s, w, b, max(1, math.ceil(totals[s] / block_tokens)), float(totals[s])) for i, (s, (w, b)) in enumerate(plan.items())]
     kind = docs.schema[source_col].dataType.simpleString()
     sources = spark.createDataFrame(rows, f"mix_number int, mix_source {kind}, mix_weight double, budget double, blocks int, total double")
-    known = docs.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("mix_source")), "left")  # one row for each source
-    known = known.withColumn("mix_block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.coalesce("blocks", F.lit(1))).cast("int"))
+    named = lambda rows: rows.join(F.broadcast(sources), F.col(source_col).eqNullSafe(F.col("mix_source")), "left").withColumn("mix_block", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.coalesce("blocks", F.lit(1))).cast("int"))  # noqa: E731  one row for each source
+    known = named(docs)
     # tokens of each block, laid out in the order of each pass: sums of 256 lots of a pass first, then within each
-    blocks = known.where(n > 0).groupBy("mix_number", "mix_block", "budget", "total").agg(F.sum(n).alias("size"))
+    blocks = named(sizes).where(n > 0).groupBy("mix_number", "mix_block", "budget", "total").agg(F.sum(n).alias("size"))
     passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("budget") / F.col("total")).cast("int") - 1))
     laid = blocks.withColumn("mix_epoch", passes).withColumn("turn", F.xxhash64("mix_block", "mix_epoch", F.lit(seed))).withColumn("lot", F.shiftright("turn", 56))
     ahead = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

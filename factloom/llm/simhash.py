@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- near copies of whole texts
 
 SKETCH = 1024  # shingles that a sketch holds; texts with no more are judged by all of theirs
-POSTED = 128  # of these, the ones that posting lists are made from
+POSTED = 128  # of these, the ones that posting lists of long texts are made from
+WHOLE = 512  # shingles up to which a text is posted by all of them, with no slack for sampling
 DEVIATIONS = 5  # standard deviations of a sampled likeness; one in a few millions lies further off
 CENTRES = 8  # members of each posting list that all its others are compared with first
 COMMON = 50_000  # shingles at most that a sample names as common; they only move to the end of the order
@@ -359,12 +360,34 @@ def leading(held: np.ndarray, n: int, common: np.ndarray, similarity: float) ->
     size = len(held)
     if not size:
         return held
-    most = size - least_shared(size, n, similarity) + 1
-    if not len(common):
-        return held[:most]
+    return _ordered(held, common)[: size - least_shared(size, n, similarity) + 1]
+
+
+def _ordered(held: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common) or not len(held):
+        return held
     at = np.minimum(np.searchsorted(common["key"], held), len(common) - 1)
     late = common["key"][at] == held
-    return np.r_[held[~late], held[late][np.argsort(common["rank"][at[late]], kind="stable")]][:most]
+    return np.r_[held[~late], held[late][np.argsort(common["rank"][at[late]], kind="stable")]]
+
+
+def posting(held: np.ndarray, n: int, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that a text of ``n`` shingles (``held``: its sketch) is posted under, and for each
+    the size of the largest text that may be alike and share no earlier key.
+
+    Pairs of at most WHOLE shingles meet by their whole sets: what two texts share from place p
+    of one's order on is n - p at most, and must be similarity / (1 + similarity) of both
+    sizes.  Others meet by the POSTED smallest, under keys of their own (from 2 ** 32 on)."""
+    keys, caps = [], []
+    if n <= WHOLE:
+        first = _ordered(held, common)[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        keys.append(first.astype(np.int64))
+        caps.append(np.floor((n - np.arange(len(first))) * (1 + similarity) / similarity - n + 1e-6).astype(np.int64))
+    if n > WHOLE * similarity - 1:
+        first = leading(held[:POSTED], n, common, similarity)
+        keys.append(first.astype(np.int64) + (1 << 32))
+        caps.append(np.full(len(first), int(n / similarity) + 1, np.int64))
+    return np.concatenate(keys), np.concatenate(caps)
 
 
 def _common(rows: DataFrame, most: int = COMMON, most_docs: int = 20_000) -> np.ndarray:
@@ -374,7 +397,7 @@ def _common(rows: DataFrame, most: int = COMMON, most_docs: int = 20_000) -> np.
 
     def run(batches):
         for batch in sliced(batches):
-            held = [np.frombuffer(x.as_py(), np.uint32)[:POSTED] for x in batch.column(0)]
+            held = [np.frombuffer(x.as_py(), np.uint32)[:WHOLE] for x in batch.column(0)]
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
@@ -481,6 +504,7 @@ def _tile(similarity: float):
         held = [np.frombuffer(x, np.uint32) for x in pdf["sketch"]]
         reps, chunk = pdf["rep"].to_numpy(np.int64), pdf["chunk"].to_numpy(np.int64)
         lab = np.unique(pdf["component"].to_numpy(np.int64), return_inverse=True)[1]
+        cap = pdf["cap"].to_numpy(np.float64) if "cap" in pdf else np.full(len(pdf), np.inf)
         n, size = pdf["n"].to_numpy(np.float64), np.array([len(x) for x in held])
         whole = size < SKETCH
         shared = _shared([x if w else x[:0] for x, w in zip(held, whole)])
@@ -490,7 +514,7 @@ def _tile(similarity: float):
         off = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         out = []
         for i in range(len(held)):
-            fit = (lab[:i] != lab[i]) & (np.minimum(n[i], n[:i]) >= np.maximum(n[i], n[:i]) * similarity - 1e-9)
+            fit = (lab[:i] != lab[i]) & (np.minimum(n[i], n[:i]) >= np.maximum(n[i], n[:i]) * similarity - 1e-9) & (n[:i] <= cap[i]) & (n[i] <= cap[:i])
             if off:
                 fit &= chunk[:i] != chunk[i]
             told = by_shared(shared[i, :i], size[i] + size[:i], similarity)
@@ -545,12 +569,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def posted(batches):
         for batch in sliced(batches):
-            first = [leading(np.frombuffer(x.as_py(), np.uint32)[:POSTED], n, common, similarity).view(np.int32) for x, n in zip(batch.column(5), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first, pa.list_(pa.int32()))], names=["row", "id", "same", "fp", "n", "keys"])
+            first = [posting(np.frombuffer(x.as_py(), np.uint32), n, common, similarity) for x, n in zip(batch.column(5), batch.column(4).to_pylist())]
+            keys, caps = (pa.array(c, pa.list_(pa.int64())) for c in zip(*first))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], keys, caps], names=["row", "id", "same", "fp", "n", "keys", "caps"])
 
     # texts of equal shingle sets are one from here on; an id may come with several texts
-    keyed = arrow(rows.select("row", "id", "same", "fp", "n", "sketch"), posted, "row long, id long, same binary, fp long, n long, keys array<int>")
-    distinct = written(keyed.groupBy("same").agg(F.min("row").alias("rep"), F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("keys").alias("keys")), "near-copies-distinct")
+    keyed = arrow(rows.select("row", "id", "same", "fp", "n", "sketch"), posted, "row long, id long, same binary, fp long, n long, keys array<long>, caps array<long>")
+    distinct = written(keyed.groupBy("same").agg(F.min("row").alias("rep"), F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first(F.arrays_zip("keys", "caps")).alias("keys")), "near-copies-distinct")
     settled = lambda pairs, tag: _settled(pairs, rows, docs, similarity, id_col, text_col, f"near-copies-{tag}")
 
     # the fingerprints' index: every text against the first of its group
@@ -560,23 +585,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = written(settled(alike, "prints"), "near-copies-links")
     found = connected_components(links)
 
-    # posting lists; of lists with the same members one is enough
-    held = distinct.select("rep", "n", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("other"))
-    shared = shared.where("docs > 1").groupBy("docs", "mark", "other").agg(F.min("key").alias("key")).select("key", "docs")
+    # posting lists, without those whose sizes fit no other member; of lists with the same
+    # members the first in order is enough: the room that keys leave falls with their place
+    held = distinct.select("rep", "n", F.explode("keys").alias("k")).select("rep", "n", F.col("k.keys").alias("key"), F.col("k.caps").alias("cap"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("docs"), F.min("n").alias("least"), F.max("cap").alias("most")).where("docs > 1 and least <= most").drop("docs")
+    held = written(held.join(sizes, "key").where("cap >= least and n <= most").drop("least", "most"), "near-copies-fitting")
+    shared = held.groupBy("key").agg(F.count("*").alias("docs"), F.sum("cap").alias("room"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("other"))
+    shared = shared.where("docs > 1").groupBy("docs", "mark", "other").agg(F.max(F.struct("room", "key")).alias("first")).select("first.key", "docs")
     lists = written(held.join(shared, "key"), "near-copies-lists")
 
     def open_lists(lists, found):
-        """Members (key, rep, n, docs, component) of the lists that are not in one component."""
-        named = lists.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "docs", F.coalesce("component", "rep").alias("component"))
+        """Members (key, rep, n, cap, docs, component) of the lists that are not in one component."""
+        named = lists.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "cap", "docs", F.coalesce("component", "rep").alias("component"))
         apart = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other_one")).where("one <> other_one").select("key")
         return named.join(apart, "key")
 
     lists = written(open_lists(lists, found), "near-copies-open")
     by = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-    centres = written(lists.select("key", "rep", "n", "component", F.row_number().over(by).alias("place")).where(F.col("place") <= CENTRES).drop("place"), "near-copies-centres")
+    centres = written(lists.select("key", "rep", "n", "cap", "component", F.row_number().over(by).alias("place")).where(F.col("place") <= CENTRES).drop("place"), "near-copies-centres")
     n, m = F.col("a.n"), F.col("b.n")
-    met = lists.alias("a").join(centres.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.component") != F.col("b.component")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9))
+    met = lists.alias("a").join(centres.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.component") != F.col("b.component")) & (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (n <= F.col("b.cap")) & (m <= F.col("a.cap")))
     pairs = met.select(F.greatest("a.rep", "b.rep").alias("src"), F.least("a.rep", "b.rep").alias("dst")).distinct()
     links = written(links.union(settled(pairs, "centres")), "near-copies-links")
     found = connected_components(links)
@@ -589,7 +617,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         needed = written(dealt.select("rep").distinct(), "near-copies-needed")
         sketches = rows.join(needed, F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "sketch")
         tiles = dealt.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        tiles = tiles.select("key", "rep", "n", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(sketches, "rep")
+        tiles = tiles.select("key", "rep", "n", "cap", "component", "chunk", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi")).join(sketches, "rep")
         told = written(tiles.groupBy("key", "lo", "hi").applyInPandas(_tile(similarity), "src long, dst long, settled long").distinct(), "near-copies-tiles")
         doubt = told.where("settled < 0").select("src", "dst")
         links = links.union(told.where("settled > 0").select("src", "dst")).union(_exact(doubt, rows, docs, similarity, id_col, text_col, "near-copies-tiles"))

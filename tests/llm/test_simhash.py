@@ -210,6 +210,41 @@ def test_near_copies_chains_of_edits(spark):
     assert copies_of(spark, texts, chunk=7) == want
 
 
+def test_lists_hold_only_texts_that_may_be_alike(spark, monkeypatch):
+    """Edits of one text that are too far from all others stay out of its lists, so no tile compares them."""
+    rng, held = np.random.default_rng(34), {}
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 150)]
+    texts = []
+    for i in range(150):
+        body = list(base)
+        for at in np.arange(int(rng.integers(0, 15)), 150, 15 if i % 3 else 75):  # every third a near copy
+            body[at] = f"n{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(body))
+
+    def spied(df, tag):
+        out = written(df, tag)
+        held[tag] = out.count()
+        return out
+
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", spied)
+    assert copies_of(spark, texts) == plain_components(texts)
+    assert held["near-copies-still"] == 0
+
+
+def test_posting_meets_all_alike():
+    rng = np.random.default_rng(35)
+    common = np.zeros(0, [("key", np.uint32), ("rank", np.int64)])
+    for n in (3, 40, 300, 500, 600, 700):
+        for _ in range(60):
+            base = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+            a, b = (np.unique(np.r_[base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 32, int(rng.integers(0, 1 + n // 12)), dtype=np.uint32)]) for _ in range(2))
+            if len(a) and len(b) and simhash.likeness(a, b) >= 0.8:
+                (ka, ca), (kb, cb) = (simhash.posting(x, len(x), common, 0.8) for x in (a, b))
+                met = [(ca[i], cb[np.flatnonzero(kb == k)[0]]) for i, k in enumerate(ka) if k in kb]
+                assert any(len(b) <= x and len(a) <= y for x, y in met)
+
+
 def test_near_dedup_stage_decides_by_row(spark):
     import corpus_pipeline
 
