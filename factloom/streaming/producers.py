@@ -7,6 +7,7 @@ between a store and a load is a difference of counts, as in the batch form."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ OUT = "cell long, producer long, consumer long, verdict string"
 COUNTS = "rows long, hits long, strong long, stores long"
 PRODUCER = "id long, sure boolean, exact boolean, rows long, hits long, strong long"
 PIECE = 4096  # producers, and rows of a result, that are held at once
+TYPES = (np.int64, np.bool_, np.bool_, np.int64, np.int64, np.int64)  # of PRODUCER
+Ran = tuple[np.ndarray, ...]  # columns of PRODUCER
 
 
 class Producers(StatefulProcessor):
@@ -35,43 +38,52 @@ class Producers(StatefulProcessor):
         self.producers = handle.getListState("producers", PRODUCER)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.counts.get() if self.counts.exists() else (0, 0, 0, 0)
-        batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
-        kind, exact, sure = batch["kind"].to_numpy(), (batch["precision"] == "exact").to_numpy(), (batch["confidence"] != "unknown").to_numpy()
-        hit = np.isin(kind, ("kill", "store-clean"))
-        strong = hit & exact & sure & (batch["strength"] != "weak").to_numpy()
-        ran = pd.DataFrame({"id": batch["id"].astype("int64"), "sure": sure, "exact": exact, "rows": before[0] + np.arange(1, len(batch) + 1), "hits": before[1] + np.cumsum(hit), "strong": before[2] + np.cumsum(strong)})
-        stores, loads = ran[kind == "store"], ran[kind == "load"]
-        if len(loads):
-            if before[3]:
-                yield from self._told(key[0], self._held(), loads)
-            yield from self._told(key[0], (stores[at : at + PIECE] for at in range(0, len(stores), PIECE)), loads)
-        for at in range(0, len(stores), PIECE):
-            self.producers.appendList(list(stores[at : at + PIECE].astype(object).itertuples(index=False, name=None)))
-        end = ran.iloc[-1]
-        self.counts.update((int(end["rows"]), int(end["hits"]), int(end["strong"]), before[3] + len(stores)))
-
-    def _held(self) -> Iterator[pd.DataFrame]:
-        piece = []
-        for row in self.producers.get():
-            piece.append(tuple(row))
-            if len(piece) == PIECE:
-                yield pd.DataFrame(piece, columns=["id", "sure", "exact", "rows", "hits", "strong"])
-                piece = []
-        if piece:
-            yield pd.DataFrame(piece, columns=["id", "sure", "exact", "rows", "hits", "strong"])
-
-    def _told(self, cell: int, pieces: Iterator[pd.DataFrame], loads: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        before = tuple(self.counts.get() or (0, 0, 0, 0))
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames)
+        by = np.argsort(batch["seq"].to_numpy(), kind="stable")
+        ids, kind, precision, confidence, strength = (batch[c].to_numpy()[by].astype(t) for c, t in (("id", np.int64), *((c, object) for c in ("kind", "precision", "confidence", "strength"))))
+        exact, sure = precision == "exact", confidence != "unknown"
+        hit = (kind == "kill") | (kind == "store-clean")
+        strong = hit & exact & sure & (strength != "weak")
+        ran = ids, sure, exact, before[0] + np.arange(1, len(ids) + 1), before[1] + np.cumsum(hit), before[2] + np.cumsum(strong)
+        stores, loads = (tuple(x[kind == k] for x in ran) for k in ("store", "load"))
+        if len(loads[0]):
+            held = self._held() if before[3] else iter(())
+            yield from self._told(key[0], _joined(held, stores), loads)
+        for at in range(0, len(stores[0]), PIECE):
+            self.producers.appendList(list(zip(*(x[at : at + PIECE].tolist() for x in stores))))
+        self.counts.update((*(int(x[-1]) for x in ran[3:]), before[3] + len(stores[0])))
+
+    def _held(self) -> Iterator[Ran]:
+        held = iter(self.producers.get())
+        while piece := list(islice(held, PIECE)):
+            yield tuple(np.array(x, t) for x, t in zip(zip(*piece), TYPES))
+
+    def _told(self, cell: int, pieces: Iterator[Ran], loads: Ran) -> Iterator[pd.DataFrame]:
         for s in pieces:
-            step = max(1, PIECE // max(1, len(s)))
-            for at in range(0, len(loads), step):
-                both = s.merge(loads[at : at + step], how="cross", suffixes=("_s", ""))
-                both = both[both["rows_s"] < both["rows"]]
-                verdict = np.where((both["hits"] > both["hits_s"]) | ~(both["exact"] & both["exact_s"]), "may-live", "live").astype(object)
-                verdict[(both["strong"] > both["strong_s"]) & both["exact"]] = "dead"
-                verdict[(both["rows"] - both["rows_s"] - 1 > self.limit) | ~(both["sure"] & both["sure_s"])] = "unknown"
-                if len(both):
-                    yield pd.DataFrame({"cell": cell, "producer": both["id_s"].to_numpy(), "consumer": both["id"].to_numpy(), "verdict": verdict})
+            step = max(1, PIECE // max(1, len(s[0])))
+            for at in range(0, len(loads[0]), step):
+                part = [x[at : at + step] for x in loads]
+                i, j = np.nonzero(s[3][:, None] < part[3])
+                if not len(i):
+                    continue
+                (id_s, sure_s, exact_s, rows_s, hits_s, strong_s), (load, sure, exact, ran, hits, strong) = [x[i] for x in s], [x[j] for x in part]
+                verdict = np.where((hits > hits_s) | ~(exact & exact_s), "may-live", "live").astype(object)
+                verdict[(strong > strong_s) & exact] = "dead"
+                verdict[(ran - rows_s - 1 > self.limit) | ~(sure & sure_s)] = "unknown"
+                yield pd.DataFrame({"cell": cell, "producer": id_s, "consumer": load, "verdict": verdict})
+
+
+def _joined(held: Iterator[Ran], stores: Ran) -> Iterator[Ran]:
+    """Pieces of what is held, then of the batch's own stores; few of both make one piece."""
+    for piece in held:
+        if len(piece[0]) < PIECE and len(piece[0]) + len(stores[0]) <= PIECE:  # the last one
+            stores = tuple(np.concatenate(x) for x in zip(piece, stores))
+        else:
+            yield piece
+    for at in range(0, len(stores[0]), PIECE):
+        yield tuple(x[at : at + PIECE] for x in stores)
 
 
 def verdicts(effects: DataFrame, limit: int = SLICE_LIMIT) -> DataFrame:
@@ -119,12 +131,13 @@ def in_lots(rows: DataFrame, order: str, lots: int, stream, schema: str, sink=No
     ``sink`` (batch, number, path) writes a batch; without one each gets a folder of its own."""
     import uuid
 
-    from ..plans.fixpoint import shared_dir
+    from ..plans.fixpoint import shared_dir, written
 
     def apart(batch, n, path):
         batch.write.mode("overwrite").parquet(f"{path}/lot={n}")
 
     spark, sink = rows.sparkSession, sink or apart
+    rows = written(rows)  # each lot reads them
     base, name = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
     spark.createDataFrame([], schema).write.parquet(f"{base}/out")
     lo, hi = rows.agg(F.min(order), F.max(order)).first()

@@ -79,6 +79,18 @@ def test_hot_cell_is_appended_once_and_read_in_pieces():
     assert count == dead == 3_000_000 and state.appends == 1_000_000
 
 
+def test_small_cells_give_one_frame_and_few_calls_of_state():
+    """Most cells are small; what one costs beside its rows is what a stream takes."""
+    state, cell = Held(), producers.Producers()
+    cell.init(state)
+    asked, state.exists = [], lambda: asked.append(1) or state.value is not None
+    of = lambda seq, kind: pd.DataFrame({"id": seq, "seq": seq, "kind": kind, "precision": "exact", "confidence": None, "strength": None})
+    assert not list(cell.handleInputRows((1,), iter([of([0, 1], "store")]), None))
+    frames = list(cell.handleInputRows((1,), iter([of([3], "load"), of([2], "store"), of([4], None)]), None))
+    assert [f.values.tolist() for f in frames] == [[[1, 0, 3, "live"], [1, 1, 3, "live"], [1, 2, 3, "live"]]]
+    assert not asked and state.value == (5, 0, 0, 3) and state.read == 2
+
+
 def test_slices_within_an_interval(spark):
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     rows = [(1, 1, "store", at(0)), (2, 1, "load", at(0)), (3, 1, "load", at(60)), (4, 1, "load", at(61)), (5, 2, "load", at(30)), (6, 1, "store", at(59)), (7, None, "store", at(1)), (8, None, "load", at(2)), (9, 1, "noop", at(5)), (10, 1, "load", at(500))]
