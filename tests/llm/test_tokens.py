@@ -108,6 +108,14 @@ def test_patterns_hold_every_item_with_little_waste():
         assert sum(u for _, u in plan) <= least * 1.03 + 2
 
 
+def test_mixing_by_sizes_kept_apart(spark):
+    rows = [(i, f"text {i}", "ab"[i % 7 == 0], i % 50) for i in range(400)] + [(400, None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    marked = df.selectExpr("doc_id", "text", "source", "cast(n > 0 as int) as n")
+    want, got = (mixing.mix(d, "n", block_tokens=500, sizes=s).drop("n").collect() for d, s in ((df, None), (marked, df.select("doc_id", "source", "n"))))
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > len(rows)
+
+
 def test_mixing_against_plain_sums(spark):
     rng = np.random.default_rng(6)
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", int(rng.integers(1, 400))) for i in range(3000)]
