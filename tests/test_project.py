@@ -61,6 +61,20 @@ def test_rounds_write_places_of_views_only(spark, monkeypatch):
     assert [r.count() for r in rounds[2:]] == [1, 1, 0]
 
 
+def test_shared_views_are_expanded_once(spark, monkeypatch):
+    """Nested pairs: the places of a view double with each level, the views do not."""
+    events = [(f"c{i}", 2 * j + on, "pop" if on else "create", f"c{i // 2 + j}") for i in range(40) for j in range(2) for on in range(2)] + [("c39", 9, "create", "c39")]
+    schema, rows = "view string, idx int, kind string, name string", []
+    trees, roots = ir.built_tree(spark.createDataFrame(events, schema)), spark.createDataFrame([(f"c{i}",) for i in (1, 3, 4, 17, 38, 39)], "view string")
+    show = lambda: sorted(map(tuple, ir.expanded_tree(trees, roots).collect()), key=repr)
+    want, kept = show(), ir.written
+    monkeypatch.setattr(ir, "SHARED", 2)
+    monkeypatch.setattr(ir, "PLACES", 3)
+    monkeypatch.setattr(ir, "written", lambda df: rows.append(kept(df)) or rows[-1])
+    assert show() == want and any("node" in r.columns and "chain" in r.columns for r in rows)
+    assert any(r[-1] for r in want) and sum(r.count() for r in rows[2:] if "under" in r.columns) < len(want) / 4
+
+
 def test_ids_not_bitmaps_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ir, "tasks", lambda spark, rows, each: rows)
     ids = spark.createDataFrame([(o, i * 9000) for o in range(3) for i in range(10)] * 2, "owner long, id long")
