@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,59 @@ def reach_pairs(edges: DataFrame) -> DataFrame:
     """(src, dst) of all paths of at least one edge.  Its result is all pairs; where only some
     sources are asked for, use ``reached_from``.
 
-    A round makes the last one's new pairs longer by one edge, so each pair is extended once:
-    rows made are pairs times edges of a node, where doubling makes pairs times pairs."""
+    Edges without a source are none.  Those that hang together (``weak_parts``) go to one task if they are at most LOT, and that makes
+    their pairs, so pairs are not shuffled.  For larger parts, a round makes the last one's new
+    pairs longer by one edge, so each pair is extended once."""
     ways = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct().repartition("at")).hint("merge")
+    dealt = ways.join(weak_parts(ways).hint("merge"), "at")
+    many = cut(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOT).select("part"))
+    names = f"src {ways.schema['at'].dataType.simpleString()}, dst {ways.schema['to'].dataType.simpleString()}"
+    pairs = dealt.join(many, "part", "left_anti").groupBy("part").applyInArrow(_pairs_of, names)
+    if many.isEmpty():
+        return pairs
+    ways = cut(dealt.join(many, "part", "left_semi").select("at", "to").repartition("at")).hint("merge")
     seed = ways.select(F.col("at").alias("src"), F.col("to").alias("dst"))
     step = lambda d, _: d.join(ways, F.col("dst") == F.col("at")).select("src", F.col("to").alias("dst"))
-    return whole(fixpoint(seed, step, ["src", "dst"])).drop("round")
+    return pairs.union(whole(fixpoint(seed, step, ["src", "dst"])).drop("round"))
+
+
+#: edges that hang together, up to which one task makes their pairs
+LOT = 4096
+
+
+def weak_parts(ways: DataFrame) -> DataFrame:
+    """(at, part): the smallest node that each source of ``ways`` (at, to) hangs together with, whichever way edges go."""
+    both = cut(ways.union(ways.select("to", "at")).distinct().repartition("at")).hint("merge")
+    part = cut(both.groupBy("at").agg(F.least("at", F.min("to")).alias("part")))
+    changed = True
+    while changed:
+        told = part.join(both, "at").select(F.col("to").alias("at"), "part", F.lit(None).cast(part.schema["part"].dataType).alias("before"))
+        new = cut(part.select("at", "part", F.col("part").alias("before")).union(told).groupBy("at").agg(F.min("part").alias("part"), F.min("before").alias("before")))
+        part, changed = new.select("at", "part"), not new.where("part < before").isEmpty()
+    return part
+
+
+def _pairs_of(edges: pa.Table) -> pa.Table:
+    """All paths among a few edges; what a node reaches is held as bits."""
+    ends = [edges.column(c).to_pylist() for c in ("at", "to")]
+    place = {node: i for i, node in enumerate(dict.fromkeys(ends[0] + ends[1]))}
+    after = [[] for _ in place]
+    for a, b in zip(*ends):
+        after[place[a]].append(place[b])
+    reach, changed = [sum(1 << b for b in ways) for ways in after], True
+    while changed:
+        changed = False
+        for a, ways in enumerate(after):
+            found = reach[a]
+            for b in ways:
+                found |= reach[b]
+            if found != reach[a]:
+                reach[a], changed = found, True
+    size = -(-len(place) // 8)
+    to = [np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(size, "little"), "u1"), bitorder="little")) for bits in reach]
+    src = np.repeat(np.arange(len(to)), [len(x) for x in to])
+    of = lambda column, at: pa.array(list(place), edges.schema.field(column).type).take(pa.array(at))
+    return pa.table({"src": of("at", src), "dst": of("to", np.concatenate(to))})
 
 
 def reached_from(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -119,3 +119,18 @@ def test_phis_and_depths_take_no_rounds(spark, monkeypatch):
     blocks = spark.createDataFrame([("m", 1, "x"), ("m", 2, None), ("n", 4, "x")], "method string, block long, var string")
     assert sorted(map(tuple, graph.phi_places(blocks, idoms).collect())) == [("m", 0, "x"), ("m", 3, "x")]
     assert sorted(map(tuple, graph.dominator_tree(idoms).collect())) == [("m", 0, 0), ("m", 1, 1), ("m", 2, 1), ("m", 3, 1), ("n", 4, 0)]
+
+
+def test_reach_pairs_of_small_parts_take_no_rounds(spark, monkeypatch):
+    draw = random.Random(8)
+    edges = {(g * 100 + draw.randrange(12), g * 100 + draw.randrange(12)) for g in range(6) for _ in range(3 + 4 * g)}
+    want, found = set(edges), True
+    while found:
+        found = {(a, d) for a, b in want for c, d in edges if b == c} - want
+        want |= found
+    show = lambda kind: sorted((int(r.src), int(r.dst)) for r in graph.reach_pairs(spark.createDataFrame([tuple(map(kind, e)) for e in edges], f"src {'long' if kind is int else 'string'}, dst {'long' if kind is int else 'string'}")).collect())
+    with monkeypatch.context() as patched:
+        patched.setattr(graph, "fixpoint", None)  # none is needed
+        assert show(int) == show(str) == sorted(want)
+    monkeypatch.setattr(graph, "LOT", 9)
+    assert show(int) == sorted(want)
