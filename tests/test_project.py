@@ -101,3 +101,20 @@ def test_edges_on_demand_give_the_same_facts(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
     assert len(asked) == len(set(asked)) and "x" not in asked
     assert {(r.src, r.dst) for r in edges.collect()} == {("a", "m"), ("m", "b"), ("m", "z"), ("c", "d")}
+
+
+def test_edges_made_are_not_compared_again(spark, monkeypatch):
+    grown = []
+
+    class Counted(taint.Grown):
+        def __init__(self, rows, key):
+            grown.append(key)
+            super().__init__(rows, key)
+
+    monkeypatch.setattr(taint, "Grown", Counted)
+    row = "kind string, src long, dst long, field string, site long"
+    ways = spark.createDataFrame([("copy", i, i + 1, None, None) for i in range(10)], row)
+    seed = spark.createDataFrame([(0, [], [], "s")], "node long, ctx array<bigint>, path array<string>, source string")
+    facts, edges = taint.propagate_lazily(seed, spark.createDataFrame([], row), [lambda nodes: ways.join(nodes.withColumnRenamed("node", "src"), "src")], 1)
+    assert sorted(r.node for r in facts.collect()) == list(range(11)) and sorted(r.src for r in edges.collect()) == list(range(10))
+    assert not any("src" in key for key in grown)
